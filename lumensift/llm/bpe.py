@@ -188,8 +188,7 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, with_ids: bool = True
                 cols.append(pa.array(found, pa.binary()))
             yield pa.RecordBatch.from_arrays(cols, names=[*kept, *(n for n, _ in added)])
 
-    fields = [f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*kept).schema] + [f"{n} {t}" for n, t in added]
-    return docs.select(*kept).mapInArrow(run, ", ".join(fields))
+    return docs.select(*kept).mapInArrow(run, ", ".join([common.fields(docs, kept), *(f"{n} {t}" for n, t in added)]))
 
 
 def digest(docs: DataFrame, ranks_path: str, pattern: str) -> DataFrame:

@@ -160,3 +160,8 @@ def row_starts(counts: np.ndarray) -> np.ndarray:
 
 def binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(list(values), pa.binary())
+
+
+def fields(df: DataFrame, names: list[str]) -> str:
+    """The schema of some columns, as text."""
+    return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)
