@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, langid, lm, mixing, neardup, quality
+from . import ann, bpe, langid, lm, mixing, neardup, quality, topk
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -31,6 +31,10 @@ def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm.score(table(spark, sf_dir, "documents"))
 
 
+def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.nearest(table(spark, sf_dir, "embeddings"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
@@ -39,15 +43,22 @@ def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neardup.groups(table(spark, sf_dir, "documents"))
 
 
+def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
     "op3_bpe": op3_bpe,
     "op4_lm": op4_lm,
+    "op5_ann": op5_ann,
     "op6_mixing": op6_mixing,
     "op8_neardup": op8_neardup,
+    "op10_topk": op10_topk,
 }
 
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
+    "op10_topk": topk.SQL,
 }
