@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import ann, bpe, langid, lm, mixing, neardup, quality, topk, urls
+from . import ann, bpe, langid, lm, mixing, neardup, quality, substring, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -39,8 +39,12 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
+def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.digest(table(spark, sf_dir, "documents"))
+
+
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neardup.groups(table(spark, sf_dir, "documents"))
+    return neardup.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -58,6 +62,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_lm": op4_lm,
     "op5_ann": op5_ann,
     "op6_mixing": op6_mixing,
+    "op7_substring": op7_substring,
     "op8_neardup": op8_neardup,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
