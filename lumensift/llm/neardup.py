@@ -3,11 +3,12 @@
 A document is its set of distinct 5-word shingles. Equal sets are one class from the start, so thousands of copies are one
 member of the join. Each of several independent trees sends a class down a path of minwise tokens: at every level the token
 of the set that is smallest under a random order of that level picks the branch. Sets of similarity s stay together at a
-level with probability s, so after a few levels only similar sets share a node. A node that is small enough isn't split any
+level with probability s, so after a few levels only similar sets share a node. A node of a few classes isn't split any
 further; with 12 trees of at most 3 levels a pair of similarity 0.85 meets in some node with probability above 0.99998.
 
-In each node all members are first compared with one of them. What that ties together needs no more comparisons; members of
-different components are then compared with each other, without exception. Every link is confirmed on the full sets.
+Nodes are compared exhaustively. The pairs of a node of a few classes are listed, and confirmed on the full sets. Larger nodes
+are the ones that the trees couldn't split: their full sets meet in one task (in blocks, where they are many), which compares
+all of them and returns one row for each class, however many of them are linked.
 """
 
 from __future__ import annotations
@@ -23,8 +24,10 @@ from . import common, graph
 
 K = 5
 TREES, LEVELS = 12, 3
-#: A node of at most so many classes isn't split.
-SMALL = 16
+#: A node of at most so many classes isn't split, and its pairs are listed.
+SMALL = 4
+#: Classes of a larger node that one task compares.
+BLOCK = 1024
 #: Pairs whose signatures agree in fewer places are not similar: at 0.85, that many or fewer agree once in 10 million pairs.
 AGREE = 0.5
 
@@ -101,9 +104,8 @@ def likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     return p.filter(same >= AGREE * TREES * LEVELS).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: int, k: int = K) -> DataFrame:
-    """Of pairs (a, b) of classes, those whose full sets have percent * union <= 100 * intersection."""
-    wanted = pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).distinct()
+def full_sets(wanted: DataFrame, docs: DataFrame, classes: DataFrame, k: int = K) -> DataFrame:
+    """(cls, items) of the wanted classes, from the text of each class's first document."""
     wanted = common.written(wanted.join(classes, "cls").select("cls", F.xxhash64("first_id").alias("_h")), "wanted")
     texts = docs.select(F.xxhash64("doc_id").alias("_h"), "text").join(wanted.select("_h").distinct(), "_h", "left_semi")
 
@@ -112,10 +114,14 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
             *_, hashes, counts = common.words_of(part.column("text"))
             items, many = sets(*common.shingle_hashes(hashes, counts, k))
             at = common.row_starts(many)
-            yield pa.RecordBatch.from_arrays([class_ids(items, many), pa.array([items[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)], pa.binary())], names=["cls", "items"])
+            yield pa.RecordBatch.from_arrays([class_ids(items, many), common.binary([items[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], names=["cls", "items"])
+
+    found = texts.select("text").mapInArrow(run, "cls binary, items binary").join(wanted.select("cls"), "cls", "left_semi")
+    return common.written(found.dropDuplicates(["cls"]), "sets")
 
-    full = texts.select("text").mapInArrow(run, "cls binary, items binary").join(wanted.select("cls"), "cls", "left_semi")
-    full = common.written(full.groupBy("cls").agg(F.first("items").alias("items")), "sets")
+
+def confirmed(pairs: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """Of pairs (a, b) of classes, those whose full sets have percent * union <= 100 * intersection."""
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -133,7 +139,53 @@ def confirmed(pairs: DataFrame, docs: DataFrame, classes: DataFrame, percent: in
     return p.select("a", "b", "x", "y").mapInArrow(compare, "a binary, b binary")
 
 
-def groups(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
+def linked(items: list[np.ndarray], percent: int, columns: int = 4096) -> np.ndarray:
+    """Whether each two of some sets are similar enough: a matrix. Tokens are taken `columns` at a time."""
+    n = len(items)
+    size = np.array([len(x) for x in items], np.int64)
+    token, place, times = np.unique(np.concatenate(items), return_inverse=True, return_counts=True)
+    number = np.cumsum(times > 1) - 1  # tokens of one set alone are in no intersection
+    use = times[place] > 1
+    column, row = number[place[use]], np.repeat(np.arange(n), size)[use]
+    order = np.argsort(column, kind="stable")
+    column, row = column[order], row[order]
+    both = np.zeros((n, n), np.float32)
+    for at in range(0, int(number[-1]) + 1, columns):
+        a, b = np.searchsorted(column, [at, at + columns])
+        m = np.zeros((n, columns), np.float32)
+        m[row[a:b], column[a:b] - at] = 1
+        both += m @ m.T
+    both = both.astype(np.int64)
+    return (100 * both >= percent * (size[:, None] + size[None] - both)) | np.eye(n, dtype=bool)
+
+
+def compared(large: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class of a large node (node, cls, n) tied to the smallest one that it is linked with, directly or not."""
+    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
+    rows = large.withColumn("blocks", F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(blocks))
+    own = F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int")
+    # two blocks meet in the task of their two numbers
+    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    rows = rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls").join(full, "cls")
+
+    def compare(group: pa.Table) -> pa.Table:
+        ids = group.column("cls").to_pylist()
+        label = np.arange(len(ids))
+        order = np.array(sorted(range(len(ids)), key=ids.__getitem__))
+        near = linked([np.frombuffer(group.column("items")[int(i)].as_buffer(), np.uint64) for i in order], percent)
+        while True:  # the smallest label around, until nothing changes
+            now = np.where(near, label[None], len(ids)).min(axis=1)
+            now = now[now]
+            if (now == label).all():
+                break
+            label = now
+        tied = np.flatnonzero(label != np.arange(len(ids)))
+        return pa.table([common.binary([ids[order[label[i]]] for i in tied]), common.binary([ids[order[i]] for i in tied])], names=["a", "b"])
+
+    return rows.groupBy("node", "i", "j").applyInArrow(compare, "a binary, b binary")
+
+
+def groups(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) of every row of docs (doc_id, text, ...).
 
     Documents are linked if 100 * intersection >= percent * union of their shingle sets. A text of 1 to k-1 words is one
@@ -145,21 +197,12 @@ def groups(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
     classes = features.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("mins").alias("mins"))
     classes = common.written(classes, "classes")
     leaves = nodes(classes)
-    hub = leaves.groupBy("node").agg(F.min("cls").alias("a"))
-    star = leaves.join(hub, "node").filter("a <> cls").select("a", F.col("cls").alias("b")).distinct()
-    links = common.written(confirmed(common.written(likely(star, classes), "likely"), docs, classes, percent, k), "links")
-    parts = graph.components(links).select(F.col("id").alias("cls"), F.col("component").alias("part"))
-    # what the stars left apart: members of different components in one node
-    placed = leaves.join(parts, "cls", "left").withColumn("part", F.coalesce("part", "cls"))
-    sizes = placed.groupBy("node", "part").agg(F.count(F.lit(1)).alias("m"))
-    main = sizes.groupBy("node").agg(F.count(F.lit(1)).alias("parts"), F.max(F.struct("m", "part"))["part"].alias("main")).filter("parts > 1")
-    placed = common.written(placed.join(main, "node"), "placed")
-    aside = placed.filter("part <> main").select("node", F.col("cls").alias("a"), F.col("part").alias("p"))
-    rest = placed.select("node", F.col("cls").alias("b"), F.col("part").alias("q"))
-    rest = aside.join(rest, "node").filter("p <> q").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = rest.join(star.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-    more = common.written(confirmed(common.written(likely(rest, classes), "likely"), docs, classes, percent, k), "links")
-    parts = graph.components(links.unionByName(more))
+    few = leaves.filter(F.col("n") <= SMALL)
+    pairs = few.select("node", F.col("cls").alias("a")).join(few.select("node", F.col("cls").alias("b")), "node").filter("a < b").select("a", "b").distinct()
+    pairs = common.written(likely(pairs, classes), "likely")
+    large = leaves.filter(F.col("n") > SMALL)
+    full = full_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct(), docs, classes, k)
+    parts = graph.components(confirmed(pairs, full, percent).unionByName(compared(large, full, percent)))
     ids = classes.select("cls", "first_id").join(parts.withColumnRenamed("id", "cls"), "cls")
     least = ids.groupBy("component").agg(F.min("first_id").alias("least_id"))
     moved = ids.join(least, "component").select("cls", "least_id")
@@ -169,7 +212,7 @@ def groups(docs: DataFrame, percent: int = 85, k: int = K) -> DataFrame:
     return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
-def one_of_each(docs: DataFrame, percent: int = 85) -> DataFrame:
+def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
     """docs with one document of each group: the one of smallest doc_id. Equal rows of that id leave one.
 
     A document without an id stays if its whole group has none.
