@@ -48,47 +48,47 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (1, 2, 3), cap:
 
 
 def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
-    """docs (doc_id, text, source, ...) with _size, _source_size, _target and _copies (0 to ceil(cap)).
+    """docs (doc_id, text, source, ...) with mix_size, mix_source_size, mix_target and mix_copies (0 to ceil(cap)).
 
     Null and empty texts have size 0; they take part with their source's rate, at no words. A source of size 0 has
     rate 0. A null source is a source of its own, last in order. Equal rows are told apart only by their place, so which
-    of them is repeated makes no difference. An empty table gives an empty result. Extra columns stay; columns
-    whose names start with an underscore are replaced.
+    of them is repeated makes no difference. An empty table gives an empty result. Extra columns stay; those whose
+    names start with mix_ are left out.
     """
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumn("_size", word_count(F.col("text"))).withColumn("_key", key)
-    d = d.withColumn("_class", F.floor(F.lit(float(CLASSES_PER_DOUBLING)) * F.log2(F.col("_size") + F.lit(1.0))).cast("int"))
-    d = d.withColumn("_bucket", F.conv(F.substring("_key", 1, 8), 16, 10).cast("long") % BUCKETS)
-    cells = d.groupBy(F.col("source").alias("_source"), "_class", "_bucket").agg(F.count(F.lit(1)).alias("_n"), F.sum("_size").alias("_words"))
-    sizes = cells.groupBy(F.col("_source").alias("source")).agg(F.sum("_words").alias("source_size"))
-    targets = source_targets(sizes, weights, cap).select(F.col("source").alias("_t_source"), F.col("source_size").alias("_source_size"), F.col("target").alias("_target"))
-    order = Window.partitionBy("_source").orderBy("_class", "_bucket").rowsBetween(Window.unboundedPreceding, -1)
-    cells = cells.withColumn("_before", F.coalesce(F.sum("_n").over(order), F.lit(0)))
+    d = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_key", key)
+    d = d.withColumn("mix_class", F.floor(F.lit(float(CLASSES_PER_DOUBLING)) * F.log2(F.col("mix_size") + F.lit(1.0))).cast("int"))
+    d = d.withColumn("mix_bucket", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % BUCKETS)
+    cells = d.groupBy(F.col("source").alias("mix_source"), "mix_class", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"), F.sum("mix_size").alias("mix_words"))
+    sizes = cells.groupBy(F.col("mix_source").alias("source")).agg(F.sum("mix_words").alias("source_size"))
+    targets = source_targets(sizes, weights, cap).select(F.col("source").alias("mix_t_source"), F.col("source_size").alias("mix_source_size"), F.col("target").alias("mix_target"))
+    order = Window.partitionBy("mix_source").orderBy("mix_class", "mix_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    cells = cells.withColumn("mix_before", F.coalesce(F.sum("mix_n").over(order), F.lit(0)))
     # a 20-bit offset, kept off whole numbers by half a step
-    offset = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("_source"), F.lit("\u0000")))), 1, 5), 16, 10).cast("double") + 0.5) / 1048576.0
-    cells = cells.join(targets, F.col("_source").eqNullSafe(F.col("_t_source"))).select(
-        F.col("_source"), F.col("_class").alias("_c"), F.col("_bucket").alias("_b"), "_before", "_source_size", "_target", offset.alias("_offset"),
-        F.when(F.col("_source_size") > 0, F.col("_target") / F.col("_source_size")).otherwise(0.0).alias("_rate"),
+    offset = (F.conv(F.substring(F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("mix_source"), F.lit("\u0000")))), 1, 5), 16, 10).cast("double") + 0.5) / 1048576.0
+    cells = cells.join(targets, F.col("mix_source").eqNullSafe(F.col("mix_t_source"))).select(
+        F.col("mix_source"), F.col("mix_class").alias("mix_c"), F.col("mix_bucket").alias("mix_b"), "mix_before", "mix_source_size", "mix_target", offset.alias("mix_offset"),
+        F.when(F.col("mix_source_size") > 0, F.col("mix_target") / F.col("mix_source_size")).otherwise(0.0).alias("mix_rate"),
     )
-    within = Window.partitionBy("source", "_class", "_bucket").orderBy("_size", "_key")
-    d = d.withColumn("_place", F.row_number().over(within).cast("long"))
-    d = d.join(cells, F.col("source").eqNullSafe(F.col("_source")) & (F.col("_class") == F.col("_c")) & (F.col("_bucket") == F.col("_b")))
-    place = F.col("_before") + F.col("_place")
-    reached = lambda x: F.floor(x * F.col("_rate") + F.col("_offset"))
-    d = d.withColumn("_copies", (reached(place) - reached(place - 1)).cast("long"))
-    return d.select(*[F.col(c) for c in docs.columns if not c.startswith("_")], "_size", "_source_size", "_target", "_copies")
+    within = Window.partitionBy("source", "mix_class", "mix_bucket").orderBy("mix_size", "mix_key")
+    d = d.withColumn("mix_place", F.row_number().over(within).cast("long"))
+    d = d.join(cells, F.col("source").eqNullSafe(F.col("mix_source")) & (F.col("mix_class") == F.col("mix_c")) & (F.col("mix_bucket") == F.col("mix_b")))
+    place = F.col("mix_before") + F.col("mix_place")
+    reached = lambda x: F.floor(x * F.col("mix_rate") + F.col("mix_offset"))
+    d = d.withColumn("mix_copies", (reached(place) - reached(place - 1)).cast("long"))
+    return d.select(*[F.col(c) for c in docs.columns if not c.startswith("mix_")], "mix_size", "mix_source_size", "mix_target", "mix_copies")
 
 
 def emit(mixed_docs: DataFrame) -> DataFrame:
     """Each document as often as the mix takes it, in its own columns."""
-    copies = mixed_docs.filter(F.col("_copies") > 0)
-    return copies.withColumn("_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_copies")))).select(*[c for c in mixed_docs.columns if not c.startswith("_")])
+    copies = mixed_docs.filter(F.col("mix_copies") > 0)
+    return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[c for c in mixed_docs.columns if not c.startswith("mix_")])
 
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     m = mix(docs.select("doc_id", "text", "source"))
-    return m.select("doc_id", F.col("_size").alias("size"), F.col("_source_size").alias("source_size"), F.col("_target").alias("target"), (F.col("_copies") * F.col("_size")).alias("taken"))
+    return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
 #: The same mix for DuckDB.

@@ -217,5 +217,5 @@ def one_of_each(docs: DataFrame, percent: int = 80) -> DataFrame:
 
     A document without an id stays if its whole group has none.
     """
-    stay = groups(docs, percent).filter("kept").select(F.xxhash64("doc_id").alias("_h")).distinct()
-    return docs.withColumn("_h", F.xxhash64("doc_id")).join(stay, "_h", "left_semi").dropDuplicates(["doc_id", "text"]).select(*docs.columns)
+    stay = groups(docs, percent).filter("kept").select(F.xxhash64("doc_id").alias("neardup_kept")).distinct()
+    return docs.join(stay, F.xxhash64(docs["doc_id"]) == stay["neardup_kept"], "left_semi").dropDuplicates(["doc_id", "text"])

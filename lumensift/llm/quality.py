@@ -154,22 +154,22 @@ def train(docs: DataFrame, labels: DataFrame, folds: int = 5, rows: int = SAMPLE
     return Network().fit(texts, y) if len(y) else Network()
 
 
-def score(docs: DataFrame, network: Network) -> DataFrame:
-    """docs with a last column score: the probability of label 1.
+def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
+    """docs with a last column `name`: the probability of label 1.
 
     Null and empty texts are scored as the text without bytes; long texts are read whole. Repeated rows stay, an empty
-    table gives an empty one, a column named score is replaced and any others stay.
+    table gives an empty one, a column of that name is replaced and any others stay.
     """
-    kept = [c for c in docs.columns if c != "score"]
+    kept = [c for c in docs.columns if c != name]
     shared = docs.sparkSession.sparkContext.broadcast(network)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in common.text_slices(batches):
             data, begins = common.text_bytes(part.column("text"))
             found = shared.value.score(data, begins[:-1], begins[1:] - 1)
-            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.float64())], names=[*kept, "score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.float64())], names=[*kept, name])
 
-    return docs.select(*kept).mapInArrow(run, common.fields(docs, kept) + ", score double")
+    return docs.select(*kept).mapInArrow(run, ", ".join([common.fields(docs, kept), f"{name} double"]))
 
 
 def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -180,4 +180,4 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The documents that the classifier doesn't reject, in their own columns."""
-    return score(docs, train(docs, labels)).filter(F.col("score") >= THRESHOLD).select(*docs.columns)
+    return score(docs, train(docs, labels), "quality_score").filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)

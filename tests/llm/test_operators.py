@@ -1,0 +1,528 @@
+"""The operators against brute force, on the smallest tables with edge cases added, and on edge cases alone."""
+
+import collections
+import hashlib
+import math
+import zlib
+
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lumensift.llm import ann, bpe, common, entries, graph, langid, lm, mixing, neardup, quality, substring, topk, urls
+
+DIR = "/root/testdata/sf0.001"
+DOC = "doc_id long, text string, lang string, source string, n_chars long"
+LONG = " ".join(f"w{i % 977}x{i % 31}" for i in range(60_000))
+EDGES = [
+    (100_000, None, "en", "edge", None),
+    (100_001, "", None, None, 0),
+    (100_002, " \t\n", "en", None, 3),
+    (100_003, "one two", "en", "edge", 7),
+    (100_004, "ONE\x0btwo", "en", "edge", 7),
+    (100_005, LONG, "en", "edge", len(LONG)),
+    (100_005, LONG, "en", "edge", len(LONG)),
+    (None, "no id here at all, none", "fr", "edge", None),
+    (None, None, None, None, None),
+    (100_007, "日本語 🙂 été   Ünïcode 123 \x00", "de", "edge", 1),
+    (100_008, "!!! 123 ...", "en", "edge", 1),
+]
+
+
+@pytest.fixture(scope="module")
+def docs(spark):
+    rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()]
+    return spark.createDataFrame(rows + EDGES, DOC).repartition(3).cache()
+
+
+@pytest.fixture(scope="module")
+def empty(spark):
+    return spark.createDataFrame([], DOC)
+
+
+@pytest.fixture(scope="module")
+def clash(docs):
+    """Extra columns named as the operators name theirs."""
+    return docs.select("*", *[F.lit(f"own {c}").alias(c) for c in ("score", "size", "cls", "label", "th", "words", "ids", "held_out", "block", "mins", "neardup", "_h", "_size", "target", "predicted")])
+
+
+def words(text):
+    return (text or "").encode().lower().split()
+
+
+def shingles(text, k=5):
+    w = words(text)
+    return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
+
+
+def held(doc_id, folds):
+    return doc_id is None or zlib.crc32(str(doc_id).encode()) % folds == 0
+
+
+def test_hashes_are_those_of_words():
+    import pyarrow as pa
+
+    texts = ["a bb  CCC", None, "", "\x0bx\r\n", LONG]
+    data, starts, ends, hashes, counts = common.words_of(pa.array(texts))
+    own = [w for t in texts for w in words(t)]
+    assert [data[a:b].tobytes() for a, b in zip(starts, ends, strict=True)] == own
+    assert counts.tolist() == [len(words(t)) for t in texts]
+    assert len(set(zip(own, hashes.tolist(), strict=True))) == len(set(own)) == len(set(hashes.tolist()))
+
+
+# --- 1 ---
+
+
+def test_quality(spark, docs, empty):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    net = quality.train(docs, labels)
+    got = quality.score(docs, net).collect()
+    assert len(got) == docs.count()
+    assert all(0 <= r.score <= 1 for r in got)
+    alone = {r.text: net.score(np.frombuffer((r.text or "").encode(), np.uint8), np.array([0]), np.array([len((r.text or "").encode())]))[0] for r in got[:20]}
+    assert all(r.score == pytest.approx(alone[r.text], abs=1e-5) for r in got[:20])  # no text sees its neighbours
+    assert quality.digest(empty, labels).count() == 0
+    assert quality.digest(docs, labels.limit(0)).count() == docs.count()
+
+
+def test_quality_learns(spark):
+    r = np.random.default_rng(1)
+    good = [" ".join(r.choice(["sun", "moon", "river", "stone", "cloud"], 30)).encode() for _ in range(150)]
+    bad = [w.upper().replace(b" ", b"!! ") for w in good]
+    net = quality.Network().fit(good[:100] + bad[:100], np.repeat([1, 0], 100), epochs=6)
+    for texts, label in ((good[100:], 1), (bad[100:], 0)):
+        size = np.array([len(t) for t in texts])
+        s = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+        assert ((s > 0.5) == label).mean() > 0.95
+
+
+def test_quality_gradient():
+    net, texts = quality.Network(filters=4, hidden=3, seed=3), [b"abcabcabd" * 80, b"zz", b"hello world " * 30]
+    size = np.array([len(t) for t in texts])
+    args = (np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size))
+    y, w = np.array([1, 0, 1]), np.ones(3)
+    g = net.gradient(*args, y, w)
+
+    def loss():
+        p = net.score(*args)
+        return -np.mean(y * np.log(p) + (1 - y) * np.log(1 - p))
+
+    for name, at in (("w3", 0), ("b2", 1), ("bias", 2), ("w2", (1, 2)), ("table", (0, ord("a"), 1))):
+        old = net.p[name][at]
+        values = []
+        for d in (1e-3, -1e-3):
+            net.p[name][at] = old + d
+            values.append(loss())
+        net.p[name][at] = old
+        assert (values[0] - values[1]) / 2e-3 == pytest.approx(float(g[name][at]), abs=2e-3)
+
+
+# --- 2 ---
+
+
+def test_langid(docs, empty, clash):
+    got = langid.digest(docs).collect()
+    by = {r.doc_id: r for r in got}
+    assert len(got) == docs.count()
+    assert {by[i].lang_pred for i in (100_000, 100_001, 100_002, 100_008)} == {"und"}
+    known = [(r.lang, by[r.doc_id]) for r in docs.filter("lang is not null and doc_id < 100000").collect()]
+    assert np.mean([a == b.lang_pred for a, b in known if b.held_out]) > 0.9
+    assert all(0 <= r.score <= 1 for r in got)
+    assert langid.digest(empty).count() == 0
+    assert langid.fit(docs.withColumn("lang", F.lit(None).cast("string"))).languages == []
+    assert "label" in langid.identify(clash, langid.fit(docs)).columns
+
+
+def test_langid_counts_are_those_of_sets():
+    import pyarrow as pa
+
+    texts = pa.array(["the cat sat", "le chat noir"])
+    gram, first = langid.grams(texts)
+    tables = [np.zeros(1 << 16, np.uint8)]
+    for i in range(2):
+        for p in langid.places(gram[first[i] : first[i + 1]], 16):
+            np.bitwise_or.at(tables[0], p, np.uint8(1 << i))
+    f = langid.Filters(["en", "fr"], tables, 16)
+    assert f.decide(texts)[0] == ["en", "fr"]
+    many = np.diff(first)
+    assert f.counts(gram, first)[0, 0] == pytest.approx(many[0], abs=0.01 * many[0])
+
+
+# --- 3 ---
+
+
+def test_bpe_equals_the_library(docs, empty, clash):
+    import public_tokenizers as P
+    import tiktoken
+
+    path = P.path("byte_bpe_50k.tiktoken")
+    with open(path, "rb") as lines:
+        enc = tiktoken.Encoding("own", pat_str=P.PATTERN, mergeable_ranks=bpe.read_ranks(lines), special_tokens={})
+    for r in bpe.encode(docs, path, P.PATTERN).collect():
+        ids = enc.encode_ordinary(r.text or "")
+        assert np.frombuffer(r.ids, "<u4").tolist() == ids
+        assert r.n_tokens == len(ids)
+        assert r.ids_sha256 == hashlib.sha256(np.array(ids, "<u4").tobytes()).hexdigest()
+        assert r.decoded_sha256 == hashlib.sha256((r.text or "").encode()).hexdigest()
+    assert bpe.digest(empty, path, P.PATTERN).count() == 0
+    assert bpe.encode(clash, path, P.PATTERN).filter("n_tokens > 0").first()["label"] == "own label"
+
+
+@pytest.mark.parametrize("seed", range(5))
+def test_replay_equals_plain_merging(seed):
+    r = np.random.default_rng(seed)
+    tokens = [bytes([b]) for b in range(256)]
+    while len(tokens) < 330:  # vocabularies in which a long token may come before its parts
+        new = b"".join(r.choice([b"a", b"b", b"c"], r.integers(2, 5)).tolist())
+        if new not in tokens:
+            tokens.append(new)
+    ranks = {t: i for i, t in enumerate(tokens)}
+
+    def plain(piece):
+        if piece in ranks:
+            return [ranks[piece]]
+        parts = [piece[i : i + 1] for i in range(len(piece))]
+        while True:
+            found = [(ranks[parts[i] + parts[i + 1]], i) for i in range(len(parts) - 1) if parts[i] + parts[i + 1] in ranks]
+            if not found:
+                return [ranks[p] for p in parts]
+            i = min(found)[1]
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+
+    pieces = list({b"".join(r.choice([b"a", b"b", b"c"], r.integers(1, 30)).tolist()) for _ in range(200)}) + [b"a" * 50]
+    codec = bpe.Codec(ranks)
+    ids, begins = codec.replay(pieces)
+    assert [ids[a:b].tolist() for a, b in zip(begins[:-1], begins[1:], strict=True)] == [plain(p) for p in pieces]
+    assert codec.decode(ids.tolist()) == b"".join(pieces)
+
+
+# --- 4 ---
+
+
+def test_lm(docs, empty, monkeypatch):
+    monkeypatch.setattr(lm, "BLOCK_BYTES", 50_000)
+    monkeypatch.setattr(lm, "RANGE_WORDS", 5000)
+    rows = docs.select("doc_id", "text").collect()
+    tokens = [(r.doc_id, [*words(r.text), None]) for r in rows]
+    c = collections.Counter(x for d, w in tokens if not held(d, 10) for x in w)
+    pairs = collections.Counter(p for d, w in tokens if not held(d, 10) for p in zip([0, *w], w, strict=False))
+    n, v = sum(c.values()), len(c)
+    trained = sum(not held(d, 10) for d, _ in tokens)
+    want = []
+    for d, w in tokens:
+        base = [(c[x] + 0.1) / (n + 0.1 * (v + 1)) for x in w]
+        exact = [(pairs[p] + lm.KAPPA * b) / ((trained if p[0] == 0 else c[p[0]]) + lm.KAPPA) for p, b in zip(zip([0, *w], w, strict=False), base, strict=True)]
+        want.append((str(d), held(d, 10), len(w), sum(c[x] > 0 for x in w), n, sum(map(math.log10, base)), sum(map(math.log10, exact))))
+    got = sorted(((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score, r.score) for r in lm.score(docs).collect()), key=str)
+    for a, b in zip(got, sorted(want, key=str), strict=True):
+        assert a[:5] == b[:5]
+        assert a[5] == pytest.approx(b[5], abs=1e-6)
+        assert a[6] == pytest.approx(b[6], abs=0.5 + 0.06 * a[2])  # counts are quantised, and the filter errs now and then
+    assert lm.score(empty).count() == 0
+    assert [r.score for r in lm.score(docs.filter("doc_id is null and text is null")).collect()] == [0.0]
+
+
+def test_filter_never_loses_a_count():
+    pair = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
+    times = np.random.default_rng(1).integers(1, 100, 5000)
+    segment = np.zeros(200_000, np.uint8)
+    for j in range(1, 25):
+        for s in lm.spots(pair[times >= lm.BOUNDS[j - 1]], j, 8 * len(segment)):
+            np.bitwise_or.at(segment, s >> 3, np.uint8(1) << (s & 7).astype(np.uint8))
+    got = lm.LogFrequencyFilter([segment]).counts(pair)
+    assert (got >= times * 0.85).all()
+    assert (got <= times * 1.15 + 1).mean() > 0.9
+
+
+# --- 5 and 10 ---
+
+VEC = "vec_id long, embedding array<float>, label int, score string"
+
+
+@pytest.fixture(scope="module")
+def vectors(spark):
+    rows = [(r.vec_id, r.embedding, 1, "x") for r in spark.read.parquet(f"{DIR}/embeddings.parquet").collect()]
+    size = len(rows[0][1])
+    odd = [(100_050, None), (100_051, [0.0] * size), (100_100, [float("nan")] * size), (100_150, [None] * size), (100_052, [float("inf")] * size), (100_053, []), (None, rows[7][1]), (rows[3][0] + 1000, rows[3][1]), (rows[0][0], rows[0][1]), (100_200, rows[0][1]), (100_250, [1e30] * size)]
+    return spark.createDataFrame(rows + [(i, e, 1, "x") for i, e in odd], VEC).repartition(3).cache()
+
+
+def fit_rows(vectors, zero):
+    ok = lambda e: e and all(x is not None and math.isfinite(x) for x in e) and (zero or any(e))
+    return [(r.vec_id, np.array(r.embedding, np.float64)) for r in vectors.collect() if ok(r.embedding)]
+
+
+def last(i):
+    return (i is None, i or 0)
+
+
+def test_topk_is_exact(vectors):
+    rows = [(i, [math.floor(256 * x) for x in e.tolist()]) for i, e in fit_rows(vectors, True)]
+    m = {i: v for i, v in rows if i is not None and i % 50 == 0}
+    want = set()
+    for q, e in m.items():
+        if max(map(abs, e)) > 2**40:
+            continue
+        s = sorted(((-sum(map(int.__mul__, e, x)), last(i), i) for i, x in rows if i != q and max(map(abs, x)) < 2**40))[:5]
+        want |= {(q, n + 1, i, -v) for n, (v, _, i) in enumerate(s)}
+    small = vectors.filter("vec_id is null or vec_id <> 100250")
+    assert {tuple(r) for r in topk.search(small).collect()} == want
+    assert topk.search(vectors).filter("query_id = 0").count() == 5
+    assert topk.search(vectors.limit(0)).count() == 0
+    assert topk.search(vectors.filter("vec_id in (0, 3)")).filter("query_id = 0").count() <= 2
+
+
+def test_ann_recall(vectors, spark):
+    rows = fit_rows(vectors, False)
+    got = collections.defaultdict(dict)
+    for r in ann.nearest(vectors).collect():
+        got[r.query_id][r.rank] = (r.vec_id, r.score)
+    hits = total = 0
+    for q, e in {i: v for i, v in rows if i is not None and i % 50 == 0}.items():
+        s = sorted((-float(e @ x / np.linalg.norm(e) / np.linalg.norm(x)), last(i), i) for i, x in rows if i != q)[:5]
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        exact = {i: -v for v, _, i in s}
+        hits += sum(i in exact for i, _ in got[q].values())
+        total += 5
+        assert all(v == pytest.approx(exact[i], abs=1e-12) for i, v in got[q].values() if i in exact)
+    assert hits / total >= 0.9
+    assert got[0][1][0] == 100_200  # an equal vector
+    assert ann.nearest(vectors.limit(0)).count() == 0
+    few = vectors.filter("vec_id in (0, 3, 5)")
+    assert {r.vec_id for r in ann.nearest(few).filter("query_id = 0").collect()} == {3, 5}
+
+
+# --- 6 ---
+
+
+def test_mixing(docs, empty, clash):
+    got = mixing.digest(docs).collect()
+    assert sorted(map(str, got)) == sorted(map(str, mixing.digest(docs.repartition(5)).collect()))
+    text = collections.defaultdict(set)
+    source = {}
+    for r in docs.collect():
+        text[r.doc_id].add(len(words(r.text)))
+        source[r.doc_id] = r.source
+    sizes = collections.Counter()
+    for r in docs.collect():
+        sizes[r.source] += len(words(r.text))
+    names = sorted((s for s in sizes if s is not None)) + [None]
+    weight = {s: (1, 2, 3)[i % 3] for i, s in enumerate(names)}
+    total, target, left = sum(sizes.values()), {}, dict(sizes)
+    while True:  # share, stop those above, share the rest again
+        rest, w = total - sum(target.values()), sum(weight[s] for s in left)
+        over = [s for s in left if rest * weight[s] / w > 3 * sizes[s]]
+        if not over:
+            target.update({s: rest * weight[s] / w for s in left})
+            break
+        for s in over:
+            target[s] = 3.0 * sizes[s]
+            del left[s]
+    taken = collections.Counter()
+    for r in got:
+        assert r.size in text[r.doc_id]
+        assert r.taken <= 3 * r.size
+        if r.doc_id is not None:
+            assert r.source_size == sizes[source[r.doc_id]]
+            assert r.target == pytest.approx(target[source[r.doc_id]])
+            taken[source[r.doc_id]] += r.taken
+    for s in names[:-1]:
+        if s != "edge":
+            assert abs(taken[s] - target[s]) <= 2 * max(x for d, v in text.items() if source[d] == s for x in v)
+    assert mixing.digest(empty).count() == 0
+    m = mixing.mix(clash)
+    out = mixing.emit(m)
+    assert out.columns == clash.columns
+    assert out.count() == sum(r.mix_copies for r in m.collect())
+
+
+# --- 7 ---
+
+
+def passage(seed, n):
+    return " ".join(f"p{seed}q{x}" for x in np.random.default_rng(seed).integers(0, 10**6, n))
+
+
+def test_substring(spark, empty):
+    shared, fuzzy = passage(1, 60), passage(2, 80).split()
+    changed = list(fuzzy)
+    changed[30], changed[55] = "other", "words"
+    rows = [
+        (1, passage(11, 40) + " " + shared + " " + passage(12, 40)),
+        (2, passage(13, 10) + " " + shared.upper() + " " + passage(14, 30)),
+        (3, shared + "\n" + passage(15, 200)),
+        (4, " ".join(fuzzy)),
+        (5, passage(16, 100) + " " + " ".join(changed)),
+        (6, passage(17, 300)),
+        (7, passage(18, 45) + " " + passage(19, 45)),
+        (8, passage(18, 45) + " " + passage(20, 45)),
+        (9, None),
+        (10, ""),
+        (None, shared),
+        (6, passage(17, 300)),
+        (11, "du " * 400),
+        (12, passage(21, 20) + " du" * 300),
+    ]
+    docs = spark.createDataFrame([(i, t, len(t or "")) for i, t in rows], "doc_id long, text string, n_chars long")
+    got = {(r.doc_id, r.other_doc_id, r.start_word, r.end_word) for r in substring.digest(docs).collect()}
+    assert {(2, 1, 10, 70), (3, 1, 0, 60)} <= got
+    assert {(a, b) for a, b, *_ in got} <= {(2, 1), (3, 1), (3, 2), (5, 4), (12, 11)}
+    assert (5, 4, 100, 180) in got
+    assert (12, 11) in {(a, b) for a, b, *_ in got}
+    left = {(r.doc_id, r.text): r for r in substring.without_repeats(docs).collect()}
+    assert len(left) == len(set(rows))
+    by = {r.doc_id: r for r in left.values() if r.doc_id is not None}
+    assert by[1].text == rows[0][1]
+    assert by[2].text == passage(13, 10) + " " + passage(14, 30)
+    assert by[2].n_chars == len(by[2].text)
+    assert by[3].text == passage(15, 200)
+    assert by[5].text.strip() == passage(16, 100)
+    assert by[7].text == rows[6][1]
+    assert substring.without_repeats(empty).count() == 0
+
+
+def test_substring_finds_all_exact_passages(docs):
+    cut = collections.defaultdict(list)
+    for r in substring.digest(docs).collect():
+        cut[r.doc_id].append((r.start_word, r.end_word))
+    seen, missed, total = {}, 0, 0
+    for d, t in sorted({(r.doc_id, r.text) for r in docs.collect() if r.doc_id is not None and r.text}):
+        w = words(t)
+        for i in range(len(w) - 49):
+            own = tuple(w[i : i + 50])
+            if len(set(own)) > 5 and seen.setdefault(own, d) != d:
+                total += 1
+                missed += not any(a <= i and i + 50 <= b for a, b in cut[d])
+    assert total > 100
+    assert missed == 0
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_chain_is_the_best_one(seed):
+    r = np.random.default_rng(seed)
+    n = 9
+    low, high, size = r.integers(0, 60, n), np.sort(r.integers(0, 60, n)), r.integers(3, 8, n)
+
+    def best(j):
+        return size[j] + max([0.0] + [best(i) - (low[j] - low[i] - size[i]) - (high[j] - high[i] - size[i]) for i in range(n) if low[i] + size[i] <= low[j] and high[i] + size[i] <= high[j]])
+
+    top = substring.chain(low, high, size)[0]
+    value = sum(int(size[j]) for j in top) - sum(int(low[b] - low[a] - size[a] + high[b] - high[a] - size[a]) for a, b in zip(top, top[1:], strict=False))
+    assert value == max(best(j) for j in range(n))
+
+
+# --- 8 ---
+
+
+def brute_groups(rows, percent):
+    sets = [(d, shingles(t)) for d, t in rows]
+    label = list(range(len(sets)))
+
+    def root(x):
+        while label[x] != x:
+            x = label[x]
+        return x
+
+    for i, (_, a) in enumerate(sets):
+        for j, (_, b) in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                label[root(i)] = root(j)
+    least = {}
+    for i, (d, _) in enumerate(sets):
+        if d is not None:
+            least[root(i)] = min(d, least.get(root(i), d))
+    return sorted(((d, len(s), least.get(root(i))) for i, (d, s) in enumerate(sets)), key=str)
+
+
+def test_neardup(spark, docs, empty, clash, monkeypatch):
+    base = passage(31, 120).split()
+    r = np.random.default_rng(5)
+    near = []
+    for i in range(40):  # a group that the trees can't split, some of it linked
+        own = list(base)
+        for j in r.choice(120, int(r.integers(0, 9)), replace=False):
+            own[j] = f"edit{i}x{j}"
+        near.append((200_000 + i, " ".join(own), "en", "near", 1))
+    both = docs.unionByName(spark.createDataFrame(near, DOC)).cache()
+    rows = [(x.doc_id, x.text) for x in both.collect()]
+    for percent, block in ((85, 1024), (80, 8)):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        got = sorted(((x.doc_id, x.n_shingles, x.component_id) for x in neardup.groups(both, percent).collect()), key=str)
+        assert got == brute_groups(rows, percent)
+    assert neardup.groups(empty).count() == 0
+    kept = neardup.one_of_each(clash)
+    assert kept.columns == clash.columns
+    assert kept.filter("doc_id = 100005").count() == 1
+    assert kept.filter("doc_id in (100003, 100004)").count() == 1
+    assert kept.filter("doc_id in (100000, 100001, 100002)").count() == 3
+
+
+def test_linked_by_columns():
+    r = np.random.default_rng(2)
+    items = [np.unique(r.integers(0, 60, 50).astype(np.uint64)) for _ in range(30)]
+    want = [[i == j or 100 * len(set(a) & set(b)) >= 40 * len(set(a) | set(b)) for j, b in enumerate(items)] for i, a in enumerate(items)]
+    assert neardup.linked(items, 40, columns=7).tolist() == want
+
+
+def test_components(spark):
+    r = np.random.default_rng(3)
+    links = [(int(a), int(b)) for a, b in r.integers(0, 400, (230, 2))] + [(1000 + i, 1001 + i) for i in range(40)]
+    label = {x: x for link in links for x in link}
+    for _ in range(200):
+        for a, b in links:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {x.id: x.component for x in graph.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    alone = {a for a, b in links if a == b}
+    assert got == {k: v for k, v in label.items() if k in got}
+    assert set(label) - set(got) <= alone
+
+
+# --- 9 ---
+
+URLS = {
+    "http://a.example.org/es/1": ("a.example.org", "/es/1", "example.org/es/", "block"),
+    "HTTP://Example.ORG/en/12?x": ("example.org", "/en/12", "example.org/en/1", "block"),
+    "x://example.org/en/2#y": ("example.org", "/en/2", "org/", "allow"),
+    "x://notexample.org/es/": ("notexample.org", "/es/", "org/", "allow"),
+    "https://b.com/fr/x": ("b.com", "/fr/x", "com/fr/", "allow"),
+    "https://b.com/de/": ("b.com", "/de/", "com/de/", "block"),
+    "https://org": ("org", "", None, "allow"),
+    "https://xorg/": ("xorg", "/", None, "allow"),
+    "https://c.net?q/de/": ("c.net", "", None, "allow"),
+    "no scheme": ("", "", None, "allow"),
+    "://": ("", "", None, "allow"),
+    None: ("", "", None, "allow"),
+}
+
+
+def test_urls(spark):
+    rows = [(i, u, "<p>cheap flights</p>" if i % 2 else None) for i, u in enumerate([*URLS, "https://b.com/de/"])] + [(None, "https://b.com/de/", "x")]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string").withColumn("rule", F.lit("own")).withColumn("token", F.lit("own"))
+    got = urls.judge(pages).collect()
+    assert len(got) == len(rows)
+    want = {i: URLS[u] for i, u, _ in rows}
+    for r in got:
+        assert (r.host, r.path, r.rule) == want[r.page_id][:3]
+        if r.rule or not r.host:
+            assert r.verdict == want[r.page_id][3]
+    assert urls.judge(pages.limit(0)).count() == 0
+
+
+def test_urls_learn(spark):
+    rows = [(i, f"http://h{i}.com/de/casinobonus{i}", "casino bonus flower garden") for i in range(60)] + [(100 + i, f"http://h{i}.org/flowergarden{i}", None) for i in range(60)]
+    rows += [(1000, "http://bonuscasino.net/casino/bonus", None), (1001, "http://gardenflower.net/flower", None)]
+    got = {r.page_id: r for r in urls.judge(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert (got[1000].verdict, got[1001].verdict) == ("block", "allow")
+
+
+def test_best_cut():
+    count = {"cheap": 50, "flights": 30, "heap": 5, "c": 1, "flight": 20, "s": 3}
+    name = "cheapflights"
+    known = {(i, j): count[name[i:j]] for i in range(12) for j in range(i + 1, 13) if name[i:j] in count}
+    assert urls.best_cut(name, known, 200) == ["cheap", "flights"]
+    assert urls.best_cut("qqq", {}, 200) == ["qqq"]
+    assert urls.best_cut("", {}, 0) == []
+
+
+def test_every_operator_has_a_query():
+    assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
