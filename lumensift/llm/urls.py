@@ -86,15 +86,15 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     pieces = starts.select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), n - F.col("start") + 1))).alias("size"))
     pieces = pieces.withColumn("word", F.substring(F.col("name"), F.col("start"), F.col("size")))
     hits = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct((F.col("start") - 1).alias("a"), (F.col("start") - 1 + F.col("size")).alias("b"), "n")).alias("hits"))
-    total = words.agg(F.sum("n").alias("total"))  # one row
-    rows = names.join(hits, "name", "left").join(F.broadcast(total))
+    total = words.agg(F.sum("n")).first()[0] or 0
+    rows = names.join(hits, "name", "left")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            cut = [best_cut(r["name"], {(h["a"], h["b"]): h["n"] for h in r["hits"] or ()}, r["total"] or 0) for r in batch.to_pylist()]
+            cut = [best_cut(r["name"], {(h["a"], h["b"]): h["n"] for h in r["hits"] or ()}, total) for r in batch.to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("name"), pa.array(cut, pa.list_(pa.string()))], names=["name", "words"])
 
-    return rows.select("name", "hits", "total").mapInArrow(run, "name string, words array<string>")
+    return rows.select("name", "hits").mapInArrow(run, "name string, words array<string>")
 
 
 def names_of(host: Column, path: Column) -> Column:
@@ -119,17 +119,15 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     tokens = named.join(cut, "name", "left").select("host", "path", "times", "by_rule", F.explode(F.coalesce("words", F.array("name"))).alias("token"))
     tokens = common.written(tokens, "tokens")
     known = tokens.filter("by_rule is not null").groupBy("token").agg(F.sum(F.when(F.col("by_rule") == "block", F.col("times")).otherwise(0)).alias("b"), F.sum(F.when(F.col("by_rule") == "allow", F.col("times")).otherwise(0)).alias("a"))
-    sums = known.agg(F.coalesce(F.sum("a"), F.lit(0)).alias("na"), F.coalesce(F.sum("b"), F.lit(0)).alias("nb"), F.count(F.lit(1)).alias("v"))
-    sums = sums.join(urls.agg(F.coalesce(F.sum(F.when(F.col("by_rule") == "allow", F.col("times"))), F.lit(0)).alias("ua"), F.coalesce(F.sum(F.when(F.col("by_rule") == "block", F.col("times"))), F.lit(0)).alias("ub")))
-    sums = common.written(sums, "sums")  # one row
+    na, nb, v = (x or 0 for x in known.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first())
+    ua, ub = (x or 0 for x in urls.agg(*[F.sum(F.when(F.col("by_rule") == act, F.col("times"))) for act in ("allow", "block")]).first())
     seeds = pages.sparkSession.createDataFrame([(w, 1) for w in BLOCK_WORDS], "token string, seed int")
-    odds = known.join(seeds, "token", "full").crossJoin(F.broadcast(sums)).select(
-        "token", F.log((F.coalesce("b", F.lit(0)) + 1 + F.coalesce("seed", F.lit(0)) * F.col("nb") * BLOCK_SHARE) / (F.col("nb") + F.col("v") + 1)).alias("lb"), F.log((F.coalesce("a", F.lit(0)) + 1) / (F.col("na") + F.col("v") + 1)).alias("la")
-    )
+    rarest = math.log((na + v + 1) / (nb + v + 1))  # of a token that no rule has shown
+    lb = F.log(F.coalesce("b", F.lit(0)) + 1 + F.coalesce("seed", F.lit(0)) * (nb * BLOCK_SHARE))
+    odds = known.join(seeds, "token", "full").select("token", (lb - F.log(F.coalesce("a", F.lit(0)) + F.lit(1)) + rarest).alias("odds"))
     per = tokens.filter("by_rule is null").groupBy("host", "path", "token").agg(F.count(F.lit(1)).alias("k"))
-    scored = per.join(odds, "token", "left").crossJoin(F.broadcast(sums)).withColumn("x", F.coalesce(F.col("lb") - F.col("la"), F.log((F.col("na") + F.col("v") + 1) / (F.col("nb") + F.col("v") + 1))) * F.col("k"))
-    scored = scored.groupBy("host", "path").agg(F.sum("x").alias("x"))
-    prior = F.log((F.col("ub") + 1) / (F.col("ua") + 1))
-    done = urls.join(scored, ["host", "path"], "left").crossJoin(F.broadcast(sums))
+    scored = per.join(odds, "token", "left").groupBy("host", "path").agg(F.sum(F.coalesce("odds", F.lit(rarest)) * F.col("k")).alias("x"))
+    prior = math.log((ub + 1) / (ua + 1))
+    done = urls.join(scored, ["host", "path"], "left")
     done = done.select("host", "path", "rule", F.coalesce("by_rule", F.when(F.coalesce("x", F.lit(0.0)) + prior > math.log(SURE / (1 - SURE)), "block").otherwise("allow")).alias("verdict"))
     return p.join(done, ["host", "path"]).select("page_id", "host", "path", "rule", "verdict")
