@@ -496,3 +496,104 @@ def _(p):
 @query("m9_set_role", "SELECT id, CASE WHEN id % 20 = 0 THEN 'student' ELSE role END AS role FROM profiles_v", "profiles_v")
 def _(p):
     return accounts.changed(p, p.filter("id % 20 = 0").select("id", F.lit("student").alias("role")), "role").select("id", "role")
+
+
+# --- smaller rules ---
+
+
+@query("f3_active", "SELECT chunk_id FROM vec_chunks_v WHERE NOT deleted", "vec_chunks_v")
+def _(c):
+    return c.filter(store.active()).select("chunk_id")
+
+
+@query("f5_least_words", r"SELECT doc_id FROM files_v WHERE trim(coalesce(text, '')) <> '' AND len(string_split_regex(trim(text), '\s+')) >= 6", "files_v")
+def _(f):
+    return f.filter(F.size(T.words(T.clean_chunk(F.col("text")))) >= retrieve.LEAST_WORDS).select("doc_id")
+
+
+@query("f7_no_answer", r"SELECT conv_id, turn, contains(trim(regexp_replace(regexp_replace(lower(content), '[^A-Za-z0-9_\s]', '', 'g'), '\s+', ' ', 'g')), 'of the') AS refused FROM messages_v", "messages_v")
+def _(m):
+    return m.select("conv_id", "turn", conversations.no_answer(F.col("content"), "Of the.").alias("refused"))
+
+
+@query("f11_shows_sources", "SELECT id, id % 2 = 0 AND id % 3 > 0 AND id % 5 > 0 AND id % 7 > 0 AS shown FROM logs_v", "logs_v")
+def _(logs):
+    i = F.col("id")
+    return logs.select("id", conversations.shows_sources(F.when(i % 2 == 0, "assistant").otherwise("user"), F.array_repeat(F.lit("f"), (i % 3).cast("int")), F.when(i % 5 == 0, F.lit(False)), F.when(i % 7 == 0, "homework_refusal")).alias("shown"))
+
+
+@query("j10_known_emails", "SELECT DISTINCT user_email AS email FROM logs_v WHERE user_email IN (SELECT 'u' || id || '@example.org' FROM profiles_v)", "logs_v", "profiles_v")
+def _(logs, p):
+    emails = logs.filter("user_email is not null").select(F.col("user_email").alias("email")).distinct()
+    return accounts.known(emails, p.select(F.concat(F.lit("U"), F.col("id").cast("string"), F.lit("@example.org")).alias("email")))
+
+
+@query("j11_display_name", "SELECT id, CASE WHEN id % 3 = 0 THEN full_name WHEN id % 3 = 1 THEN 'meta' WHEN id % 2 = 0 THEN split_part(email, '@', 1) ELSE 'Guest' END AS name FROM profiles_v", "profiles_v")
+def _(p):
+    i = F.col("id")
+    return p.select("id", accounts.display_name(F.when(i % 3 == 0, F.col("full_name")).otherwise(" "), F.when(i % 3 == 1, "meta"), F.when(i % 2 == 0, F.col("email"))).alias("name"))
+
+
+@query("m7_clear", "SELECT question, count(*) AS n FROM logs_v WHERE id % 9 = 0 GROUP BY 1", "logs_v")
+def _(logs):
+    return analytics.cleared(logs.withColumn("id", F.when(F.col("id") % 9 > 0, F.col("id")))).groupBy("question").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("m10_delete_conversation", "SELECT id FROM logs_v WHERE conversation_id NOT IN ('c3', 'c4') OR user_id IS NULL", "logs_v")
+def _(logs):
+    gone = logs.filter("conversation_id in ('c3', 'c4')").select("user_id", "conversation_id", "question", "answer")
+    return conversations.without_conversation(logs, gone).select("id")
+
+
+@query("p9_table_text", "SELECT p_partkey, 'name | size' || chr(10) || 'name: ' || p_name || ' | size: ' || p_size || chr(10) || p_brand AS text FROM part", "part")
+def _(p):
+    rows = F.array(F.array(F.lit("name"), F.lit(" size ")), F.array("p_name", F.col("p_size").cast("string")), F.array(F.col("p_brand")), F.array(F.lit(" "), F.lit(None).cast("string")))
+    return p.select("p_partkey", sources.table_text(rows).alias("text"))
+
+
+@query("p15_prompt", "SELECT id, CASE WHEN trim(coalesce(answer, '')) <> '' THEN 'Context:' || chr(10) || answer || chr(10) || chr(10) ELSE '' END || 'Latest user request:' || chr(10) || question AS prompt FROM logs_v", "logs_v")
+def _(logs):
+    return logs.select("id", retrieve.prompt(F.col("answer"), F.lit(None).cast("string"), F.lit(" "), F.col("question")).alias("prompt"))
+
+
+@query("p21_request", "SELECT id, CASE WHEN coalesce(user_id, '') <> '' THEN user_id ELSE question END AS text FROM logs_v", "logs_v")
+def _(logs):
+    return logs.select("id", T.request_text(F.col("user_id"), F.concat(F.lit(" "), "question")).alias("text"))
+
+
+@query("p22_conversation_id", "SELECT id, 'chat-' || (epoch_us(created_at) // 1000) || '-' || substr(md5(CAST(id AS VARCHAR)), 1, 6) AS conv FROM logs_v WHERE created_at IS NOT NULL", "logs_v")
+def _(logs):
+    return logs.filter("created_at is not null").select("id", T.conversation_id(F.col("created_at"), F.col("id").cast("string")).alias("conv"))
+
+
+@query("p23_suggestion_label", "SELECT id, CASE WHEN trim(coalesce(category, '')) <> '' THEN 'Did you mean ' || category || '?' WHEN trim(coalesce(answer, '')) <> '' THEN 'Did you mean ' || answer || '?' ELSE 'Did you mean one of these?' END AS label FROM logs_v", "logs_v")
+def _(logs):
+    return logs.select("id", T.suggestion_label(F.col("category"), F.col("answer")).alias("label"))
+
+
+@query("t4_newest_questions", "SELECT id, question FROM logs_v ORDER BY created_at DESC NULLS LAST, id LIMIT 5", "logs_v")
+def _(logs):
+    return analytics.newest(logs, 5).select("id", "question")
+
+
+@query("t6_three", "SELECT id, list_filter([trim(question), trim(coalesce(answer, '')), trim(coalesce(user_email, '')), 'last'], lambda x: x <> '')[1:3] AS three FROM logs_v", "logs_v")
+def _(logs):
+    return logs.select("id", T.three(F.array("question", F.coalesce("answer", F.lit("")), F.coalesce("user_email", F.lit("")), F.lit(" last "))).alias("three"))
+
+
+@query("u6_parsed", "SELECT id, [question, CAST(id AS VARCHAR)] AS found FROM logs_v", "logs_v")
+def _(logs):
+    reply = F.concat(F.lit('```json\n["'), "question", F.lit('", " '), F.col("id").cast("string"), F.lit('", ""]\n```'))
+    return logs.select("id", T.parsed_suggestions(reply).alias("found"))
+
+
+@query("w8_last_of_name", "SELECT 'file_' || (doc_id % 50) AS filename, max(lpad(CAST(doc_id AS VARCHAR), 12, '0')) AS path FROM documents GROUP BY 1", "documents")
+def _(d):
+    named = d.select(F.lpad(F.col("doc_id").cast("string"), 12, "0").alias("path"), F.concat(F.lit("file_"), (F.col("doc_id") % 50).cast("string")).alias("filename"))
+    return sources.last_of_name(named)
+
+
+@query("a14_source_list", "SELECT query_id, count(*) AS n FROM (SELECT vec_id % 7 AS query_id FROM embeddings) GROUP BY 1", "embeddings")
+def _(e):
+    parts = e.select((F.col("vec_id") % 7).alias("query_id"), F.col("vec_id").alias("rank"), F.lit("p").alias("part"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit(0.1).alias("distance"))
+    return retrieve.contexts(parts).select("query_id", F.size("sources").cast("long").alias("n"))
