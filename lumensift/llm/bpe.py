@@ -21,8 +21,8 @@ from pyspark.sql import DataFrame
 from . import common
 
 #: Pieces that a task keeps between blocks. It only saves work: what isn't kept is encoded again.
-KEPT_PIECES = 400_000
-BLOCK_BYTES = 8 << 20
+KEPT_PIECES = 200_000
+BLOCK_BYTES = 4 << 20
 
 
 def read_ranks(lines: Iterable[bytes]) -> dict[bytes, int]:
