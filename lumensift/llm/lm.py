@@ -2,8 +2,8 @@
 
 The filter holds the count of every word pair of the training texts, quantised: counts fall into levels whose bounds grow by
 a quarter, and a pair is stored once for each level up to its own. Its count is read back by probing levels until one is missing. The filter is cut into segments by hash,
-each built by one reducer with ten bits for each stored level, and is broadcast to the workers; its size is bounded by FILTER_BITS. Beyond that
-bound (some 50 million stored levels) nothing is left out, but probes go wrong more often: each segment's error rate is kept beside it.
+each built by one reducer with ten bits for each stored level, however many there are. No process holds the whole filter: every block
+asks the reducer that has a segment for its pairs' levels, and the number of segments grows with the tokens.
 
 Words travel as 64-bit hashes. Texts are tokenised once, into blocks: the block's distinct words in hash order and each
 token's number among them. Counts of single words are exact (by hash): every block asks the reducer that has a range of hashes for
@@ -27,7 +27,6 @@ END = np.uint64(0x5851F42D4C957F2D)  # the end of a text, a token
 START = np.uint64(0x14057B7EF767814F)  # before the first word; a condition, not a token
 BLOCK_BYTES = 6 << 20
 RANGE_WORDS = 1 << 19  # a reducer has so many entries, about
-FILTER_BITS = 1 << 29
 BITS_EACH, PROBES = 10, 5
 KAPPA = 8.0
 
@@ -42,6 +41,7 @@ def level_bounds(top: float = 1e15, growth: float = 1.25) -> np.ndarray:
 
 BOUNDS = level_bounds()
 MIDDLE = (BOUNDS[:-1] + BOUNDS[1:] - 1) / 2  # of level j at j - 1
+COUNT = np.append(0.0, MIDDLE)  # of level j at j
 
 
 def pack(x: np.ndarray) -> bytes:
@@ -143,12 +143,14 @@ class LogFrequencyFilter:
         self.size = np.array([8 * len(s) for s in segments], np.int64)
         self.begin = common.row_starts(self.size)[:-1]
         self.bits = np.concatenate(segments) if segments else np.zeros(0, np.uint8)
-        load = np.array([np.bitwise_count(s).sum() / max(1, 8 * len(s)) for s in segments])
-        self.error = load**PROBES  # of one probe, by segment
 
     def counts(self, pair: np.ndarray) -> np.ndarray:
         """The quantised count of each pair: the middle of its highest level's counts, 0 if it is in none."""
-        out = np.zeros(len(pair))
+        return COUNT[self.levels(pair)]
+
+    def levels(self, pair: np.ndarray) -> np.ndarray:
+        """The highest level that each pair is in, 0 if it is in none."""
+        out = np.zeros(len(pair), np.uint8)
         if not len(self.size):
             return out
         edges = (np.arange(len(self.size), dtype=object) * (1 << 64) // len(self.size)).astype(np.uint64)
@@ -163,44 +165,48 @@ class LogFrequencyFilter:
             left = left[there]
             if not len(left):
                 break
-            out[left] = MIDDLE[level - 1]
+            out[left] = level
         return out
 
 
-def pair_filter(packed: DataFrame, number: int, most_bits: int = FILTER_BITS) -> LogFrequencyFilter:
-    """The filter of the pairs of all training texts."""
+def segment_of(pair: np.ndarray, level: np.ndarray) -> np.ndarray:
+    """A segment that holds some distinct pairs up to their levels."""
+    segment = np.zeros(-(-max(BITS_EACH * int(level.sum()), 64) // 8), np.uint8)
+    for j in range(1, int(level.max(initial=0)) + 1):
+        for spot in spots(pair[level >= j], j, 8 * len(segment)):
+            np.bitwise_or.at(segment, spot >> 3, np.uint8(1) << (spot & 7).astype(np.uint8))
+    return segment
+
+
+def pair_levels(packed: DataFrame, number: int) -> DataFrame:
+    """(block, at, levels): for a block's distinct pairs, in hash order, from `at` on, their levels in the filter of all training texts."""
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in range(batch.num_rows):
                 held, counts, tokens, words = unpack(batch, row)
-                pair, n = np.unique(pairs_of(tokens, counts, words)[np.repeat(~held, counts)], return_counts=True)
-                n = n.astype("<u4")
+                pair, place = np.unique(pairs_of(tokens, counts, words), return_inverse=True)
+                n = np.bincount(place[np.repeat(~held, counts)], minlength=len(pair)).astype("<u4")
                 at = ranges(pair, number)
                 some = np.flatnonzero(np.diff(at))
-                yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), common.binary([pack(pair[at[i] : at[i + 1]]) for i in some]), common.binary([pack(n[at[i] : at[i + 1]]) for i in some])], names=["bucket", "pairs", "n"])
+                cut = [(at[i], at[i + 1]) for i in some]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(some.astype(np.int32)), pa.array([batch.column("block")[row].as_py()] * len(some), pa.int64()), pa.array([int(a) for a, _ in cut], pa.int64()), common.binary([pack(np.diff(pair[a:b], prepend=np.uint64(0))) for a, b in cut]), common.binary([pack(n[a:b]) for a, b in cut])],
+                    names=["bucket", "block", "at", "pairs", "n"],
+                )
 
-    def build(group: pa.Table) -> pa.Table:
-        pair = np.concatenate([unpacked(x, "<u8") for x in group.column("pairs")])
+    def answer(group: pa.Table) -> pa.Table:
+        pairs = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("pairs")]  # they travel as differences
         n = np.concatenate([unpacked(x, "<u4") for x in group.column("n")])
-        order = np.argsort(pair)
-        pair = pair[order]
-        first = np.flatnonzero(np.append(True, pair[1:] != pair[:-1]))
-        total = np.add.reduceat(n[order].astype(np.int64), first)
-        pair = pair[first]
+        distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
+        total = np.bincount(place, n, len(distinct)).astype(np.int64)
         level = np.minimum(np.searchsorted(BOUNDS, total, "right"), len(MIDDLE))
-        bits = min(BITS_EACH * int(level.sum()), most_bits // number)
-        segment = np.zeros(-(-max(bits, 64) // 8), np.uint8)
-        for j in range(1, int(level.max()) + 1):
-            for spot in spots(pair[level >= j], j, 8 * len(segment)):
-                np.bitwise_or.at(segment, spot >> 3, np.uint8(1) << (spot & 7).astype(np.uint8))
-        return pa.table([group.column("bucket")[:1], common.binary([segment.tobytes()])], names=["bucket", "segment"])
+        found = LogFrequencyFilter([segment_of(distinct, level)]).levels(distinct)[place]
+        at = common.row_starts(np.array([len(x) for x in pairs]))
+        return pa.table([group.column("block"), group.column("at"), common.binary([found[a:b].tobytes() for a, b in zip(at[:-1], at[1:], strict=True)])], names=["block", "at", "levels"])
 
-    rows = packed.select("held_out", "counts", "tokens", "words").mapInArrow(emit, "bucket int, pairs binary, n binary")
-    # at most most_bits of data in all
-    made = rows.groupBy("bucket").applyInArrow(build, "bucket int, segment binary").toArrow()
-    found = dict(zip(made.column("bucket").to_pylist(), made.column("segment").to_pylist(), strict=True))
-    return LogFrequencyFilter([np.frombuffer(found.get(i, b""), np.uint8) for i in range(number)] if found else [])
+    asked = packed.select("block", "held_out", "counts", "tokens", "words").mapInArrow(ask, "bucket int, block long, at long, pairs binary, n binary")
+    return asked.groupBy("bucket").applyInArrow(answer, "block long, at long, levels binary")
 
 
 def score(docs: DataFrame, folds: int = 10, kappa: float = KAPPA) -> DataFrame:
@@ -216,23 +222,28 @@ def score(docs: DataFrame, folds: int = 10, kappa: float = KAPPA) -> DataFrame:
     counts = word_counts(packed, max(1, int((size[0] or 0) // RANGE_WORDS) + 1))
     total = counts.agg(F.sum("n"), F.sum("v")).first()
     n, v = int(total[0] or 0), int(total[1] or 0)
-    shared = docs.sparkSession.sparkContext.broadcast(pair_filter(packed, max(1, int((size[1] or 0) // RANGE_WORDS) + 1)))
+    levels = pair_levels(packed, max(1, int((size[1] or 0) // RANGE_WORDS) + 1))
     # the start of a text is as frequent as its end
     trained = docs.select(common.held_out("doc_id", folds).alias("h")).filter(~F.col("h")).count()
 
     def run(block: pa.Table, answers: pa.Table) -> pa.Table:
         held, many, tokens, words = unpack(block.to_batches()[0], 0)
         c = np.zeros(len(words), np.int64)
-        for at, own in zip(answers.column("at").to_pylist(), answers.column("counts"), strict=True):
-            own = unpacked(own, "<i8")
-            c[at : at + len(own)] = own
+        pair, place = np.unique(pairs_of(tokens, many, words), return_inverse=True)
+        level = np.zeros(len(pair), np.uint8)
+        for at, own, of_pairs in zip(answers.column("at").to_pylist(), answers.column("counts"), answers.column("levels"), strict=True):
+            if own.is_valid:
+                own = unpacked(own, "<i8")
+                c[at : at + len(own)] = own
+            else:
+                own = np.frombuffer(of_pairs.as_buffer(), np.uint8)
+                level[at : at + len(own)] = own
         base = (c + 0.1) / (n + 0.1 * (v + 1))
         first = common.row_starts(many)
-        pair, place = np.unique(pairs_of(tokens, many, words), return_inverse=True)
         before = np.empty(len(tokens), np.int64)
         before[1:] = c[tokens[:-1]]
         before[first[:-1]] = trained
-        both = np.minimum(shared.value.counts(pair)[place], np.minimum(before, c[tokens]))  # what the filter adds by mistake is never more than a word's own count
+        both = np.minimum(COUNT[level][place], np.minimum(before, c[tokens]))  # what the filter adds by mistake is never more than a word's own count
         p = (both + kappa * base[tokens]) / (before + kappa)
         add = lambda x: np.add.reduceat(x, first[:-1])
         columns = [pa.array(held), pa.array(many), pa.array(add((c[tokens] > 0).astype(np.int64))), pa.array(np.full(len(many), n, np.int64)), pa.array(add(np.log10(base)[tokens])), pa.array(add(np.log10(p)))]
@@ -241,6 +252,6 @@ def score(docs: DataFrame, folds: int = 10, kappa: float = KAPPA) -> DataFrame:
     def of_block(left: pa.Table, right: pa.Table) -> pa.Table:
         return run(left.combine_chunks(), right)
 
-    packed, counts = (x.drop("n", "v") if "n" in x.columns else x for x in (packed, counts))
+    answers = counts.drop("n", "v").unionByName(levels, allowMissingColumns=True)
     out = f"doc_id {kind}, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
-    return packed.groupBy("block").cogroup(counts.groupBy("block")).applyInArrow(of_block, out)
+    return packed.groupBy("block").cogroup(answers.groupBy("block")).applyInArrow(of_block, out)

@@ -234,6 +234,23 @@ def test_filter_never_loses_a_count():
     assert (got <= times * 1.15 + 1).mean() > 0.9
 
 
+def test_segments_grow_with_their_pairs():
+    pair = np.random.default_rng(0).integers(0, 2**63, 400_000, dtype=np.uint64)
+    segment = lm.segment_of(pair[:200_000], np.full(200_000, 2))
+    f = lm.LogFrequencyFilter([segment])
+    assert (f.levels(pair[:200_000]) >= 2).all()
+    assert (f.levels(pair[200_000:]) > 0).mean() < 0.02
+
+
+def test_lm_gathers_no_filter(docs, monkeypatch):
+    def refuse(*args, **kwargs):
+        raise AssertionError("a table as large as the corpus would go through the driver")
+
+    monkeypatch.setattr(type(docs.sparkSession.sparkContext), "broadcast", refuse)
+    monkeypatch.setattr(type(docs), "toArrow", refuse)
+    assert lm.score(docs).count() == docs.count()
+
+
 # --- 5 and 10 ---
 
 VEC = "vec_id long, embedding array<float>, label int, score string"
