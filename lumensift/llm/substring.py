@@ -2,7 +2,9 @@
 
 Seeds are the minimizers of a text's k-word windows, so any K + W - 1 equal words share one. Occurrences of a seed are tied to
 the first and the last document that has it, within a slice of documents first and between slices then; so a seed in a
-third of all documents costs two rows a slice, and no group is paired with itself. Seeds shared by two documents are merged
+third of all documents costs two rows a slice, and no group is paired with itself. Neighbouring seeds may be tied to different
+documents; so, where shared seeds lie as close as in a repeated run, the windows of the least length are tied to their first document too, and no
+run that an earlier document has word for word is missed. Seeds shared by two documents are merged
 along their diagonal, and a Fenwick tree over the other document's positions finds, for each stretch, the best chain to go on
 from under a cost for gaps. Chains are extended and aligned word by word; those of enough words and identity are passages.
 """
@@ -36,7 +38,7 @@ def sliding(x: np.ndarray, w: int, pick) -> np.ndarray:
 
 
 def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(seed, text, position) of the minimizers of each text. A seed's second place in a text is another seed, and so on."""
+    """(seed, text, position) of the minimizers of each text."""
     long = counts >= K
     grams, _ = common.shingle_hashes(hashes[np.repeat(long, counts)], counts[long], K)
     many = counts[long] - K + 1
@@ -49,35 +51,69 @@ def seeds_of(hashes: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.nda
     x[at] = grams
     highest = sliding(sliding(x, W, np.minimum), W, np.maximum)
     picked = highest[at - W + 1] == grams
-    seed, text, place = grams[picked], np.repeat(texts, many)[picked], place[picked]
-    order = np.lexsort((place, seed, text))
-    seed, text, place = seed[order], text[order], place[order]
-    start = np.append(True, (seed[1:] != seed[:-1]) | (text[1:] != text[:-1])) if len(seed) else np.zeros(0, bool)
-    times = np.arange(len(seed)) - np.maximum.accumulate(np.where(start, np.arange(len(seed)), 0))
-    return np.where(times > 0, common.mixed(seed + times.astype(np.uint64) * np.uint64(common.BASE)), seed), text, place
+    return grams[picked], np.repeat(texts, many)[picked], place[picked]
 
 
-LINK = ["lo_id", "lo_th", "lo_at", "hi_id", "hi_th", "hi_at"]
+LINK = ["lo_id", "lo_th", "lo_at", "hi_id", "hi_th", "hi_at", "size"]
 
 
 def tied(seed: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(links, first and last occurrences): each seed's occurrences tied to its first and its last document."""
+    """(links, occurrences in first and last documents): each seed's occurrences tied to its first and its last document.
+
+    A document's n-th place is tied to the other's n-th, or to its last one where that has fewer. Further places of a first document
+    are tied to themselves: chains leave that out, but it tells that the seed is shared there.
+    """
     order = np.lexsort((at, th, doc, seed))
     seed, doc, th, at = seed[order], doc[order], th[order], at[order]
     if not len(seed):
         return np.zeros((0, 6), np.int64), order
-    new = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))  # a document's first place only
-    seed, doc, th, at, order = seed[new], doc[new], th[new], at[new], order[new]
-    start = np.flatnonzero(np.append(True, seed[1:] != seed[:-1]))
-    size = np.diff(np.append(start, len(seed)))
-    first = np.repeat(start, size)
-    last = np.repeat(start + size - 1, size)
+    own = np.append(True, (seed[1:] != seed[:-1]) | (doc[1:] != doc[:-1]) | (th[1:] != th[:-1]))
+    once = own | np.append(True, at[1:] != at[:-1])  # equal rows are one document
+    seed, doc, th, at, order, own = seed[once], doc[once], th[once], at[once], order[once], own[once]
     i = np.arange(len(seed))
-    low = np.append(first[i != first], i[(i != first) & (i != last)])
-    high = np.append(i[i != first], last[(i != first) & (i != last)])
+    begin = np.flatnonzero(own)  # of a document's places
+    many = np.diff(np.append(begin, len(seed)))
+    number = i - np.repeat(begin, many)
+    start = np.flatnonzero(np.append(True, seed[begin[1:]] != seed[begin[:-1]]))  # a seed's first document
+    stop = np.append(start[1:], len(begin)) - 1
+    size = np.add.reduceat(many, start)
+    of_first, of_last = np.repeat(start, size), np.repeat(stop, size)
+    which = np.repeat(np.arange(len(begin)), many)
+    is_first, is_last = which == of_first, which == of_last
+    first = begin[of_first] + np.minimum(number, many[of_first] - 1)
+    last = begin[of_last] + np.minimum(number, many[of_last] - 1)
+    middle, more = ~is_first & ~is_last, is_first & ~is_last & (number > 0)
+    low = np.concatenate([first[~is_first], i[middle], i[more]])
+    high = np.concatenate([i[~is_first], last[middle], i[more]])
     links = np.stack([doc[low], th[low], at[low], doc[high], th[high], at[high]], axis=1)
-    ends = np.unique(np.append(start, start + size - 1))
-    return links, order[ends]
+    return links, order[is_first | is_last]
+
+
+def dealt(seed: np.ndarray, doc: np.ndarray, th: np.ndarray, at: np.ndarray, number: int) -> pa.RecordBatch:
+    """A slice's ties, and its first and last occurrences by ranges of seeds."""
+    own, ends = tied(seed, doc, th, at)
+    seed, doc, th, at = seed[ends], doc[ends], th[ends], at[ends]
+    order = np.argsort(seed)
+    seed, doc, th, at = seed[order], doc[order], th[order], at[order]
+    cut = np.append(np.searchsorted(seed, (np.arange(number, dtype=object) * (1 << 64) // number).astype(np.uint64)), len(seed))
+    spread = np.linspace(0, len(own), number + 1).astype(np.int64)
+    one = lambda x, t, b: [x[a:z].astype(t).tobytes() for a, z in zip(b[:-1], b[1:], strict=True)]
+    return pa.RecordBatch.from_arrays([pa.array(np.arange(number, dtype=np.int32)), *(common.binary(one(x, t, cut)) for x, t in ((seed, "<u8"), (doc, "<i8"), (th, "<i4"), (at, "<i4"))), common.binary(one(own, "<i8", spread))], names=["bucket", "seed", "doc", "th", "at", "own"])
+
+
+def ties(rows: DataFrame, size: int) -> DataFrame:
+    """Rows of LINK from what `dealt` made of slices; size: words of a seed."""
+
+    def tie(group: pa.Table) -> pa.Table:
+        seed, doc, th, at, own = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("seed", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("at", "<i4"), ("own", "<i8")))
+        found, _ = tied(seed, doc, th.astype(np.int64), at.astype(np.int64))
+        found = np.concatenate([found, own.reshape(-1, 6)])  # a slice's first and last may be tied twice; chains merge that
+        return pa.table([*(pa.array(found[:, i].astype(np.int64 if i % 3 == 0 else np.int32)) for i in range(6)), pa.array(np.full(len(found), size, np.int32))], names=LINK)
+
+    return rows.groupBy("bucket").applyInArrow(tie, "lo_id long, lo_th int, lo_at int, hi_id long, hi_th int, hi_at int, size int")
+
+
+DEALT = "bucket int, seed binary, doc binary, th binary, at binary, own binary"
 
 
 def links(docs: DataFrame) -> DataFrame:
@@ -90,23 +126,49 @@ def links(docs: DataFrame) -> DataFrame:
             *_, hashes, counts = common.words_of(part.column("text"))
             seed, text, at = seeds_of(hashes, counts)
             doc, th = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[text] for c in ("doc_id", "th"))
-            own, ends = tied(seed, doc, th, at)
-            seed, doc, th, at = seed[ends], doc[ends], th[ends], at[ends]
-            order = np.argsort(seed)
-            seed, doc, th, at = seed[order], doc[order], th[order], at[order]
-            cut = np.append(np.searchsorted(seed, (np.arange(number, dtype=object) * (1 << 64) // number).astype(np.uint64)), len(seed))
-            spread = np.linspace(0, len(own), number + 1).astype(np.int64)
-            one = lambda x, t, b: [x[a:z].astype(t).tobytes() for a, z in zip(b[:-1], b[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.arange(number, dtype=np.int32)), *(common.binary(one(x, t, cut)) for x, t in ((seed, "<u8"), (doc, "<i8"), (th, "<i4"), (at, "<i4"))), common.binary(one(own, "<i8", spread))], names=["bucket", "seed", "doc", "th", "at", "own"])
+            yield dealt(seed, doc, th, at, number)
+
+    return ties(docs.select("doc_id", "th", "text").mapInArrow(emit, DEALT), K)
 
-    def tie(group: pa.Table) -> pa.Table:
-        seed, doc, th, at, own = (np.concatenate([np.frombuffer(x.as_buffer(), t) for x in group.column(c)]) for c, t in (("seed", "<u8"), ("doc", "<i8"), ("th", "<i4"), ("at", "<i4"), ("own", "<i8")))
-        found, _ = tied(seed, doc, th.astype(np.int64), at.astype(np.int64))
-        found = np.concatenate([found, own.reshape(-1, 6)])  # a slice's first and last may be tied twice; chains merge that
-        return pa.table([pa.array(found[:, i].astype(np.int64 if i % 3 == 0 else np.int32)) for i in range(6)], names=LINK)
 
-    rows = docs.select("doc_id", "th", "text").mapInArrow(emit, "bucket int, seed binary, doc binary, th binary, at binary, own binary")
-    return rows.groupBy("bucket").applyInArrow(tie, "lo_id long, lo_th int, lo_at int, hi_id long, hi_th int, hi_at int")
+def repeated_windows(words: np.ndarray, counts: np.ndarray, shared: np.ndarray, n: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(seed, text, position) of the n-word windows where each W neighbouring places inside have a shared seed (shared: by word)."""
+    text, begin = np.repeat(np.arange(len(counts)), counts), common.row_starts(counts)
+    at = np.arange(len(words)) - np.repeat(begin[:-1], counts)
+    seen = np.cumsum(np.concatenate([[0], shared, np.zeros(n, np.int64)]))
+    bare = np.cumsum(np.append(0, seen[W : W + len(words) + n - W] == seen[: len(words) + n - W]))
+    i = np.flatnonzero(at + n <= counts[text])
+    i = i[bare[i + n - K - W + 2] == bare[i]]
+    factor = common.powers(n + 1)[1:]
+    seed = np.zeros(len(i), np.uint64)
+    for j in range(n):
+        seed += words[i + j] * factor[j]
+    return common.mixed(seed), text[i], at[i]
+
+
+def window_links(words: DataFrame, n: int) -> DataFrame:
+    """Rows of LINK for equal windows of n words. words (doc_id, th, words, places): places are those of shared seeds."""
+    total = words.agg(F.sum(F.size("places"))).first()[0] or 0
+    number = max(1, int(total * W // 2 // RANGE_SEEDS) + 1)
+
+    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("words").value_lengths().to_numpy())
+            a = 0
+            while a < batch.num_rows:
+                b = max(a + 1, int(np.searchsorted(ends, (ends[a - 1] if a else 0) + SLICE // 8, "right")))
+                part = batch.slice(a, b - a)
+                a = b
+                lists, places = part.column("words"), part.column("places")
+                counts = lists.value_lengths().to_numpy().astype(np.int64)
+                own = lists.flatten().to_numpy().view(np.uint32).astype(np.uint64)
+                shared = np.zeros(len(own), np.int64)
+                shared[np.repeat(common.row_starts(counts)[:-1], places.value_lengths().to_numpy()) + places.flatten().to_numpy()] = 1
+                seed, text, at = repeated_windows(own, counts, shared, n)
+                doc, th = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64)[text] for c in ("doc_id", "th"))
+                yield dealt(seed, doc, th, at, number)
+
+    return ties(words.select("doc_id", "th", "words", "places").mapInArrow(emit, DEALT), n)
 
 
 def chain(low: np.ndarray, high: np.ndarray, size: np.ndarray) -> list[list[int]]:
@@ -156,11 +218,10 @@ def stretches(t: np.ndarray) -> tuple[np.ndarray, ...]:
     pair = np.append(True, (t[1:, [0, 1, 3, 4]] != t[:-1, [0, 1, 3, 4]]).any(axis=1))
     number = np.cumsum(pair) - 1
     order = np.lexsort((t[:, 5], t[:, 5] - t[:, 2], number))
-    number, low, high = number[order], t[order, 2], t[order, 5]
-    new = np.append(True, (number[1:] != number[:-1]) | (high[1:] - low[1:] != high[:-1] - low[:-1]) | (high[1:] - high[:-1] > K + GAP))
+    number, low, high, size = number[order], t[order, 2], t[order, 5], t[order, 6]
+    new = np.append(True, (number[1:] != number[:-1]) | (high[1:] - low[1:] != high[:-1] - low[:-1]) | (high[1:] - high[:-1] > size[:-1] + GAP))
     start = np.flatnonzero(new)
-    stop = np.append(start[1:], len(number)) - 1
-    return np.flatnonzero(pair)[number[start]], low[start], high[start], high[stop] + K - high[start]
+    return np.flatnonzero(pair)[number[start]], low[start], high[start], np.maximum.reduceat(high + size, start) - high[start]
 
 
 def chains(linked: DataFrame) -> DataFrame:
@@ -179,11 +240,11 @@ def chains(linked: DataFrame) -> DataFrame:
                 if high[own[-1]] + size[own[-1]] - high[own[0]] >= MIN_WORDS - 2 * (W - 1):
                     rows.append(owner[a])
                     parts.append(np.stack([low[own], high[own], size[own]], axis=1).ravel().tolist())
-        row = t[rows] if rows else np.zeros((0, 6), np.int64)
+        row = t[rows] if rows else np.zeros((0, 7), np.int64)
         return pa.RecordBatch.from_arrays([*(pa.array(row[:, i].astype(np.int64 if i % 3 == 0 else np.int32)) for i in (0, 1, 3, 4)), pa.array(parts, pa.list_(pa.int32()))], names=[*names, "parts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros((0, 6), np.int64)
+        held = np.zeros((0, 7), np.int64)
         for batch in batches:
             t = np.concatenate([held, np.stack([batch.column(c).to_numpy().astype(np.int64) for c in LINK], axis=1)])
             if not len(t):
@@ -195,7 +256,7 @@ def chains(linked: DataFrame) -> DataFrame:
         if len(held):
             yield of_pairs(held)
 
-    rows = linked.repartition(*names).sortWithinPartitions(*names, "hi_at", "lo_at")
+    rows = linked.filter((F.col("lo_id") != F.col("hi_id")) | (F.col("lo_th") != F.col("hi_th"))).repartition(*names).sortWithinPartitions(*names, "hi_at", "lo_at")
     return rows.mapInArrow(run, "lo_id long, lo_th int, hi_id long, hi_th int, parts array<int>")
 
 
@@ -253,17 +314,19 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
     texts are different documents. Repeats within one document don't count. Long texts are read whole; an empty table gives an empty one.
     """
     own = marked(docs)
-    found = common.written(chains(links(own)), "chains")
-    wanted = found.select(F.col("lo_id").alias("doc_id"), F.col("lo_th").alias("th")).unionByName(found.select(F.col("hi_id").alias("doc_id"), F.col("hi_th").alias("th"))).distinct()
-    texts = own.join(wanted, ["doc_id", "th"], "left_semi").dropDuplicates(["doc_id", "th"])
+    linked = common.written(links(own), "links")
+    places = linked.select(F.col("lo_id").alias("doc_id"), F.col("lo_th").alias("th"), F.col("lo_at").alias("at")).unionByName(linked.select(F.col("hi_id").alias("doc_id"), F.col("hi_th").alias("th"), F.col("hi_at").alias("at")))
+    places = places.groupBy("doc_id", "th").agg(F.collect_set("at").alias("places"))
+    texts = own.dropDuplicates(["doc_id", "th"]).join(places, ["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in common.text_slices(batches):
             *_, hashes, counts = common.words_of(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(common.row_starts(counts).astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists], names=["doc_id", "th", "words"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists, part.column("places")], names=["doc_id", "th", "words", "places"])
 
-    words = common.written(texts.mapInArrow(run, "doc_id long, th int, words array<int>"), "words")
+    words = common.written(texts.mapInArrow(run, "doc_id long, th int, words array<int>, places array<int>"), "words")
+    found = common.written(chains(linked.unionByName(window_links(words, max(min_words, K + W - 1)))), "chains")
     rows = found
     for side, first, last in (("lo", "parts[0]", "parts[size(parts)-3] + parts[size(parts)-1]"), ("hi", "parts[1]", "parts[size(parts)-2] + parts[size(parts)-1]")):
         own_words = words.select(F.col("doc_id").alias(f"{side}_id"), F.col("th").alias(f"{side}_th"), "words")

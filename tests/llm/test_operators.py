@@ -398,6 +398,16 @@ def test_substring(spark, empty):
     assert substring.without_repeats(empty).count() == 0
 
 
+def test_substring_between_first_and_last(spark):
+    """Parts of the passage have first and last documents of their own, so that no seed ties those in between."""
+    one, two = passage(31, 30), passage(32, 30)
+    whole = one + " " + two
+    texts = [one, two, whole, one + " " + passage(33, 9), two + " " + passage(34, 9), passage(35, 9) + " " + whole, one + " " + passage(36, 9), two + " " + passage(37, 9), whole]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
+    left = {r.doc_id: r.text.strip() for r in substring.without_repeats(docs).collect()}
+    assert left == {**dict(enumerate(texts)), 5: passage(35, 9), 8: ""}
+
+
 def test_substring_finds_all_exact_passages(docs):
     cut = collections.defaultdict(list)
     for r in substring.digest(docs).collect():
