@@ -408,6 +408,18 @@ def test_substring_between_first_and_last(spark):
     assert left == {**dict(enumerate(texts)), 5: passage(35, 9), 8: ""}
 
 
+def test_substring_twice_in_a_later_document(spark):
+    x, y, shared = passage(41, 30), passage(42, 30), passage(43, 60)
+    texts = [
+        x + " " + passage(44, 20) + " " + y + " " + passage(45, 20) + " " + x + " " + y + " " + shared,
+        passage(46, 15) + " " + shared + " " + passage(47, 15) + " " + shared + " " + passage(48, 15),
+        passage(49, 15) + " " + x + " " + y,
+    ]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(2)
+    left = {r.doc_id: r.text.split() for r in substring.without_repeats(docs).collect()}
+    assert left == {0: texts[0].split(), 1: (passage(46, 15) + " " + passage(47, 15) + " " + passage(48, 15)).split(), 2: passage(49, 15).split()}
+
+
 def test_substring_finds_all_exact_passages(docs):
     cut = collections.defaultdict(list)
     for r in substring.digest(docs).collect():
