@@ -595,5 +595,6 @@ def _(d):
 
 @query("a14_source_list", "SELECT query_id, count(*) AS n FROM (SELECT vec_id % 7 AS query_id FROM embeddings) GROUP BY 1", "embeddings")
 def _(e):
-    parts = e.select((F.col("vec_id") % 7).alias("query_id"), F.col("vec_id").alias("rank"), F.lit("p").alias("part"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit(0.1).alias("distance"))
-    return retrieve.contexts(parts).select("query_id", F.size("sources").cast("long").alias("n"))
+    # a question for every five ids of a remainder, so that no context grows with the table
+    parts = e.select(F.struct((F.col("vec_id") % 7).alias("of"), F.floor(F.col("vec_id") / 35).alias("block")).alias("query_id"), F.col("vec_id").alias("rank"), F.lit("p").alias("part"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit(0.1).alias("distance"))
+    return retrieve.contexts(parts).groupBy(F.col("query_id.of").alias("query_id")).agg(F.sum(F.size("sources")).alias("n"))

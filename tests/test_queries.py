@@ -40,3 +40,10 @@ def test_query(spark, duck, name):
     names = [c[0] for c in result.description]
     assert sorted(names) == columns
     assert got == plain(tuple(r[names.index(c)] for c in columns) for r in result.fetchall())
+
+
+def test_contexts_of_source_list_are_bounded(spark, monkeypatch):
+    given, real = [], registry.retrieve.contexts
+    monkeypatch.setattr(registry.retrieve, "contexts", lambda parts: given.append(parts) or real(parts))
+    registry.QUERIES["a14_source_list"](spark, DIR)
+    assert max(r["count"] for r in given[0].groupBy("query_id").count().collect()) <= registry.retrieve.TOP_K
