@@ -212,8 +212,16 @@ DIST = "greatest(0.0, 1 - list_cosine_similarity(CAST(q.query_embedding AS DOUBL
 
 @query("f1_filter", f"SELECT q.query_id, count(*) AS admissible FROM vec_questions_v q JOIN vec_chunks_v c ON {ADMISSIBLE} GROUP BY 1", "vec_questions_v", "vec_chunks_v")
 def _(q, c):
-    pairs = c.alias("c").join(F.broadcast(q.select("query_id", "department", "use_personal", "user_id")).alias("q"), retrieve.request_filter(q, c))
-    return pairs.groupBy("q.query_id").agg(F.count(F.lit(1)).alias("admissible"))
+    # counts of chunks by whom they are open to, met by equality
+    kinds = c.filter(~F.coalesce(F.col("deleted"), F.lit(False))).groupBy("scope", "user_id", "department").agg(F.count(F.lit(1)).alias("n"))
+    key = lambda kind, x: F.struct(F.lit(kind).alias("kind"), x.alias("of"))
+    every, general = key("all", F.lit("")), key("department", F.lit("general"))
+    open_to = F.when(F.col("scope") == "personal", F.array(key("user", F.col("user_id")))).when(F.col("scope") == "official", F.array(every, key("department", F.col("department"))))
+    counts = kinds.select(F.explode_outer(open_to).alias("key"), "n").groupBy("key.kind", "key.of").agg(F.sum("n").alias("n"))
+    own, want = F.coalesce(F.col("use_personal"), F.lit(False)) & F.coalesce(F.col("user_id") != "", F.lit(False)), F.col("department")
+    asks = F.when(own, F.array(key("user", F.col("user_id")))).when(want.isNull() | want.isin("", "general"), F.array(every)).otherwise(F.array(key("department", want), general))
+    asked = q.select("query_id", F.explode_outer(asks).alias("key")).select("query_id", "key.kind", "key.of")
+    return asked.join(counts, ["kind", "of"]).groupBy("query_id").agg(F.sum("n").alias("admissible"))
 
 
 @query("j1_nearest", f"""

@@ -47,3 +47,9 @@ def test_contexts_of_source_list_are_bounded(spark, monkeypatch):
     monkeypatch.setattr(registry.retrieve, "contexts", lambda parts: given.append(parts) or real(parts))
     registry.QUERIES["a14_source_list"](spark, DIR)
     assert max(r["count"] for r in given[0].groupBy("query_id").count().collect()) <= registry.retrieve.TOP_K
+
+
+def test_filter_meets_by_equality(spark):
+    plan = registry.QUERIES["f1_filter"](spark, DIR)._jdf.queryExecution().executedPlan().toString()
+    assert "NestedLoop" not in plan
+    assert "Cartesian" not in plan
