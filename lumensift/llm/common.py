@@ -83,8 +83,8 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def powers(n: int) -> np.ndarray:
-    out = np.full(n, BASE, np.uint64)
+def powers(n: int, base: int = BASE) -> np.ndarray:
+    out = np.full(n, base, np.uint64)
     if n:
         out[0] = 1
     return np.cumprod(out, dtype=np.uint64)
@@ -162,6 +162,24 @@ def binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(list(values), pa.binary())
 
 
+def pack(x: np.ndarray) -> bytes:
+    """Numbers as bytes, first all lowest bytes and so on: sorted or small numbers then compress well on their way."""
+    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
+
+
+def unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
+    parts = np.frombuffer(value.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
+    return np.ascontiguousarray(parts.T).view(kind).ravel()
+
+
+def fresh(taken: list[str], name: str) -> str:
+    """A column name like `name` that isn't taken; Spark's names don't tell capitals from small letters."""
+    taken = {t.lower() for t in taken}
+    while name in taken:
+        name += "_"
+    return name
+
+
 def fields(df: DataFrame, names: list[str]) -> str:
     """The schema of some columns, as text."""
     return ", ".join(f"`{n}` {df.schema[n].dataType.simpleString()}" for n in names)

@@ -44,16 +44,6 @@ MIDDLE = (BOUNDS[:-1] + BOUNDS[1:] - 1) / 2  # of level j at j - 1
 COUNT = np.append(0.0, MIDDLE)  # of level j at j
 
 
-def pack(x: np.ndarray) -> bytes:
-    """Numbers as bytes, first all lowest bytes and so on: sorted or small numbers then compress well on their way."""
-    return np.ascontiguousarray(np.ascontiguousarray(x).view(np.uint8).reshape(len(x), x.itemsize).T).tobytes()
-
-
-def unpacked(value: pa.Scalar, kind: str) -> np.ndarray:
-    parts = np.frombuffer(value.as_buffer(), np.uint8).reshape(np.dtype(kind).itemsize, -1)
-    return np.ascontiguousarray(parts.T).view(kind).ravel()
-
-
 def blocks(docs: DataFrame, folds: int) -> DataFrame:
     """(block, doc_ids, held_out, counts, tokens, words): about BLOCK_BYTES of text in each row.
 
@@ -67,7 +57,7 @@ def blocks(docs: DataFrame, folds: int) -> DataFrame:
             ends = np.cumsum(counts)
             words, tokens = np.unique(np.insert(hashes, ends, END), return_inverse=True)
             ids = part.column("doc_id")
-            one = lambda x: pa.array([pack(x)], pa.binary())
+            one = lambda x: pa.array([common.pack(x)], pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids), one(part.column("held_out").to_numpy(zero_copy_only=False)), one((counts + 1).astype("<i8")), one(tokens.astype("<u4")), one(words)],
                 names=["doc_ids", "held_out", "counts", "tokens", "words"],
@@ -80,7 +70,7 @@ def blocks(docs: DataFrame, folds: int) -> DataFrame:
 
 def unpack(batch: pa.RecordBatch, row: int) -> tuple[np.ndarray, ...]:
     """(held_out of each text, tokens in each text, tokens, words) of a block."""
-    return tuple(unpacked(batch.column(n)[row], t) for n, t in (("held_out", "?"), ("counts", "<i8"), ("tokens", "<u4"), ("words", "<u8")))
+    return tuple(common.unpacked(batch.column(n)[row], t) for n, t in (("held_out", "?"), ("counts", "<i8"), ("tokens", "<u4"), ("words", "<u8")))
 
 
 def ranges(values: np.ndarray, number: int) -> np.ndarray:
@@ -102,17 +92,17 @@ def word_counts(packed: DataFrame, number: int) -> DataFrame:
                 some = np.flatnonzero(np.diff(at))
                 cut = [(at[i], at[i + 1]) for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([batch.column("block")[row].as_py()] * len(some), pa.int64()), pa.array([int(a) for a, _ in cut], pa.int64()), common.binary([pack(words[a:b]) for a, b in cut]), common.binary([pack(own[a:b]) for a, b in cut])],
+                    [pa.array(some.astype(np.int32)), pa.array([batch.column("block")[row].as_py()] * len(some), pa.int64()), pa.array([int(a) for a, _ in cut], pa.int64()), common.binary([common.pack(words[a:b]) for a, b in cut]), common.binary([common.pack(own[a:b]) for a, b in cut])],
                     names=["bucket", "block", "at", "words", "own"],
                 )
 
     def answer(group: pa.Table) -> pa.Table:
-        words = [unpacked(x, "<u8") for x in group.column("words")]
-        own = np.concatenate([unpacked(x, "<u4") for x in group.column("own")])
+        words = [common.unpacked(x, "<u8") for x in group.column("words")]
+        own = np.concatenate([common.unpacked(x, "<u4") for x in group.column("own")])
         distinct, place = np.unique(np.concatenate(words), return_inverse=True)
         total = np.bincount(place, own, len(distinct)).astype("<i8")
         at = common.row_starts(np.array([len(w) for w in words]))
-        found = [pack(total[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
+        found = [common.pack(total[place[a:b]]) for a, b in zip(at[:-1], at[1:], strict=True)]
         first = [1] + [0] * (len(words) - 1)
         return pa.table([group.column("block"), group.column("at"), common.binary(found), pa.array([x * int(total.sum()) for x in first], pa.int64()), pa.array([x * int((total > 0).sum()) for x in first], pa.int64())], names=["block", "at", "counts", "n", "v"])
 
@@ -191,13 +181,13 @@ def pair_levels(packed: DataFrame, number: int) -> DataFrame:
                 some = np.flatnonzero(np.diff(at))
                 cut = [(at[i], at[i + 1]) for i in some]
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(some.astype(np.int32)), pa.array([batch.column("block")[row].as_py()] * len(some), pa.int64()), pa.array([int(a) for a, _ in cut], pa.int64()), common.binary([pack(np.diff(pair[a:b], prepend=np.uint64(0))) for a, b in cut]), common.binary([pack(n[a:b]) for a, b in cut])],
+                    [pa.array(some.astype(np.int32)), pa.array([batch.column("block")[row].as_py()] * len(some), pa.int64()), pa.array([int(a) for a, _ in cut], pa.int64()), common.binary([common.pack(np.diff(pair[a:b], prepend=np.uint64(0))) for a, b in cut]), common.binary([common.pack(n[a:b]) for a, b in cut])],
                     names=["bucket", "block", "at", "pairs", "n"],
                 )
 
     def answer(group: pa.Table) -> pa.Table:
-        pairs = [np.cumsum(unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("pairs")]  # they travel as differences
-        n = np.concatenate([unpacked(x, "<u4") for x in group.column("n")])
+        pairs = [np.cumsum(common.unpacked(x, "<u8"), dtype=np.uint64) for x in group.column("pairs")]  # they travel as differences
+        n = np.concatenate([common.unpacked(x, "<u4") for x in group.column("n")])
         distinct, place = np.unique(np.concatenate(pairs), return_inverse=True)
         total = np.bincount(place, n, len(distinct)).astype(np.int64)
         level = np.minimum(np.searchsorted(BOUNDS, total, "right"), len(MIDDLE))
@@ -233,7 +223,7 @@ def score(docs: DataFrame, folds: int = 10, kappa: float = KAPPA) -> DataFrame:
         level = np.zeros(len(pair), np.uint8)
         for at, own, of_pairs in zip(answers.column("at").to_pylist(), answers.column("counts"), answers.column("levels"), strict=True):
             if own.is_valid:
-                own = unpacked(own, "<i8")
+                own = common.unpacked(own, "<i8")
                 c[at : at + len(own)] = own
             else:
                 own = np.frombuffer(of_pairs.as_buffer(), np.uint8)

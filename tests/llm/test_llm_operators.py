@@ -420,6 +420,69 @@ def test_substring_twice_in_a_later_document(spark):
     assert left == {0: texts[0].split(), 1: (passage(46, 15) + " " + passage(47, 15) + " " + passage(48, 15)).split(), 2: passage(49, 15).split()}
 
 
+def test_substring_between_two_others(spark):
+    """A passage whose pieces also occur in one earlier and one later document each; the document in between must not be lost."""
+    rows = []
+    for i in range(20):
+        one, two = passage(1000 + i, 30), passage(2000 + i, 30)
+        own = lambda j, n=12: passage(3000 + 10 * i + j, n)  # noqa: E731, B023
+        texts = [own(0) + " " + one, own(1) + " " + two, own(2) + " " + one + " " + two + " " + own(3), own(4) + " " + one + " " + two, one + " " + own(5), two + " " + own(6)]
+        rows += [(100 * i + j, t) for j, t in enumerate(texts)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {(r.doc_id, r.other_doc_id, r.start_word, r.end_word) for r in substring.digest(docs).collect()}
+    assert {(100 * i + 3, 100 * i + 2, 12, 72) for i in range(20)} <= got
+
+
+@pytest.mark.parametrize(("same", "least"), [(0.95, 0.97), (0.9, 0.95), (0.85, 0.93), (0.82, 0.8)])
+def test_substring_recall_of_fuzzy_passages(spark, same, least):
+    """Passages of 100 words in which some words, spread by chance, are others: the share of them found, at least to nine tenths of their length."""
+    r = np.random.default_rng(int(100 * same))
+    rows, n = [], 80
+    for i in range(n):
+        words_ = passage(5000 + i, 100).split()
+        other = list(words_)
+        for j in r.choice(100, round(100 * (1 - same)), replace=False):
+            other[j] = f"x{j}y{i}"
+        rows += [(2 * i, passage(6000 + i, 60) + " " + " ".join(words_) + " " + passage(7000 + i, 60)), (2 * i + 1, passage(8000 + i, 40) + " " + " ".join(other) + " " + passage(9000 + i, 40))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {}
+    for x in substring.digest(docs).collect():
+        assert x.doc_id == x.other_doc_id + 1
+        got[x.doc_id] = got.get(x.doc_id, 0) + min(140, x.end_word) - max(40, x.start_word)
+    share = sum(got.get(2 * i + 1, 0) >= 90 for i in range(n)) / n
+    assert share >= least, share
+
+
+def test_substring_extends_as_far_as_words_agree(spark, monkeypatch):
+    monkeypatch.setattr(substring, "REACH", 4)
+    a, shared = passage(61, 30), passage(62, 900).split()
+    other = [w if j % 9 else f"z{j}" for j, w in enumerate(shared)]  # few seeds, so that extensions are long
+    docs = spark.createDataFrame([(1, a + " " + " ".join(shared)), (2, " ".join(other) + " " + passage(63, 30))], "doc_id long, text string")
+    got = [(r.start_word, r.end_word) for r in substring.digest(docs).collect()]
+    assert min(a for a, _ in got) <= 1
+    assert max(b for _, b in got) >= 890
+
+
+def test_substring_pieces_of_a_long_text(monkeypatch):
+    r = np.random.default_rng(3)
+    hashes, counts = r.integers(0, 2**63, 700).astype(np.uint64), np.array([3, 400, 0, 297])
+    whole = set(zip(*(x.tolist() for x in substring.seeds_of(hashes, counts)), strict=True))
+    shared = np.ones(700, np.int64)
+    windows = substring.repeated_windows(hashes, counts, shared, 50)
+    monkeypatch.setattr(substring, "PIECE", 64)
+    assert whole <= set(zip(*(x.tolist() for x in substring.seeds_of(hashes, counts)), strict=True))
+    for x, y in zip(windows, substring.repeated_windows(hashes, counts, shared, 50), strict=True):
+        assert (x == y).all()
+
+
+def test_substring_names_may_clash(spark):
+    shared = passage(71, 60)
+    rows = [(1, shared, 1, "a", "b"), (2, passage(72, 9) + " " + shared, 2, "c", "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, cut_id long, CUT_TH string, cut_spans string")
+    got = {tuple(r) for r in substring.without_repeats(docs).collect()}
+    assert got == {rows[0], (2, passage(72, 9) + " ", 2, "c", "d")}
+
+
 def test_substring_finds_all_exact_passages(docs):
     cut = collections.defaultdict(list)
     for r in substring.digest(docs).collect():
