@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SLICE_BYTES = 2 << 20
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
 BASE = 0x9E3779B97F4A7C15  # odd, so that its powers never vanish modulo 2**64
+INVERSE = pow(BASE, -1, 1 << 64)
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -92,23 +93,34 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
 
 def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word in bytes that end in white space."""
-    inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~SPACE[data]
-    edge = np.diff(inside)
-    return np.flatnonzero(edge == 1), np.flatnonzero(edge == -1)
+    blank = SPACE[data]
+    edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
+    if len(data) and not blank[0]:
+        edge = np.append(0, edge)
+    return edge[::2], edge[1::2]
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each span of lower-cased bytes. Spans don't overlap, and come in order."""
-    if not len(starts):
-        return np.zeros(0, np.uint64)
-    sizes = ends - starts
-    total = int(sizes.sum())
-    first = np.zeros(len(sizes), np.int64)
-    np.cumsum(sizes[:-1], out=first[1:])
-    within = np.arange(total) - np.repeat(first, sizes)
-    value = (data[within + np.repeat(starts, sizes)].astype(np.uint64) + np.uint64(1)) * powers(int(sizes.max()))[within]
-    return mixed(np.add.reduceat(value, first) + sizes.astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = 1 << 16) -> np.ndarray:
+    """A 64-bit hash of each span of bytes. Spans don't overlap, and come in order; they are taken in parts that fit in a cache."""
+    out = np.empty(len(starts), np.uint64)
+    power = back = np.zeros(0, np.uint64)
+    at = 0
+    while at < len(starts):
+        until = max(at + 1, int(np.searchsorted(starts, starts[at] + part)))
+        first, n = starts[at], int(ends[until - 1] - starts[at])
+        if n > len(power):
+            power, back = powers(n + part), powers(n + part, INVERSE)
+        value = data[first : first + n].astype(np.uint64)
+        value += np.uint64(1)
+        value *= power[:n]
+        sums = np.zeros(n + 1, np.uint64)
+        np.cumsum(value, out=sums[1:])
+        begin, end = starts[at:until] - first, ends[at:until] - first
+        # the same bytes have the same hash wherever they stand: sums are divided by the power of their first place
+        own = (sums[end] - sums[begin]) * back[begin]
+        out[at:until] = mixed(own + (end - begin).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+        at = until
+    return out
 
 
 def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -116,12 +128,7 @@ def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.n
     data, begins = text_bytes(column)
     data = LOWER[data]
     starts, ends = word_spans(data)
-    hashes = np.empty(len(starts), np.uint64)
-    at = 0
-    while at < len(starts):  # parts of about SLICE_BYTES, so that one huge text needs no huge arrays
-        until = max(at + 1, int(np.searchsorted(starts, starts[at] + SLICE_BYTES)))
-        hashes[at:until] = span_hashes(data, starts[at:until], ends[at:until])
-        at = until
+    hashes = span_hashes(data, starts, ends)
     counts = np.diff(np.searchsorted(starts, begins))
     return data, starts, ends, hashes, counts
 

@@ -15,6 +15,7 @@ enough words and identity are passages.
 
 from __future__ import annotations
 
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,8 @@ from . import common
 K, W = 5, 6
 MIN_WORDS, IDENTITY = 50, 0.8
 GAP = 30  # words that a chain may skip in either document
-REACH = 64  # words on either side that an extension gets at first; one that uses them all gets four times as many
+ROUNDS = 2  # in which the heaviest chains are aligned before all others
+REACH = 256  # words on either side that an extension gets at first; one that uses them all gets four times as many
 SIDE = 7  # words of context on either side of a shorter window
 SLICE = 4 << 20
 PIECE = 1 << 18  # words of one text that are looked at together
@@ -98,8 +100,9 @@ LINK = ["lo_id", "lo_th", "lo_at", "hi_id", "hi_th", "hi_at", "size"]
 def first_holders(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, first, again): each occurrence `high` that isn't in its key's first document, and the place `low` there.
 
-    Occurrences come in order of documents (who). A document's n-th place is tied to the first one's n-th, or to its last where that has
-    fewer. first: occurrences in first documents; again: their further places, where other documents have the key too.
+    Occurrences come in order of documents (who). A document's n-th place is tied to the first one's n-th; where that has fewer, it begins
+    anew, so that a longer run of one word is tied along few diagonals. first: occurrences in first documents; again: their
+    further places, where other documents have the key too.
     """
     order = np.argsort(key, kind="stable")
     if not len(order):
@@ -113,7 +116,7 @@ def first_holders(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndar
     docs = np.diff(np.append(start, len(begin)))
     of_first = np.repeat(np.repeat(start, docs), many)
     is_first = np.repeat(np.arange(len(begin)), many) == of_first
-    low = begin[of_first] + np.minimum(number, many[of_first] - 1)
+    low = begin[of_first] + number % many[of_first]
     again = is_first & (number > 0) & np.repeat(np.repeat(docs > 1, docs), many)
     return order[low[~is_first]], order[~is_first], order[is_first], order[again]
 
@@ -121,7 +124,7 @@ def first_holders(key: np.ndarray, who: np.ndarray) -> tuple[np.ndarray, np.ndar
 def tied(seed: np.ndarray, context: np.ndarray, who: np.ndarray, keys: tuple) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(low, high, first): places of occurrences tied to each other, and those that are the first for some key.
 
-    Further places of a first document are tied to themselves: chains leave that out, but it tells that the seed is shared there.
+    A last byte of context that no key reads tells, if not 0, that the occurrence needs no tie to an earlier one. Further places of a first document are tied to themselves: chains leave that out, but it tells that the seed is shared there.
     """
     low, high, first, again = first_holders(seed, who)
     lows, highs, is_first = [low, again], [high, again], np.zeros(len(seed), bool)
@@ -139,7 +142,11 @@ def tied(seed: np.ndarray, context: np.ndarray, who: np.ndarray, keys: tuple) ->
             highs.append(some[high])
             is_first[some[first]] = True
     both = np.unique(np.concatenate(lows) * max(1, len(seed)) + np.concatenate(highs))
-    return both // max(1, len(seed)), both % max(1, len(seed)), np.flatnonzero(is_first)
+    low, high = both // max(1, len(seed)), both % max(1, len(seed))
+    if context.shape[1] > keys[-1][1]:
+        left = context[high, -1] == 0
+        low, high = low[left], high[left]
+    return low, high, np.flatnonzero(is_first)
 
 
 PARTS = (("doc", "<i8"), ("th", "<i4"), ("at", "<u4"))
@@ -231,7 +238,7 @@ def repeated_windows(words: np.ndarray, counts: np.ndarray, shared: np.ndarray,
     at = np.arange(total) - np.repeat(begin[:-1], counts)
     mark = np.zeros(total, bool)
     hashed = np.zeros(total, np.uint64)
-    power, back = common.powers(PIECE + n + 1), common.powers(PIECE + n + 1, pow(common.BASE, -1, 1 << 64))
+    power, back = common.powers(PIECE + n + 1), common.powers(PIECE + n + 1, common.INVERSE)
     for a in range(0, total, PIECE):
         b = min(total, a + PIECE)
         own = common.mixed(words[a : b + n])
@@ -258,8 +265,21 @@ def repeated_windows(words: np.ndarray, counts: np.ndarray, shared: np.ndarray,
     return hashed[i], context, text[i], at[i]
 
 
+def covered(spans: pa.Array, counts: np.ndarray, text: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Whether one span (start, end in words) of a text holds all from begin to end. spans: a list for each text."""
+    first = common.row_starts(counts)
+    owner = np.repeat(np.arange(len(counts)), spans.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    flat = spans.flatten()
+    start, stop = (flat.field(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1))
+    far = np.zeros(first[-1] + 1, np.int64)
+    np.maximum.at(far, first[owner] + start, first[owner] + stop)
+    far = np.maximum.accumulate(far)  # a text's spans never reach into the next
+    return far[first[text] + begin] >= first[text] + end
+
+
 def window_links(words: DataFrame, n: int) -> DataFrame:
-    """Rows of LINK for equal windows of n words. words (doc_id, th, words, places): places are those of shared seeds."""
+    """Rows of LINK for equal windows of n words. words (doc_id, th, words, places, spans): places are those of shared seeds; windows
+    inside one of the spans are tied to no earlier one."""
     total = words.agg(F.sum(F.size("places"))).first()[0] or 0
     number = max(1, int(total // RANGE_SEEDS) + 1)
 
@@ -277,10 +297,12 @@ def window_links(words: DataFrame, n: int) -> DataFrame:
                 shared = np.zeros(len(own), np.int64)
                 shared[np.repeat(common.row_starts(counts)[:-1], places.value_lengths().to_numpy()) + places.flatten().to_numpy()] = 1
                 seed, context, text, at = repeated_windows(own, counts, shared, n)
+                settled = covered(part.column("spans"), counts, text, np.maximum(0, at - SIDE), np.minimum(counts[text], at + n))
+                context = np.hstack([context, settled[:, None].astype(np.uint8)])
                 doc, th = (part.column(c).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("doc_id", "th"))
                 yield dealt(seed, context, text, at, doc, th, WINDOW_KEYS, number)
 
-    rows = words.filter(F.col("places").isNotNull()).select("doc_id", "th", "words", "places")
+    rows = words.filter(F.col("places").isNotNull()).select("doc_id", "th", "words", "places", "spans")
     return ties(rows.mapInArrow(emit, DEALT), WINDOW_KEYS, n - SIDE)
 
 
@@ -337,15 +359,19 @@ def stretches(t: np.ndarray) -> tuple[np.ndarray, ...]:
     return np.flatnonzero(pair)[number[start]], low[start], high[start], np.maximum.reduceat(high + size, start) - high[start]
 
 
+CHAIN = "lo_id long, lo_th int, hi_id long, hi_th int, parts array<int>, weight int, begin int, end int"
+
+
 def chains(linked: DataFrame) -> DataFrame:
-    """(lo_id, lo_th, hi_id, hi_th, parts): parts holds low start, high start and words of each stretch of a chain, in order."""
+    """(lo_id, lo_th, hi_id, hi_th, parts, weight, begin, end): parts holds low start, high start and words of each stretch of a chain, in
+    order; weight is the sum of these words, begin and end are where the chain stands in the later document."""
     names = ["lo_id", "lo_th", "hi_id", "hi_th"]
 
     def of_pairs(t: np.ndarray) -> pa.RecordBatch:
         owner, low, high, size = stretches(t)
         start = np.flatnonzero(np.append(True, owner[1:] != owner[:-1]))
         stop = np.append(start[1:], len(owner))
-        rows, parts = [], []
+        rows, parts, more = [], [], []
         for a, b in zip(start.tolist(), stop.tolist(), strict=True):
             order = a + np.lexsort((low[a:b], high[a:b]))
             for own in chain(low[order], high[order], size[order]) if b - a > 1 else [[0]]:
@@ -353,8 +379,9 @@ def chains(linked: DataFrame) -> DataFrame:
                 if high[own[-1]] + size[own[-1]] - high[own[0]] >= 2 * K:  # not a lone seed
                     rows.append(owner[a])
                     parts.append(np.stack([low[own], high[own], size[own]], axis=1).ravel().tolist())
+                    more.append((int(size[own].sum()), int(high[own[0]]), int(high[own[-1]] + size[own[-1]])))
         row = t[rows] if rows else np.zeros((0, 7), np.int64)
-        return pa.RecordBatch.from_arrays([*(pa.array(row[:, i].astype(np.int64 if i % 3 == 0 else np.int32)) for i in (0, 1, 3, 4)), pa.array(parts, pa.list_(pa.int32()))], names=[*names, "parts"])
+        return pa.RecordBatch.from_arrays([*(pa.array(row[:, i].astype(np.int64 if i % 3 == 0 else np.int32)) for i in (0, 1, 3, 4)), pa.array(parts, pa.list_(pa.int32())), *(pa.array([m[i] for m in more], pa.int32()) for i in range(3))], names=[*names, "parts", "weight", "begin", "end"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros((0, 7), np.int64)
@@ -370,7 +397,37 @@ def chains(linked: DataFrame) -> DataFrame:
             yield of_pairs(held)
 
     rows = linked.filter((F.col("lo_id") != F.col("hi_id")) | (F.col("lo_th") != F.col("hi_th"))).repartition(*names).sortWithinPartitions(*names, "hi_at", "lo_at")
-    return rows.mapInArrow(run, "lo_id long, lo_th int, hi_id long, hi_th int, parts array<int>")
+    return rows.mapInArrow(run, CHAIN)
+
+
+def foremost(found: DataFrame) -> DataFrame:
+    """Chains with `first`: whether no heavier chain of the same later document stands where this one does, give or take GAP words."""
+    columns = [f.split()[0] for f in CHAIN.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        doc, begins, ends = None, [], []  # of the chains taken, none inside another, so both are sorted
+        for batch in batches:
+            first = []
+            for *own, begin, end in zip(*(batch.column(c).to_pylist() for c in ("hi_id", "hi_th", "begin", "end")), strict=True):
+                if own != doc:
+                    doc, begins, ends = own, [], []
+                i = bisect_right(begins, begin + GAP)
+                inside = i > 0 and ends[i - 1] >= end - GAP
+                first.append(not inside)
+                if not inside:
+                    a, b = bisect_left(begins, begin), bisect_right(ends, end)
+                    begins[a : max(a, b)], ends[a : max(a, b)] = [begin], [end]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in columns), pa.array(first, pa.bool_())], names=[*columns, "first"])
+
+    rows = found.repartition("hi_id", "hi_th").sortWithinPartitions("hi_id", "hi_th", F.desc("weight"), "begin", "end", "lo_id", "lo_th")
+    return rows.mapInArrow(run, f"{CHAIN}, first boolean")
+
+
+def unsettled(found: DataFrame, passages: DataFrame) -> DataFrame:
+    """The chains that stand in no passage of the later document."""
+    own = passages.select(F.col("doc_id").alias("hi_id"), F.col("th").alias("hi_th"), F.col("start").alias("p_start"), F.col("end").alias("p_end"))
+    same = [found["hi_id"] == own["hi_id"], found["hi_th"] == own["hi_th"], own["p_start"] <= found["begin"], own["p_end"] >= found["end"]]
+    return found.join(own, same, "left_anti")
 
 
 def reach(a: np.ndarray, b: np.ndarray) -> int:
@@ -432,6 +489,9 @@ def marked(docs: DataFrame) -> tuple[DataFrame, Column]:
     return (own.dropDuplicates(["doc_id", "th"]) if repeated else own), th
 
 
+PASSAGE = "doc_id long, th int, start long, end long, other_id long, other_start long, other_end long, equal long"
+
+
 def alignments(found: DataFrame, words: DataFrame, identity: float, min_words: int) -> DataFrame:
     """(doc_id, th, start, end, other_id, other_start, other_end, equal) of the chains that make a passage."""
     columns = ["doc_id", "th", "start", "end", "other_id", "other_start", "other_end", "equal"]
@@ -476,6 +536,22 @@ def alignments(found: DataFrame, words: DataFrame, identity: float, min_words: i
             return out.select(*columns).distinct()
 
 
+def settled(found: DataFrame, words: DataFrame, identity: float, min_words: int) -> DataFrame | None:
+    """Passages of the chains: of the heaviest ones, then, for some rounds, of the heaviest that stand in no passage that these have
+    made, and of all others that still don't. So a document is aligned with one of many near copies, and what that doesn't
+    cover with others. None without chains.
+    """
+    out, rounds = None, 0
+    while not found.isEmpty():
+        chosen = common.written(foremost(found), "chains") if rounds < ROUNDS else found.withColumn("first", F.lit(True))
+        own = common.written(alignments(chosen.filter("first"), words, identity, min_words), "passages")
+        out, rounds = own if out is None else out.unionByName(own), rounds + 1
+        if rounds > ROUNDS:
+            break
+        found = common.written(unsettled(chosen.filter("not first").drop("first"), out), "chains")
+    return out
+
+
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
     """(doc_id, th, start, end, other_id, other_start, other_end, equal): passages of a document that an earlier one has too.
 
@@ -503,13 +579,14 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists, part.column("places")], names=["doc_id", "th", "words", "places"])
 
     words = common.written(texts.mapInArrow(run, "doc_id long, th int, words array<int>, places array<int>"), "words")
-    # what chains of seeds hold on the same diagonal needs no second look
-    old = by_seeds.select("lo_id", "lo_th", "hi_id", "hi_th", F.expr("parts[1] - parts[0]").alias("diagonal"), F.expr("parts[1]").alias("from"), F.expr("parts[size(parts)-2] + parts[size(parts)-1]").alias("to"))
-    new = chains(window_links(words, min_words)).withColumn("diagonal", F.expr("parts[1] - parts[0]")).alias("new")
-    held = (F.col("from") <= F.expr("new.parts[1]") + GAP) & (F.col("to") >= F.expr("new.parts[size(new.parts)-2] + new.parts[size(new.parts)-1]") - GAP)
-    same = [F.col(f"new.{c}") == F.col(f"old.{c}") for c in ("lo_id", "lo_th", "hi_id", "hi_th", "diagonal")]
-    new = new.join(old.alias("old"), [*same, held], "left_anti").select("lo_id", "lo_th", "hi_id", "hi_th", "parts")
-    return alignments(common.written(by_seeds.unionByName(new), "chains"), words, identity, min_words)
+    out = settled(by_seeds, words, identity, min_words)
+    none = own.sparkSession.createDataFrame([], PASSAGE)
+    out = none if out is None else out
+    # runs that are equal word for word, where chains of seeds have left any out
+    spans = out.groupBy("doc_id", "th").agg(F.collect_set(F.struct("start", "end")).alias("spans"))
+    more = chains(window_links(words.join(spans, ["doc_id", "th"], "left"), min_words))
+    more = settled(common.written(unsettled(more, out), "chains"), words, identity, min_words)
+    return (out if more is None else out.unionByName(more)).distinct()
 
 
 def without_repeats(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
