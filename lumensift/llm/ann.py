@@ -3,9 +3,11 @@
 Centroids come from cutting a bounded sample in halves of equal size again and again, so lists are about equally long. Every row is
 filed under its nearest centroid and, near a boundary, under others whose distance is hardly larger. A query finds its nearest
 centroids by a best-first search in a graph of centroids, which every worker holds, and reads the lists whose centroid is not much
-farther than the nearest one. Lists are spread over the cluster by number and, where many rows share one, cut into parts.
+farther than the nearest one. Lists are spread over the cluster by number; where many rows share one, or many queries read
+it, rows and queries are cut into parts that meet one by one.
 
-There are at most LISTS centroids whatever the table's size, so centroids and graph stay small.
+Vectors of each length have an index of their own. There are at most LISTS centroids for one length whatever the table's size, so centroids and
+graph stay small; lists grow beyond that, and a query reads the same share of them.
 """
 
 from __future__ import annotations
@@ -20,15 +22,19 @@ from pyspark.sql import functions as F
 from . import common
 from .topk import finite, matrix
 
+#: The bound of the sample that centroids are fitted on, in rows.
 SAMPLE_ROWS = 20_000
 LIST_ROWS, LISTS = 256, 4096
-PART_ROWS = 4096
+#: Rows and queries of a list that one task compares.
+PART_ROWS, PART_QUERIES = 4096, 4096
 COPIES, COPY_RATIO = 4, 1.15
-PROBE_RATIO, PROBE_SHARE, PROBES = 1.6, 0.3, 256
-NEIGHBOURS, BEAM = 24, 32
+#: A query reads lists up to this ratio of the nearest one's distance, PROBES times the root of the number of lists at most.
+PROBE_RATIO, PROBES = 1.6, 5
+NEIGHBOURS, BEAM, STEP = 24, 32, 6
 
 
 def unit(x: np.ndarray) -> np.ndarray:
+    x = x / np.abs(x).max(axis=1, keepdims=True)  # so that squares stay finite
     return x / np.linalg.norm(x, axis=1, keepdims=True)
 
 
@@ -48,12 +54,12 @@ def halves(x: np.ndarray, rows: np.ndarray, depth: int, r: np.random.Generator)
 class Graph:
     """Centroids and, for each, the numbers of its nearest others."""
 
-    def __init__(self, centroids: np.ndarray):
+    def __init__(self, centroids: np.ndarray, near: np.ndarray | None = None):
         self.centroids = centroids.astype(np.float64)
         n = len(centroids)
         many = min(NEIGHBOURS, n - 1)
-        self.near = np.zeros((n, max(1, many)), np.int64)
-        for i in range(n):
+        self.near = np.zeros((n, max(1, many)), np.int64) if near is None else near
+        for i in range(n if near is None else 0):
             d = ((self.centroids - self.centroids[i]) ** 2).sum(axis=1)
             d[i] = np.inf
             if many:
@@ -67,6 +73,7 @@ class Graph:
         c, n = self.centroids, len(self.centroids)
         many = min(n, many)
         beam = min(n, max(BEAM, many))
+        step = min(STEP, beam)
         rows = np.arange(len(x))[:, None]
         seen = np.zeros((len(x), n), bool)
         number = np.broadcast_to(self.entries, (len(x), len(self.entries)))
@@ -77,89 +84,110 @@ class Graph:
             order = np.argsort(dist, axis=1)[:, :beam]
             number, dist, done = number[rows, order], dist[rows, order], done[rows, order]
             left = ~done & np.isfinite(dist)
-            active = left.any(axis=1)
-            if not active.any():
+            if not left.any():
                 break
-            first = left.argmax(axis=1)
-            done[active, first[active]] = True
-            more = self.near[number[np.arange(len(x)), first]]
-            old = seen[rows, more] | ~active[:, None]
-            seen[rows[active], more[active]] = True
+            # the nearest few that weren't looked at
+            first = np.argsort(~left, axis=1, kind="stable")[:, :step]
+            use = left[rows, first]
+            done[rows, first] = True
+            more = self.near[number[rows, first]]
+            more = np.sort(np.where(use[:, :, None], more, n).reshape(len(x), -1), axis=1)
+            new = np.hstack([np.ones((len(x), 1), bool), more[:, 1:] != more[:, :-1]]) & (more < n)
+            more = np.minimum(more, n - 1)
+            new &= ~seen[rows, more]
             d = np.full(more.shape, np.inf)
-            at, j = np.nonzero(~old)
+            at, j = np.nonzero(new)
+            seen[at, more[at, j]] = True
             d[at, j] = ((x[at] - c[more[at, j]]) ** 2).sum(axis=1)
-            number, dist, done = np.hstack([number, more]), np.hstack([dist, d]), np.hstack([done, old])
+            number, dist, done = np.hstack([number, more]), np.hstack([dist, d]), np.hstack([done, ~new])
         return number[:, :many], np.sqrt(dist[:, :many])
 
 
-def build(vectors: DataFrame, n: int) -> Graph | None:
-    """Centroids of a bounded sample, about one for LIST_ROWS rows."""
+def build(vectors: DataFrame, sizes: dict[int, int]) -> dict[int, Graph]:
+    """For each vector length, centroids of its rows in a bounded sample, about one for LIST_ROWS rows. sizes: rows of each length.
+
+    A length of which the sample has hardly any rows gets one centroid, and so one list, which its queries read whole.
+    """
     some = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE_ROWS).select("embedding").toArrow().column("embedding").combine_chunks()
-    if not len(some):
-        return None
-    x = unit(matrix(some))
-    depth = int(np.clip(np.round(np.log2(max(1.0, n / LIST_ROWS))), 0, min(np.log2(LISTS), np.log2(max(1, len(x) // 4)))))
-    return Graph(np.array([x[g].mean(axis=0) for g in halves(x, np.arange(len(x)), depth, np.random.default_rng(11)) if len(g)]))
+    lengths = some.value_lengths().to_numpy(zero_copy_only=False)
+    out = {}
+    for size, n in sizes.items():
+        x = unit(matrix(some.take(pa.array(np.flatnonzero(lengths == size))))) if (lengths == size).any() else np.zeros((1, size))
+        depth = int(np.clip(np.round(np.log2(max(1.0, n / LIST_ROWS))), 0, min(np.log2(LISTS), np.log2(max(1, len(x) // 4)))))
+        out[size] = Graph(np.array([x[g].mean(axis=0) for g in halves(x, np.arange(len(x)), depth, np.random.default_rng(11)) if len(g)]))
+    return out
+
+
+def by_size(batch: pa.RecordBatch, column: str, most: int) -> Iterator[tuple[int, pa.RecordBatch]]:
+    """Rows of one vector length, at most `most` together."""
+    lengths = batch.column(column).value_lengths().to_numpy(zero_copy_only=False)
+    for size in np.unique(lengths):
+        rows = np.flatnonzero(lengths == size)
+        for at in range(0, len(rows), most):
+            yield int(size), batch.take(pa.array(rows[at : at + most]))
 
 
 def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
     """(query_id, rank, vec_id, score): for each row whose vec_id is divisible by `every`, the k nearest found of all other rows.
 
-    Score: cosine in double precision of the original vectors. Vectors that are null, zero, or hold a null or non-finite
-    component take no part, nor do those whose length isn't the table's commonest. A query reads lists until they
-    hold more than k rows, so it has k neighbours if there are as many. Ties go to the smaller vec_id (a null one last).
-    Rows with the query's own vec_id are no candidates of it; equal rows are candidates each, and one query. An empty table gives
-    an empty result. Other columns are not used.
+    Score: cosine in double precision of the original vectors, between vectors of one length. Vectors that are null, zero, empty, or hold a
+    null or non-finite component take no part. A query reads lists until they hold more than k rows, so it has k neighbours
+    if there are as many of its length. Ties go to the smaller vec_id (a null one last). Rows with the query's own vec_id are no candidates of
+    it. Equal rows are candidates each, and one query; different vectors of one id are one query too, and a candidate's score is the
+    largest found for any of them. An empty table gives an empty result. Other columns are not used.
     """
     spark = vectors.sparkSession
     v = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), F.col("embedding").cast("array<double>").alias("embedding")).filter(finite())
     v = v.filter(F.exists("embedding", lambda x: x != 0))
-    sizes = v.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "size").limit(1).collect()
     out = "query_id long, rank int, vec_id long, score double"
+    sizes = {r["size"]: r["n"] for r in v.groupBy(F.size("embedding").alias("size")).agg(F.count(F.lit(1)).alias("n")).collect()}  # a row for each length
     if not sizes:
         return spark.createDataFrame([], out)
-    size, n = sizes[0]
-    v = v.filter(F.size("embedding") == size)
-    graph = spark.sparkContext.broadcast(build(v, n))
+    # plain values, as executors know no class of this package
+    shared = spark.sparkContext.broadcast({size: (g.centroids, g.near) for size, g in build(v, sizes).items()})
 
     def file(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        graphs = {size: Graph(*parts) for size, parts in shared.value.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                number, dist = graph.value.search(unit(matrix(part.column("embedding"))), COPIES)
-                take = dist <= COPY_RATIO * dist[:, :1]
-                row, place = np.nonzero(take)
-                yield pa.RecordBatch.from_arrays([pa.array(number[row, place].astype(np.int32)), pa.array(place == 0), *(part.column(c).take(pa.array(row)) for c in ("row", "vec_id", "embedding"))], names=["list", "own", "row", "vec_id", "embedding"])
+            for size, part in by_size(batch, "embedding", 2048):
+                number, dist = graphs[size].search(unit(matrix(part.column("embedding"))), COPIES)
+                row, place = np.nonzero(dist <= COPY_RATIO * dist[:, :1])
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(number[row, place].astype(np.int32)), pa.array(place == 0), *(part.column(c).take(pa.array(row)) for c in ("row", "vec_id", "embedding"))], names=["size", "list", "own", "row", "vec_id", "embedding"])
 
-    filed = v.withColumn("row", F.monotonically_increasing_id()).mapInArrow(file, "list int, own boolean, row long, vec_id long, embedding array<double>")
+    filed = v.withColumn("row", F.monotonically_increasing_id()).mapInArrow(file, "size int, list int, own boolean, row long, vec_id long, embedding array<double>")
     filed = common.written(filed, "lists")
-    lists = filed.groupBy("list").agg(F.count_if("own").alias("own"), F.count(F.lit(1)).alias("n"))
-    found = lists.collect()  # a row for each centroid, LISTS at most
-    own = np.zeros(len(graph.value.centroids), np.int64)
-    own[[r["list"] for r in found]] = [r["own"] for r in found]
+    lists = common.written(filed.groupBy("size", "list").agg(F.count_if("own").alias("own"), F.count(F.lit(1)).alias("n")), "sizes")
+    own = {size: np.zeros(len(g[0]), np.int64) for size, g in shared.value.items()}
+    for r in lists.collect():  # a row for each centroid
+        own[r["size"]][r["list"]] = r["own"]
     held = spark.sparkContext.broadcast(own)
-    parts = lists.select("list", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"))
 
     def probe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = len(held.value)
+        graphs = {size: Graph(*parts) for size, parts in shared.value.items()}
         for batch in batches:
-            for at in range(0, batch.num_rows, 1024):
-                part = batch.slice(at, 1024)
-                x = unit(matrix(part.column("embedding")))
-                number, dist = graph.value.search(x, min(PROBES, max(8, int(np.ceil(PROBE_SHARE * total)))))
+            for size, part in by_size(batch, "query", 1024):
+                x, rows = unit(matrix(part.column("query"))), held.value[size]
+                number, dist = graphs[size].search(x, max(8, int(np.ceil(PROBES * np.sqrt(len(rows))))))
                 take = dist <= PROBE_RATIO * dist[:, :1]
-                enough = np.cumsum(held.value[number], axis=1)
+                enough = np.cumsum(rows[number], axis=1)
                 take |= np.hstack([np.zeros((len(x), 1), np.int64), enough[:, :-1]]) <= k
                 row, place = np.nonzero(take)
                 chosen = number[row, place]
                 for i in np.flatnonzero(enough[:, -1] <= k):  # hardly any rows near it: all lists
-                    rest = np.setdiff1d(np.arange(total), number[i])
+                    rest = np.setdiff1d(np.arange(len(rows)), number[i])
                     row, chosen = np.append(row, np.full(len(rest), i)), np.append(chosen, rest)
-                yield pa.RecordBatch.from_arrays([pa.array(chosen.astype(np.int32)), *(part.column(c).take(pa.array(row)) for c in ("vec_id", "embedding"))], names=["list", "query_id", "query"])
-
-    asked = v.filter(F.col("vec_id") % every == 0).distinct().mapInArrow(probe, "list int, query_id long, query array<double>")
-    asked = asked.join(parts, "list").withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).select("list", "part", "query_id", "query")
-    rows = filed.withColumn("_n", F.monotonically_increasing_id()).join(parts, "list").withColumn("part", F.pmod(F.xxhash64("_n"), F.col("parts")).cast("int")).select("list", "part", "row", "vec_id", "embedding")
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(row), size, np.int32)), pa.array(chosen.astype(np.int32)), part.column("query_row").take(pa.array(row))], names=["size", "list", "query_row"])
+
+    queries = v.filter(F.col("vec_id") % every == 0).distinct().select(F.monotonically_increasing_id().alias("query_row"), F.col("vec_id").alias("query_id"), F.col("embedding").alias("query"))
+    queries = common.written(queries, "queries")
+    asked = common.written(queries.mapInArrow(probe, "size int, list int, query_row long"), "asked")
+    parts = lists.join(asked.groupBy("size", "list").agg(F.count(F.lit(1)).alias("asked")), ["size", "list"])
+    parts = parts.select("size", "list", F.ceil(F.col("n") / PART_ROWS).cast("int").alias("parts"), F.ceil(F.col("asked") / PART_QUERIES).cast("int").alias("q_parts"))
+    # every part of a list's rows meets every part of its queries
+    part = lambda key, many: F.pmod(F.xxhash64(key), F.col(many)).cast("int")
+    every_part = lambda many: F.explode(F.sequence(F.lit(0), F.col(many) - 1))
+    asked = asked.join(parts, ["size", "list"]).withColumn("q_part", part("query_row", "q_parts")).withColumn("part", every_part("parts")).join(queries, "query_row").select("size", "list", "part", "q_part", "query_id", "query")
+    rows = filed.join(parts, ["size", "list"]).withColumn("part", part("row", "parts")).withColumn("q_part", every_part("q_parts")).select("size", "list", "part", "q_part", "row", "vec_id", "embedding")
 
     def compare(left: pa.Table, right: pa.Table) -> pa.Table:
         kind = [("query_id", pa.int64()), ("row", pa.int64()), ("vec_id", pa.int64()), ("score", pa.float64())]
@@ -190,7 +218,8 @@ def nearest(vectors: DataFrame, k: int = 5, every: int = 50) -> DataFrame:
         left = left.select(["row", "vec_id"]).take(pa.array(place))
         return pa.table([pa.array(np.concatenate([g[0] for g in got]), pa.int64()), left.column("row"), left.column("vec_id"), pa.array(np.concatenate([g[2] for g in got]), pa.float64())], names=[n for n, _ in kind])
 
-    hits = rows.groupBy("list", "part").cogroup(asked.groupBy("list", "part")).applyInArrow(compare, "query_id long, row long, vec_id long, score double")
-    hits = hits.dropDuplicates(["query_id", "row"])  # a row filed in several lists
+    keys = ["size", "list", "part", "q_part"]
+    hits = rows.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInArrow(compare, "query_id long, row long, vec_id long, score double")
+    hits = hits.groupBy("query_id", "row", "vec_id").agg(F.max("score").alias("score"))  # a row filed in several lists
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.col("vec_id").asc_nulls_last())
     return hits.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

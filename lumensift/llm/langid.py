@@ -153,11 +153,13 @@ def identify(docs: DataFrame, filters: Filters) -> DataFrame:
     stay, an empty table gives an empty one. Columns of these two names are replaced, others stay.
     """
     kept = [c for c in docs.columns if c not in ("lang_pred", "score")]
-    shared = docs.sparkSession.sparkContext.broadcast(filters)
+    # plain values, as executors know no class of this package
+    shared = docs.sparkSession.sparkContext.broadcast((filters.languages, filters.tables, filters.bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Filters(*shared.value)
         for part, _ in common.text_slices(batches):
-            language, share = shared.value.decide(part.column("text"))
+            language, share = own.decide(part.column("text"))
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(language, pa.string()), pa.array(share, pa.float64())], names=[*kept, "lang_pred", "score"])
 
     return docs.select(*kept).mapInArrow(run, common.fields(docs, kept) + ", lang_pred string, score double")

@@ -40,6 +40,13 @@ class Network:
         }
         self.p["table"][:, PAD] = 0
 
+    @classmethod
+    def of(cls, parts: dict[str, np.ndarray]) -> Network:
+        """The network with these arrays; what is broadcast is the arrays, as executors know no class of this package."""
+        out = cls(len(parts["table"]))
+        out.p = parts
+        return out
+
     def layout(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Bytes of the texts, each padded to whole blocks (one at least), and the number of blocks of each."""
         blocks = np.maximum(1, -(-(ends - starts) // BLOCK))
@@ -50,12 +57,17 @@ class Network:
         out[within + np.repeat(first[:-1], size)] = data[within + np.repeat(starts, size)]
         return out, blocks
 
-    def responses(self, x: np.ndarray) -> np.ndarray:
-        """Filter responses at every place but the padding: blocks x BLOCK x filters."""
+    def responses(self, x: np.ndarray, stops: np.ndarray) -> np.ndarray:
+        """Filter responses at every place but the padding: blocks x BLOCK x filters. No filter reads beyond its text's stop."""
         n, table = len(x) - self.width, self.p["table"]
         a = table[0][x[:n]]
         for j in range(1, self.width):
             a += table[j][x[j : j + n]]
+        for left in range(1, self.width):
+            at = stops - left
+            a[at] = table[0][x[at]]
+            for j in range(1, left):
+                a[at] += table[j][x[at + j]]
         a[x[:n] == PAD] = -1e4
         return a.reshape(-1, BLOCK, a.shape[1])
 
@@ -77,11 +89,21 @@ class Network:
         return v @ self.p["w3"] + self.p["b3"][0], v, h, m, one, two, first
 
     def score(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: int = 1 << 18) -> np.ndarray:
-        """Probability of label 1 of each text; memory is bounded by `part` bytes, however long the texts are."""
-        x, blocks = self.layout(data, starts, ends)
-        n = len(x) - self.width
-        top = [self.responses(x[at : min(at + part, n) + self.width]).max(axis=1) for at in range(0, n, part)]
-        z = self.head(np.concatenate(top), blocks, ends - starts)[0] if top else np.zeros(0)
+        """Probability of label 1 of each text. Filters and layout take about `part` bytes at a time, or one text's; a text longer
+        than that is laid out in pieces of whole blocks, each with the bytes that the last filters of a piece reach into."""
+        tops, size = [], ends - starts
+        i = 0
+        while i < len(size):
+            j = max(i + 1, int(np.searchsorted(ends, starts[i] + part, "right")))
+            for at in range(0, max(1, int(size[i])), part) if j == i + 1 else (0,):
+                last = j > i + 1 or at + part >= size[i]
+                a, b = starts[i:j] + at, ends[i:j] if last else starts[i:j] + at + part
+                x, blocks = self.layout(data, a, b if last else np.minimum(ends[i:j], b + self.width))
+                if not last:  # the bytes behind the piece only serve the filters that begin in it
+                    x = x[: part + self.width]
+                tops.append(self.responses(x, common.row_starts(blocks)[1:] * BLOCK if last else np.zeros(0, np.int64)).max(axis=1))
+            i = j
+        z = self.head(np.concatenate(tops), np.maximum(1, -(-size // BLOCK)), size)[0] if tops else np.zeros(0)
         return 1 / (1 + np.exp(-np.clip(z.astype(np.float64), -30, 30)))
 
     def fit(self, texts: list[bytes], labels: np.ndarray, epochs: int = 12, batch: int = 64, rate: float = 0.01, seed: int = 7) -> Network:
@@ -107,7 +129,8 @@ class Network:
 
     def gradient(self, data: np.ndarray, starts: np.ndarray, ends: np.ndarray, y: np.ndarray, weight: np.ndarray) -> dict[str, np.ndarray]:
         x, blocks = self.layout(data, starts, ends)
-        a = self.responses(x)
+        stops = common.row_starts(blocks)[1:] * BLOCK
+        a = self.responses(x, stops)
         place = a.argmax(axis=1)
         top = np.take_along_axis(a, place[:, None], axis=1)[:, 0]
         z, v, h, m, one, two, first = self.head(top, blocks, ends - starts)
@@ -130,8 +153,10 @@ class Network:
         block, f, dm = winner[some], f[some], dm[some]
         at = block * BLOCK + place[block, f]
         g["table"] = np.zeros_like(self.p["table"])
+        stop = np.repeat(stops, blocks)[block]
         for j in range(self.width):
-            np.add.at(g["table"][j], (x[at + j], f), dm)
+            inside = at + j < stop
+            np.add.at(g["table"][j], (x[(at + j)[inside]], f[inside]), dm[inside])
         return g
 
 
@@ -161,12 +186,13 @@ def score(docs: DataFrame, network: Network, name: str = "score") -> DataFrame:
     table gives an empty one, a column of that name is replaced and any others stay.
     """
     kept = [c for c in docs.columns if c != name]
-    shared = docs.sparkSession.sparkContext.broadcast(network)
+    shared = docs.sparkSession.sparkContext.broadcast(network.p)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own = Network.of(shared.value)
         for part, _ in common.text_slices(batches):
             data, begins = common.text_bytes(part.column("text"))
-            found = shared.value.score(data, begins[:-1], begins[1:] - 1)
+            found = own.score(data, begins[:-1], begins[1:] - 1)
             yield pa.RecordBatch.from_arrays([*(part.column(c) for c in kept), pa.array(found, pa.float64())], names=[*kept, name])
 
     return docs.select(*kept).mapInArrow(run, ", ".join([common.fields(docs, kept), f"{name} double"]))
@@ -179,5 +205,9 @@ def digest(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def kept(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """The documents that the classifier doesn't reject, in their own columns."""
-    return score(docs, train(docs, labels), "quality_score").filter(F.col("quality_score") >= THRESHOLD).select(*docs.columns)
+    """The documents that the classifier doesn't reject, in their own columns, whatever these are called.
+
+    Null and empty texts are judged as the text without bytes; repeated rows stay or go together; an empty table gives an empty one.
+    """
+    name = common.fresh(docs.columns, "quality_score")
+    return score(docs, train(docs, labels), name).filter(F.col(name) >= THRESHOLD).select(*docs.columns)

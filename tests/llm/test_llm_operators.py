@@ -3,6 +3,9 @@
 import collections
 import hashlib
 import math
+import os
+import subprocess
+import sys
 import zlib
 
 import numpy as np
@@ -85,6 +88,44 @@ def test_quality(spark, docs, empty):
     assert quality.digest(docs, labels.limit(0)).count() == docs.count()
 
 
+def plain_quality(net, text):
+    """The network as loops over blocks, places, filters and chunks."""
+    p, size = net.p, quality.BLOCK
+    width, _, filters = p["table"].shape
+    top = []
+    for at in range(0, max(1, len(text)), size):
+        best = [-1e4] * filters
+        for i in range(at, min(len(text), at + size)):
+            for f in range(filters):
+                best[f] = max(best[f], sum(float(p["table"][j][text[i + j]][f]) for j in range(width) if i + j < len(text)))
+        top.append(best)
+    full = min(len(text), 2 * size) / (2 * size)
+    hidden = []
+    for i in range(max(1, len(top) - 1)):
+        m = [max(0.0, max(a, b) + float(c)) for a, b, c in zip(top[i], top[min(i + 1, len(top) - 1)], p["bias"], strict=True)] + [full, math.sqrt(full)]
+        hidden.append([max(0.0, sum(x * float(w) for x, w in zip(m, p["w2"][:, h], strict=True)) + float(p["b2"][h])) for h in range(len(p["b2"]))])
+    z = sum(max(h[i] for h in hidden) * float(p["w3"][i]) for i in range(len(p["w3"]))) + float(p["b3"][0])
+    return 1 / (1 + math.exp(-z))
+
+
+@pytest.mark.parametrize("part", [512, 1 << 18])
+def test_quality_is_the_plain_network(part):
+    r = np.random.default_rng(5)
+    net = quality.Network(filters=5, hidden=4, seed=2)
+    texts = [bytes(r.integers(97, 123, n).astype(np.uint8)) for n in (0, 1, 255, 256, 257, 512, 1024, 2200, 3, 512, 1536, 30)]
+    size = np.array([len(t) for t in texts])
+    got = net.score(np.frombuffer(b"".join(texts), np.uint8), np.cumsum(size) - size, np.cumsum(size), part)
+    assert got == pytest.approx([plain_quality(net, t) for t in texts], abs=1e-5)
+
+
+def test_quality_keeps_columns_of_any_name(spark, docs):
+    labels = spark.read.parquet(f"{DIR}/labels.parquet")
+    own = docs.withColumn("quality_score", F.lit("own"))
+    got = quality.kept(own, labels)
+    assert got.columns == own.columns
+    assert {r.quality_score for r in got.collect()} == {"own"}
+
+
 def test_quality_learns(spark):
     r = np.random.default_rng(1)
     good = [" ".join(r.choice(["sun", "moon", "river", "stone", "cloud"], 30)).encode() for _ in range(150)]
@@ -289,6 +330,32 @@ def test_topk_is_exact(vectors):
     assert topk.search(vectors.filter("vec_id in (0, 3)")).filter("query_id = 0").count() <= 2
 
 
+def test_ann_searches_every_length_with_many_lists(spark, monkeypatch):
+    """Hundreds of lists, cut into parts for rows and queries, and vectors of three lengths, one of them rare."""
+    for name, value in (("LIST_ROWS", 4), ("PART_ROWS", 3), ("PART_QUERIES", 2)):
+        monkeypatch.setattr(ann, name, value)
+    r = np.random.default_rng(8)
+    centres = r.normal(size=(60, 24))
+    rows = [(i, [float(x) for x in (centres[i % 60] + r.normal(size=24))[: 24 if i % 3 else 16]]) for i in range(2400)]
+    rows += [(10_000 + 50 * i, [float(x) for x in r.normal(size=5)]) for i in range(7)] + [(50, [float(x) for x in r.normal(size=24)])]
+    got = collections.defaultdict(dict)
+    for x in ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(4)).collect():
+        got[x.query_id][x.rank] = (x.vec_id, x.score)
+    assert set(got) == {i for i, _ in rows if i % 50 == 0}
+    hits = total = 0
+    for q in got:
+        own = [np.array(v) for i, v in rows if i == q]
+        score = {}
+        for i, v in rows:
+            if i != q and (near := [float(e @ v / np.linalg.norm(e) / np.linalg.norm(v)) for e in own if len(e) == len(v)]):
+                score[i] = max(near)
+        best = sorted(score, key=lambda i: (-score[i], i))[:5]
+        assert sorted(got[q]) == [1, 2, 3, 4, 5]
+        assert all(s == pytest.approx(score[i], abs=1e-12) for i, s in got[q].values() if 50 not in (q, i))  # two vectors have that id
+        hits, total = hits + sum(i in best for i, _ in got[q].values()), total + 5
+    assert hits / total >= 0.95
+
+
 def test_ann_recall(vectors, spark):
     rows = fit_rows(vectors, False)
     got = collections.defaultdict(dict)
@@ -628,3 +695,24 @@ def test_best_cut():
 
 def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
+
+
+ELSEWHERE = """
+import sys
+sys.path.insert(0, {repo!r})
+from pyspark.sql import SparkSession
+spark = SparkSession.builder.master("local[2]").config("spark.sql.shuffle.partitions", "2").config("spark.ui.enabled", "false").config("spark.checkpoint.dir", {shared!r}).getOrCreate()
+from lumensift.llm import entries
+for name, query in entries.QUERIES.items():
+    print(name, query(spark, {data!r}).count())
+"""
+
+
+def test_executors_need_no_copy_of_the_package(tmp_path):
+    """All queries from a driver that alone can import the package."""
+    env = {k: v for k, v in os.environ.items() if k != "PYTHONPATH"}
+    repo = os.path.dirname(os.path.dirname(os.path.dirname(os.path.abspath(__file__))))
+    code = ELSEWHERE.format(repo=repo, shared=f"file://{tmp_path}/shared", data=DIR)
+    done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=600)
+    assert done.returncode == 0, done.stderr[-3000:]
+    assert len(done.stdout.split("\n")) == len(entries.QUERIES) + 1
