@@ -16,16 +16,17 @@ def components(links: DataFrame) -> DataFrame:
     """
     e = links.filter("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     e = common.written(e, "links")
-    seen = None
+    number = e.count()
     while True:
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         least = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("u", "m"))
         large = both.join(least, "u").filter("v > u and v <> m").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         low = large.groupBy("u").agg(F.min("v").alias("m"))
         small = large.join(low, "u").filter("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        e = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
-        now = tuple(e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v") % 1000003)).first())
-        if now == seen:
+        new = common.written(small.unionByName(low.select("u", F.col("m").alias("v"))).distinct(), "links")
+        old_number, number = number, new.count()
+        same = number == old_number and new.join(e, ["u", "v"], "left_anti").isEmpty()
+        e = new
+        if same:
             break
-        seen = now
     return e.select(F.col("u").alias("id"), F.col("v").alias("component")).unionByName(e.select(F.col("v").alias("id"), F.col("v").alias("component"))).distinct()

@@ -7,8 +7,9 @@ level with probability s, so after a few levels only similar sets share a node.
 further; with 12 trees of at most 3 levels a pair of similarity 0.85 meets in some node with probability above 0.99998.
 
 Nodes are compared exhaustively. The pairs of a node of a few classes are listed, and confirmed on the full sets. Larger nodes
-are the ones that the trees couldn't split: their full sets meet in one task (in blocks, where they are many), which compares
-all of them and returns one row for each class, however many of them are linked.
+are the ones that the trees couldn't split, most often near copies of one text: all their classes are compared with one of them first.
+What is then connected needs no comparison with each other; the classes left outside the largest component of their node meet
+all of the node's full sets, in blocks of bounded size, and a task returns one row for each class, however many of them are linked.
 """
 
 from __future__ import annotations
@@ -26,8 +27,8 @@ K = 5
 TREES, LEVELS = 12, 3
 #: A node of at most so many classes isn't split, and its pairs are listed.
 SMALL = 4
-#: Classes of a larger node that one task compares.
-BLOCK = 1024
+#: Classes of a larger node, and bytes of their sets, in one of the two blocks that a task compares.
+BLOCK, BLOCK_BYTES = 512, 32 << 20
 #: Pairs whose signatures agree in fewer places are not similar: at 0.85, that many or fewer agree once in 10 million pairs.
 AGREE = 0.5
 
@@ -159,14 +160,29 @@ def linked(items: list[np.ndarray], percent: int, columns: int = 4096) -> np.nda
     return (100 * both >= percent * (size[:, None] + size[None] - both)) | np.eye(n, dtype=bool)
 
 
-def compared(large: DataFrame, full: DataFrame, percent: int) -> DataFrame:
-    """(a, b): each class of a large node (node, cls, n) tied to the smallest one that it is linked with, directly or not."""
-    blocks = F.ceil(F.col("n") / (BLOCK // 2)).cast("int")
-    rows = large.withColumn("blocks", F.when(F.col("n") <= BLOCK, F.lit(1)).otherwise(blocks))
-    own = F.pmod(F.xxhash64("cls", "node"), F.col("blocks")).cast("int")
-    # two blocks meet in the task of their two numbers
-    rows = rows.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    rows = rows.select("node", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "cls").join(full, "cls")
+def unsettled(large: DataFrame, parts: DataFrame, classes: DataFrame) -> DataFrame:
+    """(node, cls, open, i, j): of nodes (node, cls) that aren't in one component (parts: id, component) as a whole, each class in every task
+    (i, j) it takes part in. Open are classes outside their node's largest component; all of these meet, and each meets the others."""
+    own = large.join(parts.select(F.col("id").alias("cls"), "component"), "cls", "left").withColumn("component", F.coalesce("component", "cls")).join(classes.select("cls", "n_shingles"), "cls")
+    sizes = own.groupBy("node", "component").agg(F.count(F.lit(1)).alias("n"), F.sum("n_shingles").alias("items"))
+    most = F.max(F.struct("n", "component", "items"))
+    per = sizes.groupBy("node").agg(most.alias("most"), F.sum("n").alias("n"), F.sum("items").alias("items"), F.count(F.lit(1)).alias("components")).filter("components > 1")
+    many = lambda n, items: F.greatest(F.lit(1), F.ceil(n / BLOCK), F.ceil(items * 8 / BLOCK_BYTES)).cast("int")
+    per = per.select("node", F.col("most.component").alias("largest"), many(F.col("n") - F.col("most.n"), F.col("items") - F.col("most.items")).alias("blocks"), many(F.col("most.n"), F.col("most.items")).alias("others"))
+    rows = own.join(per, "node").withColumn("open", F.col("component") != F.col("largest"))
+    mine = F.pmod(F.xxhash64("cls", "node"), F.when(F.col("open"), F.col("blocks")).otherwise(F.col("others"))).cast("int")
+    rows = rows.withColumn("mine", mine)
+    task = lambda i, j: F.struct(i.cast("int").alias("i"), j.cast("int").alias("j"))
+    blocks, others = F.sequence(F.lit(0), F.col("blocks") - 1), F.sequence(F.lit(0), F.col("others") - 1)
+    both = F.transform(blocks, lambda k: task(F.least("mine", k), F.greatest("mine", k)))
+    rest = F.transform(others, lambda k: task(F.col("mine"), F.col("blocks") + k))
+    tasks = F.when(F.col("open"), F.concat(both, rest)).otherwise(F.transform(blocks, lambda k: task(k, F.col("blocks") + F.col("mine"))))
+    return rows.select("node", "cls", "open", F.explode(tasks).alias("task")).select("node", "cls", "open", "task.i", "task.j")
+
+
+def compared(tasks: DataFrame, full: DataFrame, percent: int) -> DataFrame:
+    """(a, b): each class of a task of `unsettled` tied to the smallest one in it that it is linked with, directly or not."""
+    rows = tasks.select("node", "i", "j", "cls").join(full, "cls")
 
     def compare(group: pa.Table) -> pa.Table:
         ids = group.column("cls").to_pylist()
@@ -194,15 +210,19 @@ def groups(docs: DataFrame, percent: int = 80, k: int = K) -> DataFrame:
     component has no others. An empty table gives an empty one. Other columns are not used.
     """
     features = common.written(signed(docs, k), "signed")
-    classes = features.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("mins").alias("mins"))
+    classes = features.filter("cls is not null").groupBy("cls").agg(F.min("doc_id").alias("first_id"), F.first("mins").alias("mins"), F.first("n_shingles").alias("n_shingles"))
     classes = common.written(classes, "classes")
     leaves = nodes(classes)
     few = leaves.filter(F.col("n") <= SMALL)
-    pairs = few.select("node", F.col("cls").alias("a")).join(few.select("node", F.col("cls").alias("b")), "node").filter("a < b").select("a", "b").distinct()
-    pairs = common.written(likely(pairs, classes), "likely")
-    large = leaves.filter(F.col("n") > SMALL)
+    pairs = few.select("node", F.col("cls").alias("a")).join(few.select("node", F.col("cls").alias("b")), "node").filter("a < b").select("a", "b")
+    large = common.written(leaves.filter(F.col("n") > SMALL).select("node", "cls"), "large")
+    stars = large.groupBy("node").agg(F.min("cls").alias("a")).join(large.withColumnRenamed("cls", "b"), "node").filter("a <> b").select("a", "b")
+    pairs = common.written(likely(pairs.unionByName(stars).distinct(), classes), "likely")
     full = full_sets(pairs.select(F.col("a").alias("cls")).unionByName(pairs.select(F.col("b").alias("cls"))).unionByName(large.select("cls")).distinct(), docs, classes, k)
-    parts = graph.components(confirmed(pairs, full, percent).unionByName(compared(large, full, percent)))
+    parts = common.written(graph.components(confirmed(pairs, full, percent)), "parts")
+    tasks = common.written(unsettled(large, parts, classes), "tasks")
+    if not tasks.isEmpty():
+        parts = graph.components(parts.select(F.col("id").alias("a"), F.col("component").alias("b")).unionByName(compared(tasks, full, percent)))
     ids = classes.select("cls", "first_id").join(parts.withColumnRenamed("id", "cls"), "cls")
     least = ids.groupBy("component").agg(F.min("first_id").alias("least_id"))
     moved = ids.join(least, "component").select("cls", "least_id")
