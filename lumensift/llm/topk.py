@@ -20,7 +20,7 @@ from . import common
 BLOCK = 1024
 PIVOTS = 24
 PIVOT_SAMPLE = 2048
-STEP = 128  # candidates evaluated at a time
+STEP = 128  # candidates evaluated at first; each further step takes twice as many
 
 
 def finite(vector: str = "embedding"):
@@ -91,8 +91,10 @@ def best(q: np.ndarray, q_table: np.ndarray, q_id: int, x: np.ndarray, x_table:
     bound[x_ids == q_id] = -np.inf
     order = np.argsort(-bound)
     places, found = np.zeros(0, np.int64), np.zeros(0, np.int64)
-    for at in range(0, len(order), STEP):
-        some = order[at : at + STEP]
+    at, step = 0, STEP
+    while at < len(order):
+        some = order[at : at + step]
+        at, step = at + step, 2 * step
         some = some[bound[some] > -np.inf]
         if not len(some) or (len(found) >= k and bound[some[0]] < found[k - 1]):
             break
