@@ -21,8 +21,7 @@ from . import common
 
 #: (verdict, host, path)
 RULES = (("allow", "org", "/"), ("block", "example.org", "/es/"), ("block", "example.org", "/en/1"), ("allow", "com", "/fr/"), ("block", "com", "/de/"))
-#: Words that count against a URL before anything is learned, each as this share of all tokens of blocked URLs.
-BLOCK_WORDS, BLOCK_SHARE = ("adult", "casino", "pills", "porn", "spam", "viagra"), 0.05
+#: Letters of the longest word that a longer name is cut into; a longer word is known where it is a whole name.
 LONGEST_WORD = 24
 #: A URL is blocked if the model gives blocking at least this probability.
 SURE = 0.9
@@ -66,7 +65,7 @@ def best_cut(name: str, known: dict[tuple[int, int], int], total: int) -> list[s
     """The most probable words of a name; known: counts of its substrings by start and end. Ties: the longer last word."""
     best, back = [0.0] + [-math.inf] * len(name), [0] * (len(name) + 1)
     for end in range(1, len(name) + 1):
-        for start in range(max(0, end - LONGEST_WORD), end):
+        for start in range(max(0, end - LONGEST_WORD), end) if end < len(name) or end <= LONGEST_WORD else (0, *range(end - LONGEST_WORD, end)):
             n = known.get((start, end), 0)
             # an unknown word costs ten times more with each letter
             p = math.log10(n / total) if n else 1 - math.log10(max(total, 1)) - 1.2 * (end - start)
@@ -84,6 +83,7 @@ def segmented(names: DataFrame, words: DataFrame) -> DataFrame:
     n = F.length("name")
     starts = names.select("name", F.explode(F.sequence(F.lit(1), n)).alias("start"))
     pieces = starts.select("name", "start", F.explode(F.sequence(F.lit(1), F.least(F.lit(LONGEST_WORD), n - F.col("start") + 1))).alias("size"))
+    pieces = pieces.unionByName(names.filter(n > LONGEST_WORD).select("name", F.lit(1).alias("start"), n.alias("size")))
     pieces = pieces.withColumn("word", F.substring(F.col("name"), F.col("start"), F.col("size")))
     hits = pieces.join(words, "word").groupBy("name").agg(F.collect_list(F.struct((F.col("start") - 1).alias("a"), (F.col("start") - 1 + F.col("size")).alias("b"), "n")).alias("hits"))
     total = words.agg(F.sum("n")).first()[0] or 0
@@ -121,10 +121,8 @@ def judge(pages: DataFrame, rules: tuple = RULES) -> DataFrame:
     known = tokens.filter("by_rule is not null").groupBy("token").agg(F.sum(F.when(F.col("by_rule") == "block", F.col("times")).otherwise(0)).alias("b"), F.sum(F.when(F.col("by_rule") == "allow", F.col("times")).otherwise(0)).alias("a"))
     na, nb, v = (x or 0 for x in known.agg(F.sum("a"), F.sum("b"), F.count(F.lit(1))).first())
     ua, ub = (x or 0 for x in urls.agg(*[F.sum(F.when(F.col("by_rule") == act, F.col("times"))) for act in ("allow", "block")]).first())
-    seeds = pages.sparkSession.createDataFrame([(w, 1) for w in BLOCK_WORDS], "token string, seed int")
     rarest = math.log((na + v + 1) / (nb + v + 1))  # of a token that no rule has shown
-    lb = F.log(F.coalesce("b", F.lit(0)) + 1 + F.coalesce("seed", F.lit(0)) * (nb * BLOCK_SHARE))
-    odds = known.join(seeds, "token", "full").select("token", (lb - F.log(F.coalesce("a", F.lit(0)) + F.lit(1)) + rarest).alias("odds"))
+    odds = known.select("token", (F.log(F.col("b") + F.lit(1)) - F.log(F.col("a") + F.lit(1)) + rarest).alias("odds"))
     per = tokens.filter("by_rule is null").groupBy("host", "path", "token").agg(F.count(F.lit(1)).alias("k"))
     scored = per.join(odds, "token", "left").groupBy("host", "path").agg(F.sum(F.coalesce("odds", F.lit(rarest)) * F.col("k")).alias("x"))
     prior = math.log((ub + 1) / (ua + 1))

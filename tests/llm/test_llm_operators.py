@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import os
+import re
 import subprocess
 import sys
 import zlib
@@ -53,6 +54,10 @@ def words(text):
     return (text or "").encode().lower().split()
 
 
+def ascii_lower(text):
+    return text.translate({i: i + 32 for i in range(65, 91)})
+
+
 def shingles(text, k=5):
     w = words(text)
     return {tuple(w[i : i + k]) for i in range(max(1, len(w) - k + 1))} if w else set()
@@ -684,6 +689,64 @@ def test_urls_learn(spark):
     assert (got[1000].verdict, got[1001].verdict) == ("block", "allow")
 
 
+def test_urls_are_those_of_the_plain_model(spark):
+    """Plain word counts, Viterbi over all substrings and naive Bayes, on all pages and URLs of odd forms."""
+    pages = spark.read.parquet(f"{DIR}/pages.parquet").select("page_id", "url", "html")
+    odd = [(10_000 + i, u, None) for i, u in enumerate(["http://b.com/de/" + "theand" * 9, "https://ñandu.net/Thingof-2x/THE%20and?x", "ftp://the.and.net/", "x", None, "://", "http://a.com/de/x//y#z", "https://" + "ingthe" * 12 + ".io/and"])]
+    pages = pages.unionByName(spark.createDataFrame(odd, "page_id long, url string, html string"))
+    rows = pages.collect()
+    count = collections.Counter(w for r in rows for w in re.findall("[a-z]+", ascii_lower(re.sub("<[^>]*>", " ", r.html or ""))))
+    total = sum(count.values())
+
+    def cut(name):
+        best = {0: (0.0, [])}
+        for end in range(1, len(name) + 1):
+            options = []
+            for start in range(end):
+                word = name[start:end]
+                if len(word) <= urls.LONGEST_WORD or word == name:
+                    p = math.log10(count[word] / total) if count[word] else 1 - math.log10(total) - 1.2 * len(word)
+                    options.append((best[start][0] + p, -start, [*best[start][1], word]))
+            p, _, words_ = max(options)
+            best[end] = (p, words_)
+        return best[len(name)][1]
+
+    def parts(url):
+        at = (url or "").find("://")
+        rest = url[at + 3 :] if at >= 0 else ""
+        host = re.match("[^/?#]*", rest)[0]
+        return ascii_lower(host), re.match("[^?#]*", rest[len(host) :])[0]
+
+    def rule(host, path):
+        fits = [(len(h + p), h + p, act) for act, h, p in urls.RULES if (host == h or host.endswith("." + h)) and path.startswith(p)]
+        return max(fits)[1:] if fits else (None, None)
+
+    tokens = {}
+    for r in rows:
+        host, path = parts(r.url)
+        names = re.findall("[a-z]+|#", host + " " + ascii_lower(re.sub("[0-9]+", "#", path)))
+        tokens[r.page_id] = [t for n in names for t in ([n] if n == "#" else cut(n))]
+    seen, docs_ = {"allow": collections.Counter(), "block": collections.Counter()}, collections.Counter()
+    for r in rows:
+        act = rule(*parts(r.url))[1]
+        if act:
+            docs_[act] += 1
+            seen[act].update(tokens[r.page_id])
+    v, na, nb = len({*seen["allow"], *seen["block"]}), seen["allow"].total(), seen["block"].total()
+    sure = math.log(urls.SURE / (1 - urls.SURE))
+    decided = collections.Counter()
+    for r in urls.judge(pages).collect():
+        url = next(x.url for x in rows if x.page_id == r.page_id)
+        assert (r.host, r.path) == parts(url)
+        name, act = rule(r.host, r.path)
+        assert r.rule == name
+        x = math.log((docs_["block"] + 1) / (docs_["allow"] + 1)) + sum(math.log((seen["block"][t] + 1) / (nb + v + 1)) - math.log((seen["allow"][t] + 1) / (na + v + 1)) for t in tokens[r.page_id])
+        if act or abs(x - sure) > 1e-9:
+            assert r.verdict == (act or ("block" if x > sure else "allow"))
+        decided[act is None] += 1
+    assert min(decided.values()) > 5
+
+
 def test_best_cut():
     count = {"cheap": 50, "flights": 30, "heap": 5, "c": 1, "flight": 20, "s": 3}
     name = "cheapflights"
