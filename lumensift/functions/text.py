@@ -7,12 +7,13 @@ from pyspark.sql import functions as F
 
 from . import lexicons
 
-# White space as Python's str methods see it: regex \s and the four separators U+001C to U+001F.
-BLANK = r"[\s\x1c-\x1f]"
+#: White space as Python's str methods see it, spelled out: a list is trimmed, and a class of it matched, without Unicode's tables.
+BLANKS = "".join(map(chr, [*range(0x09, 0x0E), *range(0x1C, 0x21), 0x85, 0xA0, 0x1680, *range(0x2000, 0x200B), 0x2028, 0x2029, 0x202F, 0x205F, 0x3000]))
+BLANK = r"[\x09-\x0D\x1C-\x20\x85\xA0\u1680\u2000-\u200A\u2028\u2029\u202F\u205F\u3000]"
 
 
 def strip(text: Column) -> Column:
-    return F.regexp_replace(text, rf"(?U)^{BLANK}+|{BLANK}+\z", "")
+    return F.btrim(text, F.lit(BLANKS))
 
 
 def clean_loaded(text: Column) -> Column:
@@ -21,20 +22,24 @@ def clean_loaded(text: Column) -> Column:
     t = F.regexp_replace(t, r"(?U)(\w)-\n(\w)", "$1$2")
     t = F.regexp_replace(t, r"(?Umd)^\s*(?:[-–]\s*)?\d+\s*(?:[-–]\s*)?$", "")
     t = F.regexp_replace(t, r"(?Uimd)^\s*Page\s+\d+(?:\s+of\s+\d+)?\s*$", "")
-    t = F.regexp_replace(t, r"[ \t]+", " ")
-    return strip(F.regexp_replace(t, r"\n{3,}", "\n\n"))
+    return strip(F.regexp_replace(one_space(t), r"\n{3,}", "\n\n"))
+
+
+def one_space(text: Column) -> Column:
+    """Runs of spaces and tabs as one space; a lone space is no match, so it isn't written anew."""
+    return F.regexp_replace(text, r" [ \t]+|\t[ \t]*", " ")
 
 
 def clean_chunk(text: Column) -> Column:
     """A stored chunk for display: three or more newlines to two, then runs of spaces and tabs to one, trimmed."""
     t = F.regexp_replace(F.coalesce(text, F.lit("")), r"\n{3,}", "\n\n")
-    return strip(F.regexp_replace(t, r"[ \t]+", " "))
+    return strip(one_space(t))
 
 
 def words(text: Column) -> Column:
     """The words of a text; no words for a blank one, where split() would give one."""
     t = strip(F.coalesce(text, F.lit("")))
-    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, rf"(?U){BLANK}+"))
+    return F.when(t == "", F.array().cast("array<string>")).otherwise(F.split(t, f"{BLANK}+"))
 
 
 def normal(text: Column) -> Column:
@@ -166,13 +171,18 @@ def parsed_suggestions(reply: Column, default: list[str] = lexicons.DEFAULT_SUGG
     return F.coalesce(kept, F.array(*map(F.lit, default)))
 
 
-def html_text(html: Column) -> Column:
-    """The visible text of a page: blocks without text dropped, block tags as line breaks, entities decoded."""
+def visible(html: Column) -> Column:
+    """A page without its tags: blocks without text dropped, block tags as line breaks."""
     t = F.coalesce(html, F.lit(""))
     for tag in ("script", "style", "head"):
         t = F.regexp_replace(t, rf"(?is)<{tag}\b.*?</{tag}>", " ")
     t = F.regexp_replace(t, r"(?i)</?(p|div|br|li|ul|ol|tr|table|h[1-6]|section|article|header|footer|nav)\b[^>]*>", "\n")
-    t = F.regexp_replace(t, r"<[^>]*>", "")
+    return F.regexp_replace(t, r"<[^>]*>", "")
+
+
+def html_text(html: Column) -> Column:
+    """The visible text of a page, the common entities decoded; all of it in the JVM."""
+    t = visible(html)
     for entity, sign in (("&nbsp;", " "), ("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&amp;", "&")):
         t = F.replace(t, F.lit(entity), F.lit(sign))
     return t
