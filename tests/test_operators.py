@@ -68,9 +68,9 @@ def test_chunk_filter(spark, request_, ids):
     assert {r.chunk_id for r in spark.createDataFrame(rows, CHUNK).filter(retrieve.chunk_filter(**request_)).collect()} == ids
 
 
-@pytest.mark.parametrize("most", [20_000, 1])
+@pytest.mark.parametrize("most", [1 << 20, 1])
 def test_nearest(spark, monkeypatch, most):
-    monkeypatch.setattr(retrieve, "BROADCAST_QUESTIONS", most)
+    monkeypatch.setattr(retrieve.blocks, "BROADCAST_BYTES", most)
     rows = [(str(i), "f", "official", "admin", "general", False, v) for i, v in enumerate([[1.0, 0.0], [1.0, 0.0], [0.0, 1.0], [0.0, 0.0], [-1.0, 0.0]])]
     q = spark.createDataFrame([(1, [2.0, 0.0], False, None), (2, [0.0, 1.0], True, "nobody")], "query_id int, query_embedding array<double>, use_personal boolean, user_id string")
     c = spark.createDataFrame(rows, CHUNK)
