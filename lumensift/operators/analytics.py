@@ -14,8 +14,9 @@ LOG = "id long, user_id string, user_email string, question string, answer strin
 
 
 def complete(logs: DataFrame) -> DataFrame:
-    """Logs with all columns of LOG, missing ones null."""
-    return logs.unionByName(logs.sparkSession.createDataFrame([], LOG), allowMissingColumns=True) if set(logs.columns) < {c.split()[0] for c in LOG.split(", ")} else logs
+    """Logs with all columns of LOG, missing ones null; others stay."""
+    missing = [c.split() for c in LOG.split(", ") if c.split()[0] not in logs.columns]
+    return logs.withColumns({name: F.lit(None).cast(kind) for name, kind in missing}) if missing else logs
 
 
 def has_answer() -> Column:

@@ -110,8 +110,9 @@ def stored(blobs: DataFrame) -> DataFrame:
     """(user_id, blob) JSON -> a row for each message; what can't be parsed, or has no string id or message list, gives none."""
     c = blobs.select("user_id", F.get_json_object("blob", "$.conversations").alias("_raw"))
     c = c.select("user_id", F.posexplode(F.arrays_zip(F.from_json("_raw", f"array<{CONVERSATION}>").alias("c"), F.from_json("_raw", "array<string>").alias("raw"))).alias("_i", "z"))
-    # only the raw text tells a string id from a number
-    c = c.select("user_id", F.col("z.c").alias("c"), F.col("z.raw").alias("raw")).filter(F.col("raw").rlike(r'"id"\s*:\s*"') & F.col("c.messages").isNotNull())
+    # only the raw text tells a string id from a number, and only its own field: messages and sources have ids too
+    own = F.schema_of_variant(F.try_variant_get(F.try_parse_json("z.raw"), "$.id", "variant")) == "STRING"
+    c = c.select("user_id", F.col("z.c").alias("c"), own.alias("string_id")).filter(F.col("string_id") & F.col("c.messages").isNotNull())
     c = c.select("user_id", F.col("c.id").alias("conv_id"), F.col("c.title").alias("title"), F.try_to_timestamp(F.col("c.updatedAt")).alias("updated_at"), F.posexplode("c.messages").alias("turn", "m"))
     return c.select("user_id", "conv_id", "title", "updated_at", "turn", "m.*")
 

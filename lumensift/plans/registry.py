@@ -53,9 +53,9 @@ def _(f):
     return chunking.chunks(f).select("chunk_id", "filename", "page", F.col("chunk_index").cast("long"), "scope", "user_id", "department", "document_type", "year", "deleted", "text")
 
 
-@query("p5_safe_id", r"SELECT doc_id, regexp_replace(replace(left(text, 40), ' ', '_'), '[^A-Za-z0-9_.-]', '_', 'g') AS safe FROM documents WHERE text <> ''", "documents")
+@query("p5_safe_id", r"SELECT doc_id, regexp_replace(replace(text, ' ', '_'), '[^A-Za-z0-9_.-]', '_', 'g') AS safe FROM documents WHERE text <> ''", "documents")
 def _(d):
-    return d.filter("text <> ''").select("doc_id", T.safe_id(F.substring("text", 1, 40)).alias("safe"))
+    return d.filter("text <> ''").select("doc_id", T.safe_id(F.col("text")).alias("safe"))
 
 
 @query("p8_row_text", "SELECT p_partkey, 'Row ' || p_partkey || ': p_name: ' || p_name || ' | p_brand: ' || p_brand || ' | p_type: ' || p_type || ' | p_size: ' || p_size AS text FROM part", "part")
@@ -243,7 +243,7 @@ def _(q, c):
 
 @query("f4_distance_cut", f"SELECT q.query_id, count(*) AS near FROM vec_questions_v q JOIN vec_chunks_v c ON {ADMISSIBLE} WHERE {DIST} <= 0.75 GROUP BY 1", "vec_questions_v", "vec_chunks_v")
 def _(q, c):
-    return retrieve.dense_hits(q, c).filter(F.col("distance") <= retrieve.FARTHEST).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
+    return retrieve.dense_hits(q, c, farthest=retrieve.FARTHEST).groupBy("query_id").agg(F.count(F.lit(1)).alias("near"))
 
 
 SPARSE = r"""
@@ -606,3 +606,6 @@ def _(e):
     # a question for every five ids of a remainder, so that no context grows with the table
     parts = e.select(F.struct((F.col("vec_id") % 7).alias("of"), F.floor(F.col("vec_id") / 35).alias("block")).alias("query_id"), F.col("vec_id").alias("rank"), F.lit("p").alias("part"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit(0.1).alias("distance"))
     return retrieve.contexts(parts).groupBy(F.col("query_id.of").alias("query_id")).agg(F.sum(F.size("sources")).alias("n"))
+
+
+from . import inputs  # noqa: E402, F401  (registers its queries)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import csv
+import html
 import io
 import json
 from collections.abc import Iterator
@@ -54,7 +55,7 @@ def _printed_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for text in batch:
             try:
                 out.append(None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False))
-            except ValueError:
+            except (ValueError, RecursionError):  # not JSON, or nested too deeply to be printed
                 out.append(None)
         yield pd.Series(out, dtype=object)
 
@@ -70,13 +71,17 @@ def _cleaned(text: Column) -> Column:
 
 @F.pandas_udf(StringType())
 def _csv_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    csv.field_size_limit(2**31 - 1)  # a text is no longer than that
     for batch in batches:
         out = []
         for text in batch:
-            if text is None:
+            try:
+                head, *rows = (None,) if text is None else list(csv.reader(io.StringIO(text))) or [[]]
+            except csv.Error:
+                head, rows = None, []
+            if head is None:
                 out.append(None)
                 continue
-            head, *rows = list(csv.reader(io.StringIO(text))) or [[]]
             lines = []
             for i, row in enumerate(rows):
                 parts = [f"{h}: {v}" for h, v in zip(head, row, strict=False) if v.strip()]
@@ -86,6 +91,18 @@ def _csv_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series(out, dtype=object)
 
 
+@F.pandas_udf(StringType())
+def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    for batch in batches:
+        yield pd.Series([None if x is None else html.unescape(x) for x in batch], dtype=object)
+
+
+def html_page(text: Column) -> Column:
+    """The visible text of a page, with comments dropped and every named or numeric entity decoded."""
+    seen = T.visible(F.regexp_replace(text, r"(?s)<!--.*?-->", ""))
+    return _unescaped(seen)
+
+
 def csv_text(text: Column) -> Column:
     """A file's rows as `Row i: column: value | ...`; each file has its own header. Values stay as written."""
     return _cleaned(_csv_rows(text))
@@ -128,14 +145,15 @@ def pages_text(files: DataFrame) -> DataFrame:
     """
     ext = F.col("file_type")
     text = (
-        F.when(ext.isin(".txt", ".md", ".markdown"), strict_text(F.col("content"))).when(ext.isin(".html", ".htm"), T.html_text(strict_text(F.col("content"))))
+        F.when(ext.isin(".txt", ".md", ".markdown"), strict_text(F.col("content"))).when(ext.isin(".html", ".htm"), strict_text(F.col("content")))
         .when(ext.isin(".sql", ".dump"), lenient_text(F.col("content"))).when(ext.isin(".csv", ".json"), strict_text(F.col("content")))
     )
     f = files.withColumn("_t", text)
-    plain = f.filter(~ext.isin(".csv", ".json") | ~F.col("supported")).withColumn("text", F.when(F.col("supported"), _cleaned(F.col("_t"))))
+    plain = f.filter(~ext.isin(".csv", ".json", ".html", ".htm")).withColumn("text", F.when(F.col("supported"), _cleaned(F.col("_t"))))
+    marked = f.filter(ext.isin(".html", ".htm")).withColumn("text", _cleaned(html_page(F.col("_t"))))
     tables = f.filter(ext == ".csv").withColumn("text", csv_text(F.col("_t")))
     trees = f.filter(ext == ".json").withColumn("text", json_text(F.col("_t")))
-    rows = plain.unionByName(tables).unionByName(trees)
+    rows = plain.unionByName(marked).unionByName(tables).unionByName(trees)
     error = F.when(~F.col("supported"), "unsupported").when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", "no text")
     return rows.select("filename", F.lit(1).alias("page"), F.lit(1).alias("total_pages"), F.regexp_replace("file_type", r"^\.", "").alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.col("path").alias("source"), "text", error.alias("error"))
 

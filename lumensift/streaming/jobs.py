@@ -60,3 +60,17 @@ def answer_batch(questions: DataFrame, chunks: DataFrame, k: int | None = None)
 def answer(questions: DataFrame, chunks: Callable[[], DataFrame], save: Callable[[DataFrame, int], None], k: int | None = None):
     """A writer of routed rows for a stream of questions, one snapshot of the chunk table for each batch."""
     return questions.writeStream.foreachBatch(lambda batch, number: save(answer_batch(batch, chunks(), k), number))
+
+
+def last_table(stream: DataFrame, path: str) -> DataFrame:
+    """The whole result of a stream of aggregates once nothing is left to read: every batch writes its snapshot below path, the
+    last one stands. A batch that comes again writes the same snapshot."""
+    done: list[int] = []
+
+    def save(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/table-{number}")
+        done.append(number)
+
+    stream.writeStream.outputMode("complete").option("checkpointLocation", f"{path}/state").trigger(availableNow=True).foreachBatch(save).start().awaitTermination()
+    spark = stream.sparkSession
+    return spark.read.schema(stream.schema).parquet(f"{path}/table-{max(done)}") if done else spark.createDataFrame([], stream.schema)
