@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumensift.storage import texts
+
 NOW = "2024-01-30 12:00:00"
 
 VIEWS = {
@@ -38,6 +40,7 @@ SELECT c_custkey AS id, lower(c_name) || '@example.org' AS email, c_name AS full
   CASE WHEN c_custkey % 50 = 0 THEN 'super_admin' WHEN c_custkey % 10 = 0 THEN 'admin' ELSE 'student' END AS role
 FROM {customer}""",
 }
+TEXTS = ("documents", "pages")
 BASE = ("documents", "embeddings", "conversations", "events", "customer", "part", "benchmark", "pages")
 
 #: Chunks of files_v, as SQL.
@@ -54,6 +57,8 @@ NEEDS = {"words_v": ["files_v"], "chunks_v": ["files_v", "words_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    if name in TEXTS:
+        return texts(spark, f"{sf_dir}/{name}.parquet")
     if name in BASE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     table = next(b for b in BASE if f"{{{b}}}" in VIEWS[name])

@@ -1,10 +1,10 @@
-"""Where intermediate tables go."""
+"""Where tables come from and intermediate ones go."""
 
 from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -21,3 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
         place = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.conf.set("spark.checkpoint.dir", place)
     return place.rstrip("/")
+
+
+def texts(spark: SparkSession, path: str) -> DataFrame:
+    """A Parquet table of texts. If its files give fewer partitions than there are cores, as a single small file does, its rows are dealt
+    out, so that the work on them isn't one task's; a larger table is read as it lies."""
+    df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
