@@ -6,52 +6,65 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lumensift.storage import texts
+
 from . import ann, bpe, langid, lm, mixing, neardup, quality, substring, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return texts(spark, path) if name in ("documents", "pages") else spark.read.parquet(path)
 
 
 def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from the labels of rows that aren't held out."""
     return quality.digest(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op2_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from rows that aren't held out."""
     return langid.digest(table(spark, sf_dir, "documents"))
 
 
 def op3_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Token ids of every document, hashed, and the hash of what they decode to."""
     import public_tokenizers
 
     return bpe.digest(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log-probabilities of every document under a model of rows that aren't held out."""
     return lm.score(table(spark, sf_dir, "documents"))
 
 
 def op5_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five neighbours found of every 50th vector."""
     return ann.nearest(table(spark, sf_dir, "embeddings"))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words that the mix takes of every document."""
     return mixing.digest(table(spark, sf_dir, "documents"))
 
 
 def op7_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Passages of every document that an earlier one has too."""
     return substring.digest(table(spark, sf_dir, "documents"))
 
 
 def op8_neardup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Group of near copies of every document, at a similarity of 0.85."""
     return neardup.groups(table(spark, sf_dir, "documents"), percent=85)
 
 
 def op9_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdict on the URL of every page."""
     return urls.judge(table(spark, sf_dir, "pages"))
 
 
 def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five best of every 50th vector by integer inner product, exactly."""
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 

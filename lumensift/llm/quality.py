@@ -20,6 +20,7 @@ from pyspark.sql import functions as F
 from . import common
 
 BLOCK = 256
+STEP = 1 << 13  # bytes whose responses are computed together
 PAD = 255  # a byte that UTF-8 never has
 #: The bound of the sample: labelled rows of each class, and the longest text among them in bytes.
 SAMPLE_ROWS, SAMPLE_TEXT = 1500, 65536
@@ -60,9 +61,14 @@ class Network:
     def responses(self, x: np.ndarray, stops: np.ndarray) -> np.ndarray:
         """Filter responses at every place but the padding: blocks x BLOCK x filters. No filter reads beyond its text's stop."""
         n, table = len(x) - self.width, self.p["table"]
-        a = table[0][x[:n]]
-        for j in range(1, self.width):
-            a += table[j][x[j : j + n]]
+        a, wide = np.empty((n, table.shape[2]), np.float32), x.astype(np.intp)
+        more = np.empty((min(n, STEP), table.shape[2]), np.float32)
+        for at in range(0, n, STEP):  # parts that stay in a cache
+            own = a[at : at + STEP]
+            np.take(table[0], wide[at : at + len(own)], axis=0, mode="clip", out=own)
+            for j in range(1, self.width):
+                np.take(table[j], wide[at + j : at + j + len(own)], axis=0, mode="clip", out=more[: len(own)])
+                own += more[: len(own)]
         for left in range(1, self.width):
             at = stops - left
             a[at] = table[0][x[at]]
