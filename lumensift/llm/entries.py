@@ -83,5 +83,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
+    "op8_neardup": neardup.SQL,
     "op10_topk": topk.SQL,
 }

@@ -15,6 +15,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import common
+
 WORD = r"[^\x20\x09-\x0D]+"
 BUCKETS = 64
 CLASSES_PER_DOUBLING = 4
@@ -85,6 +87,13 @@ def emit(mixed_docs: DataFrame) -> DataFrame:
     return copies.withColumn("mix_copy", F.explode(F.sequence(F.lit(1).cast("long"), F.col("mix_copies")))).select(*[c for c in mixed_docs.columns if not c.startswith("mix_")])
 
 
+def sampled(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3), cap: float = 3.0) -> DataFrame:
+    """docs as often as the mix takes each row, in their own columns, whatever these are called."""
+    own = {c: common.fresh(docs.columns, f"own_{c}".lower()) for c in docs.columns if c.lower().startswith("mix_")}
+    rows = emit(mix(docs.withColumnsRenamed(own), seed, weights, cap))
+    return rows.withColumnsRenamed({new: c for c, new in own.items()}).select(*docs.columns)
+
+
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
     m = mix(docs.select("doc_id", "text", "source"))

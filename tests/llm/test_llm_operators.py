@@ -425,6 +425,15 @@ def test_mixing(docs, empty, clash):
     assert out.count() == sum(r.mix_copies for r in m.collect())
 
 
+def test_mixing_keeps_columns_of_any_name(docs):
+    own = docs.select("*", F.lit("a").alias("mix_size"), F.lit("b").alias("MIX_key"), F.lit("c").alias("own_mix_size"))
+    got = mixing.sampled(own)
+    assert got.columns == own.columns
+    rows = got.collect()
+    assert {(r.mix_size, r["MIX_key"], r.own_mix_size) for r in rows} == {("a", "b", "c")}
+    assert collections.Counter(r.doc_id for r in rows) == collections.Counter(r.doc_id for r in mixing.sampled(docs).collect())
+
+
 # --- 7 ---
 
 
@@ -760,6 +769,21 @@ def test_every_operator_has_a_query():
     assert sorted(int(n[2:].split("_")[0]) for n in entries.QUERIES) == list(range(1, 11))
 
 
+@pytest.mark.parametrize("name", list(entries.SQL))
+def test_queries_equal_their_sql(spark, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for table in ("documents", "embeddings", "pages"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{DIR}/{table}.parquet'")
+    result = con.execute(entries.SQL[name])
+    names = [c[0] for c in result.description]
+    plain = lambda rows: sorted(tuple(f"{x:.9g}" if isinstance(x, float) else str(x) for x in r) for r in rows)
+    got = entries.QUERIES[name](spark, DIR)
+    assert sorted(got.columns) == sorted(names)
+    assert plain(got.select(*names).collect()) == plain(result.fetchall())
+
+
 ELSEWHERE = """
 import sys
 sys.path.insert(0, {repo!r})
