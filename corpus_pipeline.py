@@ -44,7 +44,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
     A null source is a source of its own. Null and empty texts have no words and follow their source's rate. Of equal rows it makes no
     difference which is repeated. An empty table gives an empty one.
     """
-    return mixing.emit(mixing.mix(docs))
+    return mixing.sampled(docs)
 
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
