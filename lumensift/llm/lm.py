@@ -1,7 +1,7 @@
 """Language-model scores from a log-frequency Bloom filter.
 
 The filter holds the count of every word pair of the training texts, quantised: counts fall into levels whose bounds grow by
-a quarter, and a pair is stored once for each level up to its own. Its count is read back by probing levels until one is missing. The filter is cut into segments by hash,
+a seventh, and a pair is stored once for each level up to its own. Its count is read back by probing levels until one is missing. The filter is cut into segments by hash,
 each built by one reducer with ten bits for each stored level, however many there are. No process holds the whole filter: every block
 asks the reducer that has a segment for its pairs' levels, and the number of segments grows with the tokens.
 
@@ -31,8 +31,8 @@ BITS_EACH, PROBES = 10, 5
 KAPPA = 8.0
 
 
-def level_bounds(top: float = 1e15, growth: float = 1.25) -> np.ndarray:
-    """The smallest count of each level: 1, 2, 3, 4, 5, 6, 7, 8, 10, 12, ..."""
+def level_bounds(top: float = 1e15, growth: float = 1.15) -> np.ndarray:
+    """The smallest count of each level: one by one to 14, then 16, 18, 20, 23, 26, ...; fewer than 256."""
     out = [1]
     while out[-1] < top:
         out.append(max(out[-1] + 1, int(out[-1] * growth)))

@@ -263,7 +263,7 @@ def test_lm(docs, empty, monkeypatch):
     for a, b in zip(got, sorted(want, key=str), strict=True):
         assert a[:5] == b[:5]
         assert a[5] == pytest.approx(b[5], abs=1e-6)
-        assert a[6] == pytest.approx(b[6], abs=3 + 0.06 * a[2])  # counts are quantised, and the filter errs now and then
+        assert a[6] == pytest.approx(b[6], abs=1 + 0.031 * a[2])  # a level spans a seventh, and the filter errs now and then
     assert lm.score(empty).count() == 0
     assert [r.score for r in lm.score(docs.filter("doc_id is null and text is null")).collect()] == [0.0]
 
@@ -272,7 +272,7 @@ def test_filter_never_loses_a_count():
     pair = np.random.default_rng(0).integers(0, 2**63, 5000, dtype=np.uint64)
     times = np.random.default_rng(1).integers(1, 100, 5000)
     segment = np.zeros(200_000, np.uint8)
-    for j in range(1, 25):
+    for j in range(1, int(np.searchsorted(lm.BOUNDS, 100)) + 1):
         for s in lm.spots(pair[times >= lm.BOUNDS[j - 1]], j, 8 * len(segment)):
             np.bitwise_or.at(segment, s >> 3, np.uint8(1) << (s & 7).astype(np.uint8))
     got = lm.LogFrequencyFilter([segment]).counts(pair)
