@@ -29,6 +29,18 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
+    """The same, dealt into as many buckets by its keys as shuffles have partitions: joins on the keys don't move it again.
+
+    df should be dealt by the keys already, as after a join on them, so that no bucket is written by many tasks.
+    """
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    number = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    writer = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").format("parquet")
+    writer.bucketBy(number, *keys).sortBy(*keys).saveAsTable(table)
+    return spark.table(table)
+
+
 def held_out(doc_id: str, folds: int):
     """True for the rows whose crc32(doc_id as text) leaves no remainder; a null id is held out too."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % folds == 0, F.lit(True))

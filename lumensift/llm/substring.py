@@ -28,8 +28,7 @@ from . import common
 K, W = 5, 6
 MIN_WORDS, IDENTITY = 50, 0.8
 GAP = 30  # words that a chain may skip in either document
-ROUNDS = 2  # in which the heaviest chains are aligned before all others
-REACH = 256  # words on either side that an extension gets at first; one that uses them all gets four times as many
+REACH = 64  # words on either side that an extension gets at first; one that uses them all gets all there are
 SIDE = 7  # words of context on either side of a shorter window
 SLICE = 4 << 20
 PIECE = 1 << 18  # words of one text that are looked at together
@@ -525,31 +524,28 @@ def alignments(found: DataFrame, words: DataFrame, identity: float, min_words: i
             cols = [*(batch.column(c) for c in chain_columns), *(pa.array(got[:, j]) for j in (2, 3, 0, 1, 4)), pa.array(most)]
             yield pa.RecordBatch.from_arrays(cols, names=[*chain_columns, "start", "end", "other_start", "other_end", "equal", "most"]).filter(keep)
 
-    out, most = None, REACH
-    while True:
+    out = None
+    for most in (REACH, 1 << 28):
         kind = "lo_id long, lo_th int, hi_id long, hi_th int, parts array<int>, start long, end long, other_start long, other_end long, equal long, most boolean"
         done = common.written(around(found, most).mapInArrow(align, kind), "aligned")
         own = done.filter("not most").select(F.col("hi_id").alias("doc_id"), F.col("hi_th").alias("th"), "start", "end", F.col("lo_id").alias("other_id"), "other_start", "other_end", "equal")
         out = own if out is None else out.unionByName(own)
-        found, most = done.filter("most").select(*chain_columns), 4 * most
+        found = done.filter("most").select(*chain_columns)
         if found.isEmpty():
-            return out.select(*columns).distinct()
+            break
+    return out.select(*columns).distinct()
 
 
 def settled(found: DataFrame, words: DataFrame, identity: float, min_words: int) -> DataFrame | None:
-    """Passages of the chains: of the heaviest ones, then, for some rounds, of the heaviest that stand in no passage that these have
-    made, and of all others that still don't. So a document is aligned with one of many near copies, and what that doesn't
-    cover with others. None without chains.
+    """Passages of the chains: of the heaviest ones, then of all others that stand in no passage that these have made. So a document
+    is aligned with one of many near copies, and what that doesn't cover with others. None without chains.
     """
-    out, rounds = None, 0
-    while not found.isEmpty():
-        chosen = common.written(foremost(found), "chains") if rounds < ROUNDS else found.withColumn("first", F.lit(True))
-        own = common.written(alignments(chosen.filter("first"), words, identity, min_words), "passages")
-        out, rounds = own if out is None else out.unionByName(own), rounds + 1
-        if rounds > ROUNDS:
-            break
-        found = common.written(unsettled(chosen.filter("not first").drop("first"), out), "chains")
-    return out
+    if found.isEmpty():
+        return None
+    chosen = common.written(foremost(found), "chains")
+    out = common.written(alignments(chosen.filter("first"), words, identity, min_words), "passages")
+    rest = common.written(unsettled(chosen.filter("not first").drop("first"), out), "chains")
+    return out if rest.isEmpty() else out.unionByName(common.written(alignments(rest, words, identity, min_words), "passages"))
 
 
 def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDENTITY) -> DataFrame:
@@ -570,7 +566,9 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
         ids = by_seeds.select(F.col(f"{side}_id").alias("doc_id"), F.col(f"{side}_th").alias("th"))
         wanted = wanted.unionByName(ids, allowMissingColumns=True)
     wanted = wanted.groupBy("doc_id", "th").agg(F.max("places").alias("places"))
-    texts = own.join(wanted, ["doc_id", "th"])
+    # dealt by hand, so that the buckets below are written by one task each however the join is made
+    number = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    texts = own.repartition(number, "doc_id", "th").join(wanted, ["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in common.text_slices(batches):
@@ -578,7 +576,8 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
             lists = pa.ListArray.from_arrays(pa.array(common.row_starts(counts).astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists, part.column("places")], names=["doc_id", "th", "words", "places"])
 
-    words = common.written(texts.mapInArrow(run, "doc_id long, th int, words array<int>, places array<int>"), "words")
+    # every round of alignment reads some of them by document
+    words = common.bucketed(texts.mapInArrow(run, "doc_id long, th int, words array<int>, places array<int>"), "words", "doc_id", "th")
     out = settled(by_seeds, words, identity, min_words)
     none = own.sparkSession.createDataFrame([], PASSAGE)
     out = none if out is None else out
