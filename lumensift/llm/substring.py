@@ -566,18 +566,17 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
         ids = by_seeds.select(F.col(f"{side}_id").alias("doc_id"), F.col(f"{side}_th").alias("th"))
         wanted = wanted.unionByName(ids, allowMissingColumns=True)
     wanted = wanted.groupBy("doc_id", "th").agg(F.max("places").alias("places"))
-    # dealt by hand, so that the buckets below are written by one task each however the join is made
-    number = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    texts = own.repartition(number, "doc_id", "th").join(wanted, ["doc_id", "th"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part, _ in common.text_slices(batches):
             *_, hashes, counts = common.words_of(part.column("text"))
             lists = pa.ListArray.from_arrays(pa.array(common.row_starts(counts).astype(np.int32)), pa.array((hashes >> np.uint64(32)).astype(np.uint32).view(np.int32)))
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists, part.column("places")], names=["doc_id", "th", "words", "places"])
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("th"), lists], names=["doc_id", "th", "words"])
 
-    # every round of alignment reads some of them by document
-    words = common.bucketed(texts.mapInArrow(run, "doc_id long, th int, words array<int>, places array<int>"), "words", "doc_id", "th")
+    # every round of alignment reads some of them by document; dealt by hand, so that a bucket is written by one task however the join is made
+    number = int(own.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    hashed = own.mapInArrow(run, "doc_id long, th int, words array<int>").repartition(number, "doc_id", "th")
+    words = common.bucketed(hashed.join(wanted, ["doc_id", "th"]), "words", "doc_id", "th")
     out = settled(by_seeds, words, identity, min_words)
     none = own.sparkSession.createDataFrame([], PASSAGE)
     out = none if out is None else out
