@@ -1,6 +1,7 @@
 """What the operators of this folder share: shared storage, slices of Arrow batches, word hashing.
 
-Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, everywhere in this folder.
+Words are `[^\\x20\\x09-\\x0D]+` of the text with A-Z lower-cased, except where runs of ASCII letters, digits and all other
+characters than ASCII are asked for (MARK stands between them).
 """
 
 from __future__ import annotations
@@ -77,6 +78,9 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 SPACE = np.zeros(256, bool)
 SPACE[[0x20, *range(0x09, 0x0E)]] = True
+#: ASCII bytes that are neither letters nor digits: what stands between words is one of these where only letters and digits count.
+MARK = np.zeros(256, bool)
+MARK[:128] = [not chr(b).isalnum() for b in range(128)]
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -95,9 +99,9 @@ def powers(n: int, base: int = BASE) -> np.ndarray:
     return np.cumprod(out, dtype=np.uint64)
 
 
-def word_spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Start and end of each word in bytes that end in white space."""
-    blank = SPACE[data]
+def word_spans(data: np.ndarray, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each word in bytes that end in one of those that stand between words (white space)."""
+    blank = between[data]
     edge = np.flatnonzero(blank[1:] != blank[:-1]) + 1
     if len(data) and not blank[0]:
         edge = np.append(0, edge)
@@ -127,11 +131,11 @@ def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, part: in
     return out
 
 
-def words_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+def words_of(column: pa.Array, between: np.ndarray = SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """(lower-cased bytes, word starts, word ends, word hashes, words in each text)."""
     data, begins = text_bytes(column)
     data = LOWER[data]
-    starts, ends = word_spans(data)
+    starts, ends = word_spans(data, between)
     hashes = span_hashes(data, starts, ends)
     counts = np.diff(np.searchsorted(starts, begins))
     return data, starts, ends, hashes, counts
@@ -169,6 +173,12 @@ def row_starts(counts: np.ndarray) -> np.ndarray:
     return out
 
 
+def spread(first: np.ndarray, many: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, ... as often as many[0] says, then the same from first[1] on, and so forth."""
+    at = row_starts(many)
+    return np.arange(at[-1]) + np.repeat(first - at[:-1], many)
+
+
 def binary(values: list[bytes] | np.ndarray) -> pa.Array:
     return pa.array(list(values), pa.binary())
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumensift.storage import texts
 
-from . import ann, bpe, langid, lm, mixing, neardup, quality, substring, topk, urls
+from . import ann, bpe, langid, lexical, lm, mixing, neardup, quality, substring, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -68,6 +68,11 @@ def op10_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.search(table(spark, sf_dir, "embeddings"))
 
 
+def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty best documents for each benchmark item."""
+    return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -79,10 +84,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_neardup": op8_neardup,
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
+    "op11_lexical": op11_lexical,
 }
 
 SQL: dict[str, str] = {
     "op6_mixing": mixing.SQL,
     "op8_neardup": neardup.SQL,
     "op10_topk": topk.SQL,
+    "op11_lexical": lexical.SQL,
 }
