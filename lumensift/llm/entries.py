@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from lumensift.storage import texts
 
-from . import ann, bpe, langid, lexical, lm, mixing, neardup, quality, substring, topk, urls
+from . import align, ann, bpe, decontam, langid, lexical, lm, mixing, neardup, quality, substring, topk, urls
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +73,19 @@ def op11_lexical(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.search(lexical.index(table(spark, sf_dir, "documents")), table(spark, sf_dir, "benchmark"))
 
 
+def op12_decontam(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside windows of benchmark items."""
+    return decontam.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op13_align(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tokens of every document by two tokenizers, tied to each other over the same bytes."""
+    import public_tokenizers
+
+    with open(public_tokenizers.path("byte_bpe_50k.json")) as a, open(public_tokenizers.path("piece_bpe_32k.model"), "rb") as b:
+        return align.align(table(spark, sf_dir, "documents"), a.read(), b.read(), public_tokenizers.PATTERN)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality": op1_quality,
     "op2_langid": op2_langid,
@@ -85,6 +98,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_urls": op9_urls,
     "op10_topk": op10_topk,
     "op11_lexical": op11_lexical,
+    "op12_decontam": op12_decontam,
+    "op13_align": op13_align,
 }
 
 SQL: dict[str, str] = {
@@ -92,4 +107,5 @@ SQL: dict[str, str] = {
     "op8_neardup": neardup.SQL,
     "op10_topk": topk.SQL,
     "op11_lexical": lexical.SQL,
+    "op12_decontam": decontam.SQL,
 }
