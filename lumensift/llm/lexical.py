@@ -231,7 +231,7 @@ def plan(names: pa.Array, terms: np.ndarray, dfs: np.ndarray, n_docs: int) -> tu
     weights = np.array([weight(n_docs, int(x)) for x in dfs[first]], np.int64)
     values = names.to_pylist()
     starts = [i for i in range(len(values)) if i == 0 or values[i] != values[i - 1]]
-    return names.take(pa.array(starts, pa.int64())), distinct, weights, [place[a:b] for a, b in zip(starts, [*starts[1:], len(names)], strict=True)]
+    return names.take(pa.array(starts, pa.int64())), distinct, weights, np.split(place, starts[1:]) if starts else []
 
 
 def found_in(blocks: DataFrame, plans, n_docs: int, n_terms: int, k: int, kind: str) -> DataFrame:
