@@ -84,5 +84,14 @@ SUGGESTIONS = [
 
 EXTENSIONS = [".pdf", ".docx", ".txt", ".html", ".htm", ".csv", ".md", ".markdown", ".json", ".xlsx", ".xls", ".sql", ".dump", ".png", ".jpg", ".jpeg", ".webp"]
 
-#: (label, extensions); anything else is DOC.
+#: Between the messages of an exported conversation.
+RULE = "----------------------"
+
+#: Cells of a table file that count as missing.
+MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
+
+#: Kinds of files whose name isn't their extension's.
+FILE_TYPES = [("markdown", [".md", ".markdown"]), ("db_dump", [".sql", ".dump"]), ("html", [".html", ".htm"]), ("xlsx", [".xlsx", ".xls"]), ("image_ocr", [".png", ".jpg", ".jpeg", ".webp"])]
+
+#: Fixed values too: (label, extensions); anything else is DOC.
 TYPE_LABELS = [("PDF", ["pdf"]), ("DOC", ["doc", "docx"]), ("WEB", ["html", "htm"]), ("TXT", ["txt", "md"]), ("DATA", ["csv", "xlsx", "xls"])]

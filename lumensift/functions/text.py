@@ -88,10 +88,12 @@ def rounded(x: Column) -> Column:
 
 
 def age(then: Column, now: Column) -> tuple[Column, Column]:
-    """(value, unit) of the time since then: minutes below 60, hours below 24, else days."""
-    minutes = rounded((F.unix_micros(now) - F.unix_micros(then)) / 60e6)
+    """(value, unit) of the time since then: minutes below 60, hours below 24, else days.
+
+    What is rounded is then - now, so a half goes towards the later time: 90 minutes ago is an hour ago."""
+    minutes = rounded((F.unix_micros(then) - F.unix_micros(now)) / 60e6)
     hours, days = rounded(minutes / 60), rounded(rounded(minutes / 60) / 24)
-    value = F.when(F.abs(minutes) < 60, minutes).when(F.abs(hours) < 24, hours).otherwise(days)
+    value = -F.when(F.abs(minutes) < 60, minutes).when(F.abs(hours) < 24, hours).otherwise(days)
     return value, F.when(F.abs(minutes) < 60, "minute").when(F.abs(hours) < 24, "hour").otherwise("day")
 
 

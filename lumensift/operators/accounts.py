@@ -23,12 +23,15 @@ def removable(role: Column, who: Column, me: Column) -> Column:
 
 
 def resolve_invites(requests: DataFrame, profiles: DataFrame, invites: DataFrame) -> DataFrame:
-    """requests (email, role) with action: rejected, already_super_admin, already_admin, promote, duplicate_pending or invite."""
+    """requests (email, role) with action: rejected, already_super_admin, already_admin, promote, duplicate_pending or invite.
+
+    Only admins are invited; the role is trimmed and lower-cased, and none or an empty one means admin."""
     r = requests.withColumn("email", T.email(F.coalesce("email", F.lit(""))))
+    asked = F.lower(T.strip(F.coalesce(F.nullif("role", F.lit("")), F.lit("admin"))))
     p = profiles.select(T.email(F.col("email")).alias("email"), F.col("role").alias("_role")).groupBy("email").agg(F.max("_role").alias("_role"))
     i = invites.filter("status = 'pending'").select(T.email(F.col("email")).alias("email"), F.lit(True).alias("_pending")).distinct()
     action = (
-        F.when((F.col("email") == "") | (F.coalesce("role", F.lit("admin")) != "admin"), "rejected").when(F.col("_role") == "super_admin", "already_super_admin")
+        F.when((F.col("email") == "") | (asked != "admin"), "rejected").when(F.col("_role") == "super_admin", "already_super_admin")
         .when(F.col("_role") == "admin", "already_admin").when(F.col("_role").isNotNull(), "promote").when(F.col("_pending"), "duplicate_pending").otherwise("invite")
     )
     return r.join(p, "email", "left").join(i, "email", "left").withColumn("action", action).drop("_role", "_pending")
@@ -64,6 +67,11 @@ def pending(invites: DataFrame) -> DataFrame:
     return invites.filter("status = 'pending'").orderBy(F.desc("created_at"), "id")
 
 
+def first_profiles(profiles: DataFrame, n: int = 6) -> DataFrame:
+    """The n profiles of the smallest ids."""
+    return profiles.orderBy("id").limit(n)
+
+
 def recent_activity(rows: DataFrame, n: int = 10) -> DataFrame:
     return rows.orderBy(F.desc("created_at"), "id").limit(n)
 

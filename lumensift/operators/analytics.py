@@ -71,9 +71,10 @@ def week(series: DataFrame) -> DataFrame:
 
 
 def categories(logs: DataFrame, rules: list[tuple[str, str]] = lexicons.CATEGORIES, use_saved: bool = True) -> DataFrame:
-    """(category, n), most frequent first."""
+    """(category, n), most frequent first; ties in order of first appearance among the newest rows first."""
     c = T.category(F.col("question"), rules, F.col("category") if use_saved else None)
-    return logs.groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "category")
+    order = F.struct(F.coalesce(-F.unix_micros("created_at"), F.lit(2**62)), "id")
+    return logs.groupBy(c.alias("category")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first").drop("_first")
 
 
 def shares(counts: DataFrame) -> DataFrame:
@@ -83,10 +84,8 @@ def shares(counts: DataFrame) -> DataFrame:
 
 
 def topics(logs: DataFrame, n: int = 6) -> DataFrame:
-    """The n most asked questions; ties in order of first appearance among the newest first."""
-    order = F.struct(F.coalesce(-F.unix_micros("created_at"), F.lit(2**62)), "id")
-    asked = F.trim("question")
-    return logs.filter(F.coalesce(asked, F.lit("")) != "").groupBy(asked.alias("topic")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("_first")).orderBy(F.desc("n"), "_first").limit(n).drop("_first")
+    """(topic, n): the n categories that are asked about most, a saved category before a recognised one; ties as in `categories`."""
+    return categories(logs).withColumnRenamed("category", "topic").limit(n)
 
 
 def unanswered(logs: DataFrame, n: int = 8) -> DataFrame:

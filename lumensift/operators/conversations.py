@@ -37,8 +37,8 @@ def history(messages: DataFrame) -> DataFrame:
 
 
 def paired_history(messages: DataFrame) -> DataFrame:
-    """The complete pairs only."""
-    return joined(pairs(messages), F.concat(F.lit("User: "), F.col("question"), F.lit("\nAssistant: "), F.col("answer")))
+    """The complete pairs only, each on new lines, the first one too."""
+    return joined(pairs(messages), F.concat(F.lit("\nUser: "), F.col("question"), F.lit("\nAssistant: "), F.col("answer")), "")
 
 
 def titles(messages: DataFrame, size: int = 40) -> DataFrame:
@@ -77,8 +77,8 @@ def first_files(sources: DataFrame, many: int = 3) -> DataFrame:
 
 
 def newest(versions: DataFrame) -> DataFrame:
-    """The newest version of each conversation (id, updated_at), newest first."""
-    order = Window.partitionBy("id").orderBy(F.desc("updated_at"))
+    """The newest version of each conversation (id, updated_at, ...), newest first. Of versions of one time, the first by their content as text."""
+    order = Window.partitionBy("id").orderBy(F.desc("updated_at"), F.to_json(F.struct(*versions.columns)))
     return versions.withColumn("_n", F.row_number().over(order)).filter("_n = 1").drop("_n").orderBy(F.desc("updated_at"), "id")
 
 
@@ -117,13 +117,21 @@ def stored(blobs: DataFrame) -> DataFrame:
     return c.select("user_id", "conv_id", "title", "updated_at", "turn", "m.*")
 
 
-def transcripts(messages: DataFrame, sources: DataFrame | None = None) -> DataFrame:
-    """(conv_id, text): messages as paragraphs; with sources (conv_id, turn, pos, file), a numbered list after each message."""
-    who = F.when(F.col("role") == "user", "User").otherwise("Assistant")
-    line = F.concat(who, F.lit(":\n"), F.coalesce("content", F.lit("")))
+def source_label(file: Column, page: Column) -> Column:
+    """`file (Page n)`; the file alone where the page is missing, 0 or `?`."""
+    name, page = F.coalesce(F.nullif(file, F.lit("")), F.lit("Unknown source")), page.cast("string")
+    return F.when(F.coalesce(page, F.lit("")).isin("", "0", "?"), name).otherwise(F.concat(name, F.lit(" (Page "), page, F.lit(")")))
+
+
+def transcripts(messages: DataFrame, sources: DataFrame | None = None, user: str = "You", assistant: str = "Assistant") -> DataFrame:
+    """(conv_id, text) of messages (conv_id, turn, role, content, time): `sender (time)`, the content, and with sources (conv_id, turn, pos, file,
+    page) a numbered list of them; a rule between messages. Who speaks is named as the caller likes."""
+    who = F.when(F.col("role") == "user", user).otherwise(assistant)
+    line = F.concat(who, F.lit(" ("), F.coalesce(F.col("time").cast("string"), F.lit("")), F.lit(")\n"), F.coalesce("content", F.lit("")))
     if sources is not None:
-        own = sources.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", "file"))).alias("_s"))
+        own = sources.select("conv_id", "turn", "pos", source_label(F.col("file"), F.col("page")).alias("label"))
+        own = own.groupBy("conv_id", "turn").agg(F.sort_array(F.collect_list(F.struct("pos", "label"))).alias("_s"))
         messages = messages.join(own, ["conv_id", "turn"], "left")
-        cited = F.array_join(F.transform("_s", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["file"])), "\n")
+        cited = F.array_join(F.transform("_s", lambda x, i: F.concat((i + 1).cast("string"), F.lit(". "), x["label"])), "\n")
         line = F.concat(line, F.coalesce(F.concat(F.lit("\nSources:\n"), cited), F.lit("")))
-    return joined(messages, line, "\n\n")
+    return joined(messages, line, f"\n\n{lexicons.RULE}\n\n")

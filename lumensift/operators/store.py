@@ -55,6 +55,11 @@ def files(store: DataFrame, only_active: bool = False) -> DataFrame:
     return rows.select(F.coalesce("filename", F.lit("unknown")).alias("filename")).distinct().orderBy("filename")
 
 
+def first_files(store: DataFrame, n: int = 4) -> DataFrame:
+    """The first n active files by name."""
+    return files(store, only_active=True).limit(n)
+
+
 def all_files(store: DataFrame, folder: DataFrame) -> DataFrame:
     return files(store).unionByName(folder.select("filename")).distinct().orderBy("filename")
 

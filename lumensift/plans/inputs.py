@@ -7,17 +7,20 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import DataStreamWriter
 
 from lumensift.functions import lexicons
-from lumensift.operators import accounts, conversations, store, understand
+from lumensift.operators import accounts, answering, chunking, conversations, retrieve, store, understand
+from lumensift.operators.snapshots import Snapshots
 from lumensift.sources import files as sources
 from lumensift.storage import shared_dir
 from lumensift.streaming import jobs
 
 from . import registry
 from .registry import NORMAL, _quoted, query
+from .views import view
 
 CLEAN = r"trim(regexp_replace(regexp_replace({}, '[ \t]+', ' ', 'g'), '\n{{3,}}', E'\n\n', 'g'), E' \n\t\r')"
 
@@ -39,7 +42,7 @@ def _(p):
 
 
 @query("s3_routing", f"""
-SELECT filename, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'sql' ELSE 'md' END AS file_type,
+SELECT filename, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'db_dump' ELSE 'markdown' END AS file_type,
   CASE WHEN doc_id % 5 IN (1, 3) OR doc_id % 5 = 4 AND doc_id % 2 = 0 THEN {CLEAN.format("text")} END AS text,
   CASE WHEN doc_id % 5 = 2 THEN 'unsupported' WHEN doc_id % 5 = 0 OR doc_id % 5 = 4 AND doc_id % 2 = 1 THEN 'unreadable' WHEN trim(text) = '' THEN 'no text' END AS error
 FROM (SELECT doc_id, coalesce(text, '') AS text, 'f' || doc_id || CASE doc_id % 5 WHEN 0 THEN '.pdf' WHEN 1 THEN '.txt' WHEN 2 THEN '.exe' WHEN 3 THEN '.sql' ELSE '.md' END AS filename FROM documents)""", "documents")
@@ -76,9 +79,10 @@ def _(p):
     return p.select("page_id", sources.html_page(F.col("html")).alias("text"))
 
 
-@query("s7_csv_text", "SELECT event_id, 'Row 1: type: ' || event_type || ' | id: ' || event_id || chr(10) || 'Row 3: type: a, \"b\" | note: ' || event_type AS text FROM events", "events")
+@query("s7_csv_text", "SELECT event_id, 'Row 1: type: ' || event_type || ' | id: ' || event_id || chr(10) || 'Row 3: type: a, \"b\" | note: ' || event_type || ' | note.1: x' AS text FROM events", "events")
 def _(e):
-    content = F.concat(F.lit("type,id,note\n"), "event_type", F.lit(","), F.col("event_id").cast("string"), F.lit(", \n,,\n\"a, \"\"b\"\"\",,"), "event_type", F.lit("\n"))
+    # a blank line, a row without cells, missing-value marks, and a column name that comes twice
+    content = F.concat(F.lit("type,id,note,note\n\n"), "event_type", F.lit(","), F.col("event_id").cast("string"), F.lit(", ,NA\n,,null,NaN\n\n\"a, \"\"b\"\"\",,"), "event_type", F.lit(",x\n"))
     return e.select("event_id", sources.csv_text(content).alias("text"))
 
 
@@ -133,12 +137,12 @@ def _(logs):
 
 @query("t4_first_profiles", "SELECT id, email FROM profiles_v ORDER BY id LIMIT 6", "profiles_v")
 def _(p):
-    return p.orderBy("id").limit(6).select("id", "email")
+    return accounts.first_profiles(p).select("id", "email")
 
 
 @query("t4_first_documents", "SELECT filename FROM files_v WHERE NOT deleted ORDER BY filename LIMIT 4", "files_v")
 def _(f):
-    return store.files(f, only_active=True).orderBy("filename").limit(4).select("filename")
+    return store.first_files(f)
 
 
 # --- fuzzy rules: held against plain Python by the tests ---
@@ -151,8 +155,9 @@ def _(m):
 
 @query("j3_small_talk_fuzzy", None, "messages_v")
 def _(m):
-    q = m.filter("role = 'user'").select("conv_id", "turn", F.lower(F.regexp_extract("content", r"[^.]*", 0)).alias("text"))
-    return understand.small_talk(q)
+    # whole messages, and each of their sentences
+    said = F.explode(F.array_union(F.array("content"), F.split("content", r"[.\n]+")))
+    return understand.small_talk(m.filter("role = 'user'").select("conv_id", "turn", said.alias("text")))
 
 
 @query("j4_expand_fuzzy", None, "messages_v")
@@ -202,12 +207,143 @@ def _streamed(name: str, table: str, sql: str):
 
 def _stream_logs(events: DataFrame) -> DataFrame:
     question = F.when(F.col("event_type") == "signup", "How do I apply?").when(F.col("event_type") == "error", "Is a hostel ROOM free?").otherwise("What does tuition cost?")
-    return events.select(F.col("event_id").alias("id"), question.alias("question"), F.when(F.col("event_id") % 7 > 0, F.lit("yes")).alias("answer"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("boolean").alias("is_answered"), F.col("ts").cast("timestamp").alias("created_at"))
+    return events.select(F.col("event_id").alias("id"), question.alias("question"), F.when(F.col("event_id") % 7 > 0, F.lit("yes")).alias("answer"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("boolean").alias("is_answered"), F.col("value").alias("response_time_ms"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
-@_streamed("r1_live_days", "events", "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count_if(event_id % 7 = 0) AS unanswered FROM events WHERE ts IS NOT NULL GROUP BY 1")
-def _(events):
-    return jobs.live_days(_stream_logs(events))
+def _several(rows: DataFrame, root: str, key: str, files: int = 6) -> str:
+    """rows as a folder of several files, for streams of more than one batch."""
+    rows.repartition(files, key).write.parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+def _arriving(spark: SparkSession, path: str, schema, at_once: int = 2) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
+
+
+def _run(writer: DataStreamWriter, state: str) -> None:
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def _again(spark: SparkSession, state: str) -> None:
+    """Takes the mark off the last batch of a stream that has ended, as if its process had died before it could set it: the batch comes again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)
+
+
+def stream_query(name: str, sql: str):
+    """Registers a function of (spark, sf_dir, root) that runs streams below root until nothing is left and gives their result."""
+
+    def add(f):
+        registry.QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        registry.SQL[name] = registry.with_views(sql)
+        return f
+
+    return add
+
+
+@stream_query("r1_live_days", "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count_if(event_id % 7 = 0) AS unanswered FROM events WHERE ts IS NOT NULL GROUP BY 1")
+def _(spark, sf_dir, root):
+    events = spark.read.parquet(f"{sf_dir}/events.parquet")
+    path, table = _several(events, root, "event_id"), Snapshots(spark, f"{root}/days", "day", 8)
+    # files are dealt by id, so each has rows of all days and none is later than the horizon
+    _run(jobs.keep(jobs.live_days(_stream_logs(_arriving(spark, path, events.schema)), "60 days"), table, "days"), f"{root}/state")
+    _again(spark, f"{root}/state")
+    _run(jobs.keep(jobs.live_days(_stream_logs(_arriving(spark, path, events.schema)), "60 days"), table, "days"), f"{root}/state")
+    return table.load().select("day", "queries", "unanswered")
+
+
+@stream_query("r1_live_figures", f"SELECT count(*) AS total, count_if({registry.ANSWERED}) AS answered, count_if(NOT {registry.ANSWERED}) AS unanswered, count(DISTINCT {registry.ACTOR}) AS active_users, CAST(coalesce(floor(avg(response_time_ms) + 0.5), 0) AS BIGINT) AS mean_response_ms FROM logs_v")
+def _(spark, sf_dir, root):
+    logs = view(spark, sf_dir, "logs_v")
+    path, table = _several(logs, root, "id"), Snapshots(spark, f"{root}/actors", "actor", 8)
+    for again in (False, True):
+        if again:
+            _again(spark, f"{root}/state")
+        _run(jobs.live_figures(_arriving(spark, path, logs.schema), table), f"{root}/state")
+    return jobs.figures(table.load())
+
+
+#: Of every five documents one comes again with more words, one without text, which leaves no chunk of it.
+INGESTED = r"""
+WITH d AS (SELECT 'doc_' || doc_id || '.txt' AS filename, CASE doc_id % 5 WHEN 0 THEN 'Second version. ' || coalesce(text, '') WHEN 1 THEN ' ' ELSE text END AS text FROM documents),
+w AS (SELECT filename, string_split_regex(trim(text), '\s+') AS w FROM d WHERE trim(coalesce(text, '')) <> ''),
+i AS (SELECT *, unnest(range(CASE WHEN len(w) <= 450 THEN 1 ELSE CAST(ceil((len(w) - 450) / 370.0) AS BIGINT) + 1 END)) AS i FROM w WHERE len(w) >= 8)
+SELECT 'official_' || filename || '_chunk_' || i AS chunk_id, filename, i AS chunk_index, array_to_string(w[i * 370 + 1 : i * 370 + 450], ' ') AS text FROM i WHERE len(w[i * 370 + 1 : i * 370 + 450]) >= 8"""
+
+
+@stream_query("r2_ingest", INGESTED)
+def _(spark, sf_dir, root):
+    d, i = view(spark, sf_dir, "documents"), F.col("doc_id")
+    as_files = lambda rows, text: rows.select(F.concat(F.lit("in/doc_"), i.cast("string"), F.lit(".txt")).alias("path"), F.encode(F.coalesce(text, F.lit(" ")), "UTF-8").alias("content"))
+    first = as_files(d, F.col("text"))
+    later = as_files(d.filter(i % 5 < 2), F.when(i % 5 == 0, F.concat(F.lit("Second version. "), F.coalesce("text", F.lit("")))).otherwise(" "))
+    table = Snapshots(spark, f"{root}/chunks")
+    for rows, part in ((first, "first"), (later, "later")):
+        _several(rows, f"{root}/{part}", "path", 4)
+        _run(jobs.ingest(_arriving(spark, f"{root}/*/in", first.schema), table), f"{root}/state")
+        _again(spark, f"{root}/state")  # the last batch of each part comes twice
+        _run(jobs.ingest(_arriving(spark, f"{root}/*/in", first.schema), table), f"{root}/state")
+    return table.load().select("chunk_id", "filename", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+
+
+def _asked_sql(questions: str, open_to: str) -> str:
+    """The question path in SQL: questions is a query of (query_id, said, retr, used_history, use_personal, user_id); open_to: whether chunk c is open to question q."""
+    norm = r"trim(regexp_replace(regexp_replace(lower(trim({})), '[^\p{{L}}\p{{N}}_\s]', '', 'g'), '\s+', ' ', 'g'))"
+    casual = " ".join(f"WHEN {norm.format('said')} = {_quoted(k)} THEN {_quoted(v)}" for k, v in lexicons.SMALL_TALK)
+    expand = " ".join(f"WHEN contains(n, {_quoted(k)}) THEN {_quoted(v)}" for k, v in lexicons.EXPANSIONS)
+    return rf"""
+WITH asks AS (SELECT *, CASE {casual} END AS reply, {norm.format("retr")} AS n FROM ({questions})),
+rest AS (SELECT *, CASE WHEN len(string_split(n, ' ')) > 7 THEN retr {expand} ELSE retr END AS search_text FROM asks WHERE reply IS NULL AND trim(said) <> ''),
+tok AS (SELECT 'q' AS kind, query_id AS id, unnest(regexp_extract_all(lower(search_text), '[\p{{L}}\p{{N}}_]+')) AS token FROM rest
+  UNION ALL SELECT 'c', chunk_id, unnest(regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+')) FROM chunks_v),
+buc AS (SELECT kind, id, CAST('0x' || substr(md5(token), 1, 8) AS BIGINT) % 1024 AS bucket, CAST(count(*) AS DOUBLE) AS n FROM tok GROUP BY ALL),
+wei AS (SELECT kind, id, bucket, n / sqrt(sum(n * n) OVER (PARTITION BY kind, id)) AS w FROM buc),
+hit AS (SELECT q.id AS query_id, c.id AS chunk_id, round(greatest(0.0, 1 - sum(q.w * c.w)), 9) AS distance FROM wei q JOIN wei c ON q.bucket = c.bucket WHERE q.kind = 'q' AND c.kind = 'c' GROUP BY ALL),
+own AS (SELECT hit.*, NOT c.deleted AND ({open_to}) AS fits FROM hit JOIN rest q ON hit.query_id = q.query_id JOIN chunks_v c ON hit.chunk_id = c.chunk_id),
+ran AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, chunk_id) AS rank, bool_or(NOT fits) OVER (PARTITION BY query_id) AS used_fallback
+  FROM (SELECT * FROM own QUALIFY fits OR NOT bool_or(fits) OVER (PARTITION BY query_id)) QUALIFY rank <= 5),
+par AS (SELECT r.query_id, r.rank, '[Source ' || r.rank || ' | File: ' || c.filename || ' | Page: ' || c.page || ']' || chr(10) || trim(c.text) AS part FROM ran r JOIN chunks_v c ON r.chunk_id = c.chunk_id
+  WHERE r.distance <= 0.75 AND len(string_split_regex(trim(c.text), '\s+')) >= 6),
+con AS (SELECT query_id, string_agg(part, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank) AS context, count(*) AS n_sources FROM (SELECT *, sum(length(part)) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM par) WHERE s <= 8000 GROUP BY 1),
+fnd AS (SELECT query_id, count(*) AS retrieved, bool_or(used_fallback) AS used_fallback FROM ran GROUP BY 1)
+SELECT a.query_id, CASE WHEN trim(a.said) = '' THEN 'empty' WHEN a.reply IS NOT NULL THEN 'casual' WHEN retrieved IS NULL THEN 'no_chunks' WHEN context IS NULL THEN 'nothing_passed' ELSE 'ask_model' END AS route,
+  a.reply, a.retr AS retrieval_query, r.search_text, retrieved, used_fallback, context, coalesce(n_sources, 0) AS n_sources
+FROM asks a LEFT JOIN rest r ON a.query_id = r.query_id LEFT JOIN fnd ON a.query_id = fnd.query_id LEFT JOIN con ON a.query_id = con.query_id"""
+
+
+def _shown(routes: DataFrame) -> DataFrame:
+    return routes.select("query_id", "route", "reply", "retrieval_query", "search_text", "retrieved", "used_fallback", "context", F.coalesce(F.size("sources"), F.lit(0)).cast("long").alias("n_sources"))
+
+
+#: Messages of a user who asks for their own files, for every fifth conversation; short forms of what is asked for others, so that all stages have work.
+SAID = "CASE WHEN conv_id % 7 = 3 AND turn < 2 THEN ' Thanks! ' WHEN conv_id % 7 = 4 AND turn >= 2 THEN 'Tell me more' WHEN conv_id % 7 = 5 THEN 'hostel?' WHEN conv_id % 11 = 6 THEN ' ' WHEN conv_id % 13 = 7 THEN 'qqqq' ELSE content END"
+
+
+@query("w3_question_path", _asked_sql(
+    f"""SELECT conv_id || '-' || turn AS query_id, text AS said, CASE WHEN f AND p IS NOT NULL THEN p ELSE text END AS retr, conv_id % 5 = 4 AS use_personal, 'u' || (conv_id % 9) AS user_id
+    FROM (SELECT *, last_value(CASE WHEN NOT f AND text <> '' THEN text END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS p
+      FROM (SELECT conv_id, turn, trim(content) AS text, {registry.FOLLOW} AS f FROM (SELECT *, {NORMAL} AS n FROM (SELECT conv_id, turn, role, {SAID} AS content FROM messages_v) WHERE role = 'user')))""",
+    "CASE WHEN q.use_personal THEN c.scope = 'personal' AND c.user_id = q.user_id ELSE c.scope = 'official' END"), "files_v", "messages_v")
+def _(f, m):
+    m = m.withColumn("content", F.expr(SAID)).withColumns({"use_personal": F.col("conv_id") % 5 == 4, "user_id": F.concat(F.lit("u"), (F.col("conv_id") % 9).cast("string"))})
+    c = chunking.chunks(f).select("chunk_id", "filename", "page", "text", "scope", "user_id", "deleted", *retrieve.FACETS)
+    return _shown(answering.routed(answering.of_conversations(m), c))
+
+
+@stream_query("r3_answers", _asked_sql("SELECT CAST(item_id AS VARCHAR) AS query_id, trim(text) AS said, trim(text) AS retr, false AS use_personal, '' AS user_id FROM benchmark", "c.scope = 'official'"))
+def _(spark, sf_dir, root):
+    questions = view(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("query_id"), "text")
+    table = Snapshots(spark, f"{root}/chunks")
+    own = chunking.chunks(view(spark, sf_dir, "files_v").filter("not deleted"))
+    table.commit("load", 0, own, lambda old: own)
+    path = _several(questions, root, "query_id", 3)
+    for again in (False, True):
+        if again:
+            _again(spark, f"{root}/state")
+        _run(jobs.answer(_arriving(spark, path, questions.schema, 1), table.load, f"{root}/out"), f"{root}/state")
+    return _shown(jobs.answered(spark, f"{root}/out"))
 
 
 @_streamed("r1_live_categories", "events", "SELECT CASE event_type WHEN 'signup' THEN 'Admissions' WHEN 'error' THEN 'Hostel' ELSE 'Fees' END AS category, count(*) AS n FROM events GROUP BY 1")

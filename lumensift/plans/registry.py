@@ -48,9 +48,9 @@ def _(d):
     return d.select("doc_id", T.clean_loaded(F.col("text")).alias("text"))
 
 
-@query("p3_chunks", "SELECT chunk_id, filename, page, chunk_index, scope, user_id, department, document_type, year, deleted, text FROM chunks_v", "files_v")
+@query("p3_chunks", "SELECT chunk_id, filename, page, chunk_index, scope, user_id, session_id, uploaded_by, department, document_type, year, deleted, text FROM chunks_v", "files_v")
 def _(f):
-    return chunking.chunks(f).select("chunk_id", "filename", "page", F.col("chunk_index").cast("long"), "scope", "user_id", "department", "document_type", "year", "deleted", "text")
+    return chunking.chunks(f).select("chunk_id", "filename", "page", F.col("chunk_index").cast("long"), "scope", "user_id", "session_id", "uploaded_by", "department", "document_type", "year", "deleted", "text")
 
 
 @query("p5_safe_id", r"SELECT doc_id, regexp_replace(replace(text, ' ', '_'), '[^A-Za-z0-9_.-]', '_', 'g') AS safe FROM documents WHERE text <> ''", "documents")
@@ -81,9 +81,10 @@ def _(m):
     return m.select("conv_id", "turn", T.normal_ascii(F.col("content")).alias("text"))
 
 
-@query("p14_context_part", "SELECT chunk_id, '[Source 1 | File: ' || filename || ' | Page: ' || page || ']' || chr(10) || text AS part FROM chunks_v WHERE len(string_split_regex(text, '\\s+')) >= 6 AND length(text) + length(filename) + 40 <= 8000", "files_v")
+@query("p14_context_part", "SELECT * FROM (SELECT chunk_id, '[Source 1 | File: ' || CASE WHEN chunk_index % 2 = 0 THEN filename ELSE 'Unknown document' END || ' | Page: ' || CASE WHEN chunk_index % 3 > 0 THEN '?' ELSE CAST(page AS VARCHAR) END || ']' || chr(10) || text AS part FROM chunks_v WHERE len(string_split_regex(text, '\\s+')) >= 6) WHERE length(part) <= 8000", "files_v")
 def _(f):
-    c = chunking.chunks(f).filter(F.length("text") + F.length("filename") + 40 <= 8000)
+    i = F.col("chunk_index")
+    c = chunking.chunks(f).withColumn("filename", F.when(i % 2 == 0, F.col("filename"))).withColumn("page", F.when(i % 3 == 0, F.col("page")))
     return retrieve.packed(c.withColumns({"query_id": F.col("chunk_id"), "rank": F.lit(1), "distance": F.lit(0.0)})).select("chunk_id", "part")
 
 
@@ -98,9 +99,9 @@ def _(p):
 
 
 @query("p18_age", f"""
-WITH m AS (SELECT id, CAST(floor((epoch_us(TIMESTAMP '{NOW}') - epoch_us(created_at)) / 60e6 + 0.5) AS BIGINT) AS m FROM logs_v),
+WITH m AS (SELECT id, CAST(floor((epoch_us(created_at) - epoch_us(TIMESTAMP '{NOW}')) / 60e6 + 0.5) AS BIGINT) AS m FROM logs_v),
 h AS (SELECT *, CAST(floor(m / 60.0 + 0.5) AS BIGINT) AS h FROM m), d AS (SELECT *, CAST(floor(h / 24.0 + 0.5) AS BIGINT) AS d FROM h)
-SELECT id, CASE WHEN abs(m) < 60 THEN m WHEN abs(h) < 24 THEN h ELSE d END AS age, CASE WHEN abs(m) < 60 THEN 'minute' WHEN abs(h) < 24 THEN 'hour' ELSE 'day' END AS unit FROM d""", "logs_v")
+SELECT id, -CASE WHEN abs(m) < 60 THEN m WHEN abs(h) < 24 THEN h ELSE d END AS age, CASE WHEN abs(m) < 60 THEN 'minute' WHEN abs(h) < 24 THEN 'hour' ELSE 'day' END AS unit FROM d""", "logs_v")
 def _(logs):
     value, unit = T.age(F.col("created_at"), F.lit(NOW).cast("timestamp"))
     return logs.select("id", value.cast("long").alias("age"), unit.alias("unit"))
@@ -256,7 +257,7 @@ ran AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, ch
 
 
 def _search(f: DataFrame, b: DataFrame) -> tuple[DataFrame, DataFrame]:
-    c = chunking.chunks(f).select("chunk_id", "filename", "page", "text")
+    c = chunking.chunks(f).select("chunk_id", "filename", "page", "text", "scope", *retrieve.FACETS)
     return c, retrieve.sparse_nearest(b.select(F.col("item_id").alias("query_id"), "text"), c)
 
 
@@ -340,7 +341,7 @@ def _(m):
     return conversations.history(m)
 
 
-@query("a13_paired_history", "SELECT conv_id, string_agg('User: ' || content || chr(10) || 'Assistant: ' || a, chr(10) ORDER BY turn) AS text FROM (SELECT *, lead(role) OVER w AS r, lead(content) OVER w AS a FROM messages_v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant' GROUP BY 1", "messages_v")
+@query("a13_paired_history", "SELECT conv_id, string_agg(chr(10) || 'User: ' || content || chr(10) || 'Assistant: ' || a, '' ORDER BY turn) AS text FROM (SELECT *, lead(role) OVER w AS r, lead(content) OVER w AS a FROM messages_v WINDOW w AS (PARTITION BY conv_id ORDER BY turn)) WHERE role = 'user' AND r = 'assistant' GROUP BY 1", "messages_v")
 def _(m):
     return conversations.paired_history(m)
 
@@ -366,9 +367,10 @@ def _(q, c):
     return conversations.first_files(near.select(F.col("query_id").alias("answer_id"), F.col("vec_id").alias("pos"), F.col("filename").alias("file"))).select(F.col("answer_id").alias("query_id"), F.col("file").alias("filename"), "place")
 
 
-@query("w6_newest_versions", "SELECT conversation_id AS id, max(created_at) AS updated_at FROM logs_v WHERE created_at IS NOT NULL GROUP BY 1", "logs_v")
+@query("w6_newest_versions", "SELECT conversation_id AS id, CAST(created_at AS DATE) AS updated_at, min(question) AS question FROM logs_v WHERE created_at IS NOT NULL GROUP BY 1, 2 QUALIFY row_number() OVER (PARTITION BY conversation_id ORDER BY CAST(created_at AS DATE) DESC) = 1", "logs_v")
 def _(logs):
-    return conversations.newest(logs.filter("created_at is not null").select(F.col("conversation_id").alias("id"), F.col("created_at").alias("updated_at")))
+    # versions of one day are ties
+    return conversations.newest(logs.filter("created_at is not null").select(F.col("conversation_id").alias("id"), F.to_date("created_at").alias("updated_at"), "question"))
 
 
 @query("w7_edit", "SELECT conv_id, turn, role, content FROM messages_v WHERE turn < 2 OR conv_id % 2 = 1 UNION ALL SELECT DISTINCT conv_id, CAST(2 AS BIGINT), 'user', 'edited' FROM messages_v WHERE conv_id % 2 = 0", "messages_v")
@@ -387,9 +389,15 @@ def _(logs):
     return conversations.without_conversation(logs, gone).select("id")
 
 
-@query("s15_transcripts", "SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'User' ELSE 'Assistant' END || ':' || chr(10) || content, chr(10) || chr(10) ORDER BY turn) AS text FROM messages_v GROUP BY 1", "messages_v")
+@query("s15_transcripts", """
+SELECT conv_id, string_agg(CASE WHEN role = 'user' THEN 'You' ELSE 'Bot' END || ' (10:' || turn || ')' || chr(10) || content || CASE WHEN role <> 'user' AND conv_id % 3 = 0
+  THEN chr(10) || 'Sources:' || chr(10) || '1. f' || turn || '.pdf (Page 2)' || chr(10) || '2. Unknown source (Page 7)' || chr(10) || '3. g.txt' ELSE '' END, chr(10) || chr(10) || '----------------------' || chr(10) || chr(10) ORDER BY turn) AS text
+FROM messages_v GROUP BY 1""", "messages_v")
 def _(m):
-    return conversations.transcripts(m)
+    m = m.withColumn("time", F.concat(F.lit("10:"), F.col("turn").cast("string")))
+    cited = F.array(*[F.struct(F.lit(i).alias("pos"), file.alias("file"), F.lit(page).alias("page")) for i, file, page in ((2, F.lit("g.txt"), "?"), (0, F.concat(F.lit("f"), F.col("turn").cast("string"), F.lit(".pdf")), "2"), (1, F.lit(None).cast("string"), "7"))])
+    sources_ = m.filter("role <> 'user' and conv_id % 3 = 0").select("conv_id", "turn", F.inline(cited))
+    return conversations.transcripts(m, sources_, assistant="Bot")
 
 
 # --- analytics ---
@@ -450,7 +458,7 @@ def _(logs):
     return analytics.newest(logs, 500).select("id", "created_at")
 
 
-@query("t2_topics", "SELECT trim(question) AS topic, count(*) AS n FROM logs_v GROUP BY 1 ORDER BY n DESC, 1 LIMIT 6", "logs_v")
+@query("t2_topics", f"SELECT topic, n FROM (SELECT CASE WHEN trim(coalesce(category, '')) <> '' THEN category {CASES} ELSE 'Others' END AS topic, count(*) AS n, min((coalesce(-epoch_us(created_at), 4611686018427387904), id)) AS f FROM logs_v GROUP BY 1) ORDER BY n DESC, f LIMIT 6", "logs_v")
 def _(logs):
     return analytics.topics(logs)
 
@@ -484,9 +492,13 @@ def _(p):
     return p.select("id", accounts.is_admin(F.col("role")).alias("is_admin"), accounts.removable(F.col("role"), F.col("id"), F.lit(10)).alias("removable"))
 
 
-@query("j9_invites", "SELECT email, CASE WHEN role = 'super_admin' THEN 'already_super_admin' WHEN role = 'admin' THEN 'already_admin' ELSE 'promote' END AS action FROM profiles_v UNION ALL SELECT 'new_' || email, CASE WHEN id % 3 = 0 THEN 'duplicate_pending' ELSE 'invite' END FROM profiles_v", "profiles_v")
+@query("j9_invites", """
+SELECT email, CASE WHEN id % 4 = 3 THEN 'rejected' WHEN role = 'super_admin' THEN 'already_super_admin' WHEN role = 'admin' THEN 'already_admin' ELSE 'promote' END AS action FROM profiles_v
+UNION ALL SELECT 'new_' || email, CASE WHEN id % 5 = 4 THEN 'rejected' WHEN id % 3 = 0 THEN 'duplicate_pending' ELSE 'invite' END FROM profiles_v""", "profiles_v")
 def _(p):
-    asked = p.select("email", F.lit("admin").alias("role")).unionByName(p.select(F.concat(F.lit(" New_"), "email").alias("email"), F.lit("admin").alias("role")))
+    i = F.col("id")
+    role = F.when(i % 4 == 0, "admin").when(i % 4 == 1, " Admin ").when(i % 4 == 2, "").otherwise("super_admin")
+    asked = p.select("email", role.alias("role")).unionByName(p.select(F.concat(F.lit(" New_"), "email").alias("email"), F.when(i % 5 == 4, " ").alias("role")))
     invites = p.filter("id % 3 = 0").select(F.concat(F.lit("NEW_"), "email").alias("email"), F.lit("pending").alias("status"))
     return accounts.resolve_invites(asked, p, invites).select("email", "action")
 
@@ -601,11 +613,16 @@ def _(d):
     return sources.last_of_name(named)
 
 
-@query("a14_source_list", "SELECT query_id, count(*) AS n FROM (SELECT vec_id % 7 AS query_id FROM embeddings) GROUP BY 1", "embeddings")
-def _(e):
-    # a question for every five ids of a remainder, so that no context grows with the table
-    parts = e.select(F.struct((F.col("vec_id") % 7).alias("of"), F.floor(F.col("vec_id") / 35).alias("block")).alias("query_id"), F.col("vec_id").alias("rank"), F.lit("p").alias("part"), F.lit("f").alias("filename"), F.lit(1).alias("page"), F.lit(0.1).alias("distance"))
-    return retrieve.contexts(parts).groupBy(F.col("query_id.of").alias("query_id")).agg(F.sum(F.size("sources")).alias("n"))
+@query("a14_source_list", f"""
+WITH {SPARSE},
+par AS (SELECT r.query_id, r.rank, r.distance, c.*, '[Source ' || r.rank || ' | File: ' || c.filename || ' | Page: ' || c.page || ']' || chr(10) || trim(c.text) AS part FROM ran r JOIN chunks_v c ON r.chunk_id = c.chunk_id
+  WHERE r.distance <= 0.75 AND len(string_split_regex(trim(c.text), '\\s+')) >= 6),
+run AS (SELECT *, sum(length(part)) OVER (PARTITION BY query_id ORDER BY rank) AS s FROM par)
+SELECT query_id, CAST(rank AS INTEGER) AS id, filename AS file, CAST(page AS VARCHAR) AS page, trim(text) AS text, round(distance, 6) + 0.0 AS distance, scope, department, year, document_type FROM run WHERE s <= 8000""", "files_v", "benchmark")
+def _(f, b):
+    c, hits = _search(f, b)
+    cited = retrieve.contexts(retrieve.packed(hits.join(c, "chunk_id"))).select("query_id", F.inline("sources"))
+    return cited.withColumn("distance", F.round("distance", 6) + 0.0)
 
 
 from . import inputs  # noqa: E402, F401  (registers its queries)

@@ -12,7 +12,7 @@ VIEWS = {
     "files_v": """
 SELECT doc_id, 'doc_' || CAST(doc_id AS VARCHAR(20)) || CASE WHEN doc_id % 4 = 0 THEN '.pdf' WHEN doc_id % 4 = 1 THEN '.txt' WHEN doc_id % 4 = 2 THEN '.html' ELSE '.csv' END AS filename,
   1 AS page, 1 AS total_pages, text, CASE WHEN doc_id % 10 = 9 THEN 'personal' ELSE 'official' END AS scope,
-  CASE WHEN doc_id % 10 = 9 THEN 'u' || CAST(doc_id % 7 AS VARCHAR(20)) ELSE 'admin' END AS user_id,
+  CASE WHEN doc_id % 20 = 9 THEN 'u' || CAST(doc_id % 7 AS VARCHAR(20)) WHEN doc_id % 40 = 19 THEN '' END AS user_id, CASE WHEN doc_id % 30 = 9 THEN 's' || CAST(doc_id % 5 AS VARCHAR(20)) END AS session_id,
   CASE WHEN doc_id % 3 = 0 THEN 'general' ELSE source END AS department, lang AS document_type, CAST(2020 + doc_id % 5 AS VARCHAR(20)) AS year, doc_id % 6 = 5 AS deleted
 FROM {documents}""",
     "vec_chunks_v": """
@@ -45,15 +45,16 @@ BASE = ("documents", "embeddings", "conversations", "events", "customer", "part"
 
 #: Chunks of files_v, as SQL.
 CTES = {
-    "words_v": r"SELECT *, string_split_regex(trim(text), '\s+') AS w FROM files_v WHERE trim(coalesce(text, '')) <> ''",
+    "owned_v": "SELECT * REPLACE (coalesce(nullif(user_id, ''), CASE scope WHEN 'personal' THEN 'personal' ELSE 'admin' END) AS user_id, coalesce(nullif(session_id, ''), CASE scope WHEN 'personal' THEN 'personal' ELSE 'admin' END) AS session_id), CASE scope WHEN 'personal' THEN 'user' ELSE 'admin' END AS uploaded_by FROM files_v",
+    "words_v": r"SELECT *, string_split_regex(trim(text), '\s+') AS w FROM owned_v WHERE trim(coalesce(text, '')) <> ''",
     "chunks_v": """
-SELECT filename, page, scope, user_id, department, document_type, year, deleted, i AS chunk_index,
-  CASE WHEN scope = 'personal' THEN 'personal_' || user_id || '_default_' || filename || '_chunk_' || i ELSE 'official_' || filename || '_chunk_' || i END AS chunk_id,
+SELECT filename, page, scope, user_id, session_id, uploaded_by, department, document_type, year, deleted, i AS chunk_index,
+  CASE WHEN scope = 'personal' THEN 'personal_' || user_id || '_' || session_id || '_' || filename || '_chunk_' || i ELSE 'official_' || filename || '_chunk_' || i END AS chunk_id,
   array_to_string(w[i * 370 + 1 : i * 370 + 450], ' ') AS text
 FROM (SELECT *, unnest(range(CASE WHEN len(w) <= 450 THEN 1 ELSE CAST(ceil((len(w) - 450) / 370.0) AS BIGINT) + 1 END)) AS i FROM words_v WHERE len(w) >= 8)
 WHERE len(w[i * 370 + 1 : i * 370 + 450]) >= 8""",
 }
-NEEDS = {"words_v": ["files_v"], "chunks_v": ["files_v", "words_v"]}
+NEEDS = {"words_v": ["files_v", "owned_v"], "chunks_v": ["files_v", "owned_v", "words_v"]}
 
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import collections
 import csv
 import html
 import io
@@ -31,6 +32,14 @@ def typed(files: DataFrame) -> DataFrame:
     return files.withColumn("filename", name).withColumn("file_type", ext).withColumn("supported", ext.isin(lexicons.EXTENSIONS))
 
 
+def kind_of(extension: Column) -> Column:
+    """The file type of an extension with its dot: lexicons.FILE_TYPES, else the extension itself."""
+    out = F.regexp_replace(extension, r"^\.", "")
+    for name, extensions in lexicons.FILE_TYPES:
+        out = F.when(extension.isin(extensions), name).otherwise(out)
+    return out
+
+
 def last_of_name(files: DataFrame) -> DataFrame:
     """One file of each name: the last by path."""
     order = Window.partitionBy("filename").orderBy(F.desc("path"))
@@ -72,19 +81,24 @@ def _cleaned(text: Column) -> Column:
 @F.pandas_udf(StringType())
 def _csv_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
     csv.field_size_limit(2**31 - 1)  # a text is no longer than that
+    missing = set(lexicons.MISSING)
     for batch in batches:
         out = []
         for text in batch:
             try:
-                head, *rows = (None,) if text is None else list(csv.reader(io.StringIO(text))) or [[]]
+                head, *rows = (None,) if text is None else [r for r in csv.reader(io.StringIO(text)) if r] or [[]]
             except csv.Error:
                 head, rows = None, []
             if head is None:
                 out.append(None)
                 continue
-            lines = []
+            lines, seen = [], collections.Counter()
+            for i, name in enumerate(head):
+                name = name or f"Unnamed: {i}"
+                head[i] = f"{name}.{seen[name]}" if seen[name] else name
+                seen[name] += 1
             for i, row in enumerate(rows):
-                parts = [f"{h}: {v}" for h, v in zip(head, row, strict=False) if v.strip()]
+                parts = [f"{h}: {v}" for h, v in zip(head, row, strict=False) if v not in missing and v.strip()]
                 if parts:
                     lines.append(f"Row {i + 1}: " + " | ".join(parts))
             out.append("\n".join(lines))
@@ -104,7 +118,8 @@ def html_page(text: Column) -> Column:
 
 
 def csv_text(text: Column) -> Column:
-    """A file's rows as `Row i: column: value | ...`; each file has its own header. Values stay as written."""
+    """A file's rows as `Row i: column: value | ...`; each file has its own header. Values stay as written, those of lexicons.MISSING and blank
+    ones are left out. Blank lines are no rows. Columns without a name are `Unnamed: n`, those of a name again `name.1` and so on."""
     return _cleaned(_csv_rows(text))
 
 
@@ -135,7 +150,7 @@ def extracted(pages: DataFrame) -> DataFrame:
     """Extracted pages (filename, page, text, tables) as page rows; empty pages are dropped but count in total_pages."""
     total = Window.partitionBy("filename")
     p = pages.withColumn("total_pages", F.max("page").over(total).cast("int")).withColumn("text", page_text(F.col("text"), F.col("tables")))
-    return p.filter("text <> ''").select("filename", "page", "total_pages", F.regexp_replace(T.extension(F.col("filename")), r"^\.", "").alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("string").alias("error"))
+    return p.filter("text <> ''").select("filename", "page", "total_pages", kind_of(T.extension(F.col("filename"))).alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("string").alias("error"))
 
 
 def pages_text(files: DataFrame) -> DataFrame:
@@ -155,7 +170,7 @@ def pages_text(files: DataFrame) -> DataFrame:
     trees = f.filter(ext == ".json").withColumn("text", json_text(F.col("_t")))
     rows = plain.unionByName(marked).unionByName(tables).unionByName(trees)
     error = F.when(~F.col("supported"), "unsupported").when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", "no text")
-    return rows.select("filename", F.lit(1).alias("page"), F.lit(1).alias("total_pages"), F.regexp_replace("file_type", r"^\.", "").alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.col("path").alias("source"), "text", error.alias("error"))
+    return rows.select("filename", F.lit(1).alias("page"), F.lit(1).alias("total_pages"), kind_of(F.col("file_type")).alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.col("path").alias("source"), "text", error.alias("error"))
 
 
 def write_transcripts(texts: DataFrame, path: str) -> None:

@@ -141,7 +141,7 @@ LEAKS = [
 ]
 
 
-@pytest.mark.parametrize("bits, rows", [(decontam.BITS, decontam.ROWS), (6, 3)])
+@pytest.mark.parametrize("bits, rows", [(decontam.BITS, decontam.ROWS), (6, 700)])
 def test_decontam(spark, docs, items, clash, monkeypatch, bits, rows):  # noqa: F811
     monkeypatch.setattr(decontam, "ROWS", rows)
     monkeypatch.setattr(decontam.bits_of, "__defaults__", (bits,))

@@ -161,9 +161,38 @@ def test_stored_chats(spark):
 
 
 def test_transcripts_with_sources(spark):
-    m = spark.createDataFrame([(1, 0, "user", "q"), (1, 1, "assistant", "a")], "conv_id int, turn int, role string, content string")
-    s = spark.createDataFrame([(1, 1, 1, "g"), (1, 1, 0, "f")], "conv_id int, turn int, pos int, file string")
-    assert conversations.transcripts(m, s).first()["text"] == "User:\nq\n\nAssistant:\na\nSources:\n1. f\n2. g"
+    m = spark.createDataFrame([(1, 0, "user", "q", "10:01"), (1, 1, "assistant", "a", "10:02")], "conv_id int, turn int, role string, content string, time string")
+    s = spark.createDataFrame([(1, 1, 1, "g", "?"), (1, 1, 0, "f", "3"), (1, 1, 2, None, None)], "conv_id int, turn int, pos int, file string, page string")
+    rule = "\n\n----------------------\n\n"
+    assert conversations.transcripts(m, s, assistant="Helper").first()["text"] == f"You (10:01)\nq{rule}Helper (10:02)\na\nSources:\n1. f (Page 3)\n2. g\n3. Unknown source"
+
+
+def test_paired_history_begins_with_a_new_line(spark):
+    rows = [(1, 0, "user", "q"), (1, 1, "assistant", "a"), (1, 2, "user", "lost"), (1, 3, "user", "r"), (1, 4, "assistant", "b")]
+    m = spark.createDataFrame(rows, "conv_id int, turn int, role string, content string")
+    assert conversations.paired_history(m).first()["text"] == "\nUser: q\nAssistant: a\nUser: r\nAssistant: b"
+
+
+def test_newest_version_of_a_tie(spark):
+    v = spark.createDataFrame([(1, 5, "b"), (1, 5, "a"), (1, 4, "0"), (2, 9, "c")], "id int, updated_at int, title string")
+    assert [tuple(r) for r in conversations.newest(v).collect()] == [(2, 9, "c"), (1, 5, "a")]
+
+
+def test_topics_are_categories(spark):
+    at = dt.datetime(2024, 1, 24)
+    asked = ["What is the fee?", "And tuition?", "Which course?", None, "Sports?"]
+    rows = [(i, "u", None, q, "a", None, "Games" if q == "Sports?" else " ", None, 1.0, at + dt.timedelta(hours=i)) for i, q in enumerate(asked)]
+    logs = spark.createDataFrame(rows, analytics.LOG)
+    want = [("Fees", 2), ("Games", 1), ("Others", 1), ("Courses", 1)]  # ties: the newest row first
+    assert [tuple(r) for r in analytics.topics(logs).collect()] == want == [tuple(r) for r in analytics.categories(logs).collect()]
+    assert analytics.topics(logs, 2).count() == 2
+
+
+def test_sources_of_contexts(spark):
+    c = spark.createDataFrame([("a", None, None, "one two three four five six", 0.1, 1, None, "law")], "query_id string, filename string, page int, text string, distance double, rank int, scope string, department string")
+    row = retrieve.contexts(retrieve.packed(c)).first()
+    assert row.context == "[Source 1 | File: Unknown document | Page: ?]\none two three four five six"
+    assert row.sources[0].asDict() == {"id": 1, "file": "Unknown document", "page": "?", "text": "one two three four five six", "distance": 0.1, "scope": "unknown", "department": "law", "year": "general", "document_type": "general"}
 
 
 def test_figures_on_few_rows(spark):
@@ -180,7 +209,7 @@ def test_figures_on_few_rows(spark):
 def test_invites(spark):
     p = spark.createDataFrame([("a@x", "admin"), ("s@x", "super_admin"), ("t@x", "student")], "email string, role string")
     i = spark.createDataFrame([("p@x", "pending"), ("q@x", "cancelled")], "email string, status string")
-    asked = [("A@X ", "admin", "already_admin"), ("s@x", "admin", "already_super_admin"), ("t@x", None, "promote"), ("p@x", "admin", "duplicate_pending"), ("q@x", "admin", "invite"), (" ", "admin", "rejected"), ("z@x", "student", "rejected")]
+    asked = [("A@X ", "admin", "already_admin"), ("s@x", "admin", "already_super_admin"), ("t@x", None, "promote"), ("p@x", "admin", "duplicate_pending"), ("q@x", "admin", "invite"), (" ", "admin", "rejected"), ("z@x", "student", "rejected"), ("y@x", " Admin ", "invite"), ("x@x", "", "invite"), ("w@x", " ", "rejected")]
     got = accounts.resolve_invites(spark.createDataFrame([(n, e, r) for n, (e, r, _) in enumerate(asked)], "n int, email string, role string"), p, i)
     assert column(got, "action", "n") == [a for *_, a in asked]
     assert accounts.activity(got, F.lit("me"), F.current_timestamp()).count() == 2

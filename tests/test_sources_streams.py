@@ -19,6 +19,7 @@ def test_folder(spark, tmp_path):
     assert ("/a.TXT", "one\ntwo", None) in got
     assert ("/b.md", None, "unreadable") in got
     assert ("/c.csv", "Row 1: x: 1\nRow 3: x: 2 | y: z", None) in got
+    assert {r.filename: r.file_type for r in files.pages_text(found).collect()} == {"a.TXT": "txt", "b.md": "markdown", "c.csv": "csv", "d.json": "json", "e.json": "json", "f.html": "html", "g.exe": "exe", "h.sql": "db_dump", "i.pdf": "pdf"}
     assert ("/d.json", json.dumps({"k": 1}, indent=2).replace("  ", " "), None) in got
     assert ("/e.json", None, "unreadable") in got
     assert ("/f.html", "hi", None) in got
@@ -28,6 +29,12 @@ def test_folder(spark, tmp_path):
     assert files.last_of_name(found).filter("filename = 'a.TXT'").first()["path"].endswith("sub/a.TXT")
 
 
+def test_rows_of_csv(spark):
+    rows = [("a,b\n1,2\n\n3,NA\n",), ("a,,a\nnull,x,y\n",), ("\n\nh\n \nv\n",), ("",)]
+    got = spark.createDataFrame(rows, "t string").select(files.csv_text(F.col("t")).alias("t"))
+    assert [r.t for r in got.collect()] == ["Row 1: a: 1 | b: 2\nRow 2: a: 3", "Row 1: Unnamed: 1: x | a.1: y", "Row 2: h: v", ""]
+
+
 def test_tables_and_pages(spark):
     rows = [("f.pdf", 1, "prose", [[["h", ""], ["1", "2"], ["x"], [None, " "]]]), ("f.pdf", 2, " ", None), ("f.pdf", 3, "end", [])]
     df = spark.createDataFrame(rows, "filename string, page int, text string, tables array<array<array<string>>>")

@@ -71,6 +71,13 @@ def test_chunk_numbers_run_over_pages(spark):
     assert got == [("official_a_b.pdf_chunk_0", 1), ("official_a_b.pdf_chunk_1", 3), ("official_unknown_chunk_0", 1)]
 
 
+def test_owner_of_uploads(spark):
+    page = " ".join(f"w{i}" for i in range(10))
+    rows = spark.createDataFrame([("a.txt", page, "Personal", None, ""), ("b.txt", page, "personal", "u 1", "s"), ("c.txt", page, None, None, None)], "filename string, text string, scope string, user_id string, session_id string").withColumn("page", F.lit(1))
+    got = [(r.chunk_id, r.user_id, r.session_id, r.uploaded_by) for r in chunking.chunks(rows).orderBy("filename").collect()]
+    assert got == [("personal_personal_personal_a.txt_chunk_0", "personal", "personal", "user"), ("personal_u_1_s_b.txt_chunk_0", "u 1", "s", "user"), ("official_c.txt_chunk_0", "admin", "admin", "admin")]
+
+
 def test_labels(spark):
     assert one(spark, T.safe_id(F.col("t")), t="Zürich plan.pdf") == "Z_rich_plan.pdf"
     assert one(spark, T.safe_id(F.col("t")), t="") == "unknown"
@@ -87,6 +94,6 @@ def test_labels(spark):
 
 def test_age(spark):
     now = dt.datetime(2024, 1, 30, 12)
-    rows = spark.createDataFrame([(i, now - dt.timedelta(minutes=m)) for i, m in enumerate((0, 59, 60, 60 * 24, -30))], "i int, t timestamp")
+    rows = spark.createDataFrame([(i, now - dt.timedelta(minutes=m)) for i, m in enumerate((0, 59, 60, 60 * 24, -30, 90, 60 * 36, 59.5))], "i int, t timestamp")
     value, unit = T.age(F.col("t"), F.lit("2024-01-30 12:00:00").cast("timestamp"))
-    assert [(r.v, r.u) for r in rows.orderBy("i").select(value.alias("v"), unit.alias("u")).collect()] == [(0, "minute"), (59, "minute"), (1, "hour"), (1, "day"), (-30, "minute")]
+    assert [(r.v, r.u) for r in rows.orderBy("i").select(value.alias("v"), unit.alias("u")).collect()] == [(0, "minute"), (59, "minute"), (1, "hour"), (1, "day"), (-30, "minute"), (1, "hour"), (1, "day"), (59, "minute")]
