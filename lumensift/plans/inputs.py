@@ -15,7 +15,7 @@ from lumensift.functions import lexicons
 from lumensift.operators import accounts, answering, chunking, conversations, retrieve, store, understand
 from lumensift.operators.snapshots import Snapshots
 from lumensift.sources import files as sources
-from lumensift.storage import shared_dir
+from lumensift.storage import shared_dir, written
 from lumensift.streaming import jobs
 
 from . import registry
@@ -329,7 +329,7 @@ SAID = "CASE WHEN conv_id % 7 = 3 AND turn < 2 THEN ' Thanks! ' WHEN conv_id % 7
 def _(f, m):
     m = m.withColumn("content", F.expr(SAID)).withColumns({"use_personal": F.col("conv_id") % 5 == 4, "user_id": F.concat(F.lit("u"), (F.col("conv_id") % 9).cast("string"))})
     c = chunking.chunks(f).select("chunk_id", "filename", "page", "text", "scope", "user_id", "deleted", *retrieve.FACETS)
-    return _shown(answering.routed(answering.of_conversations(m), c))
+    return _shown(answering.routed(answering.of_conversations(m), written(c, "chunks")))
 
 
 @stream_query("r3_answers", _asked_sql("SELECT CAST(item_id AS VARCHAR) AS query_id, trim(text) AS said, trim(text) AS retr, false AS use_personal, '' AS user_id FROM benchmark", "c.scope = 'official'"))

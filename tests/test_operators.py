@@ -1,12 +1,14 @@
 """Store, retrieval, questions, conversations, accounts: literal cases."""
 
 import datetime as dt
+import random
+from difflib import get_close_matches
 
 import pytest
 from pyspark.sql import functions as F
 
 from lumensift.functions import lexicons
-from lumensift.operators import accounts, analytics, conversations, embed, retrieve, store, understand
+from lumensift.operators import accounts, analytics, answering, blocks, conversations, embed, retrieve, store, understand
 
 CHUNK = "chunk_id string, filename string, scope string, user_id string, department string, deleted boolean, embedding array<double>"
 
@@ -133,8 +135,74 @@ def test_follow_ups_and_history(spark):
     got = understand.follow_ups(m)
     assert column(got, "is_followup", "turn") == [False, True, True, False, True, True]
     assert column(understand.smart_queries(got), "retrieval_query", "turn") == [said[0], said[0], said[0], said[3], said[3], said[3]]
-    h = spark.createDataFrame([("User: Where is room one?\nmore\nAssistant: there\nuser: Who teaches law?\nUser: make it short",), ("",), (None,)], "h string")
-    assert [r[0] for r in h.select(understand.last_question(F.col("h"))).collect()] == ["Who teaches law?", None, None]
+    h = spark.createDataFrame([(1, "User: Where is room one?\nmore\nAssistant: there\nuser: Who teaches law?\nUser: shrt answer\n User:  "), (2, ""), (3, None), (4, "User: tell me mor")], "query_id int, history string")
+    assert [tuple(r) for r in understand.last_questions(h).collect()] == [(1, "Who teaches law?")]
+    assert sorted(tuple(r) for r in understand.last_questions(h, use_fuzzy=False).collect()) == [(1, "shrt answer"), (4, "tell me mor")]
+
+
+def chunk_table(spark):
+    text = "the hostel has rooms for three hundred students each year"
+    rows = [("a", "f.txt", 1, text, "official", "admin", False), ("b", "g.txt", 1, text + " and more", "personal", "u1", False), ("c", "h.txt", 1, "library opens early in the morning every day", "official", "admin", True), ("d", None, None, "too few words here", "official", "admin", False)]
+    return spark.createDataFrame(rows, "chunk_id string, filename string, page int, text string, scope string, user_id string, deleted boolean")
+
+
+def test_question_path(spark):
+    said = [(1, 0, "user", "hi"), (1, 1, "assistant", "Hello"), (1, 2, "user", "how many rooms for students are there in the hostel"), (1, 3, "user", "shrt answer"), (2, 0, "user", " "), (2, 1, "user", "zzzz"), (3, 0, "user", "library opens"), (3, 1, "user", "few words"), (4, 0, "user", "thnak you")]
+    m = spark.createDataFrame(said, "conv_id int, turn int, role string, content string").withColumns({"use_personal": F.col("conv_id") == 9, "user_id": F.lit(None).cast("string")})
+    got = {r.query_id: r for r in answering.routed(answering.of_conversations(m), chunk_table(spark)).collect()}
+    assert {i: r.route for i, r in got.items()} == {"1-0": "casual", "1-2": "ask_model", "1-3": "ask_model", "2-0": "empty", "2-1": "no_chunks", "3-0": "ask_model", "3-1": "nothing_passed", "4-0": "casual"}
+    assert (got["1-3"].retrieval_query, got["1-3"].context) == (said[2][3], got["1-2"].context)
+    assert [s.file for s in got["1-2"].sources] == ["f.txt"]
+    assert [got[i].used_fallback for i in ("1-2", "3-0", "2-0")] == [False, True, None]  # what is deleted is found only where nothing else is
+    answers = spark.createDataFrame([("1-2", "Many."), ("1-3", lexicons.NOT_FOUND.upper()), ("3-0", " ")], "query_id string, answer string")
+    done = {r.query_id: (r.final_route, r.answer) for r in answering.finished(answering.routed(answering.of_conversations(m), chunk_table(spark)), answers).collect()}
+    assert done["1-2"] == ("answered", "Many.") and done["1-3"] == ("refused", lexicons.NOT_FOUND) == done["3-0"] and done["2-1"] == ("no_chunks", lexicons.NOT_FOUND)
+    assert done["1-0"] == ("casual", dict(lexicons.SMALL_TALK)["hi"]) and done["2-0"] == ("empty", None)
+
+
+def test_question_path_of_histories_and_users(spark):
+    q = spark.createDataFrame([("x", "make it short", "User: rooms in the hostel for students of the first year\nAssistant: many", True, "u1"), ("y", "hostal", None, False, None), ("z", None, None, None, None)], "query_id string, text string, history string, use_personal boolean, user_id string")
+    own = answering.of_histories(q)
+    got = {r.query_id: r for r in answering.routed(own, chunk_table(spark)).collect()}
+    assert (got["x"].route, got["x"].sources[0].file, got["x"].used_fallback) == ("ask_model", "g.txt", False)
+    assert (got["y"].search_text, got["z"].route) == (dict(lexicons.EXPANSIONS)["hostel"], "empty")
+    prompts = {r.query_id: r.prompt for r in answering.asked(answering.routed(own, chunk_table(spark)), q.select("query_id", F.col("history").alias("text"))).collect()}
+    assert prompts["x"].startswith("Context:\n[Source 1 | File: g.txt | Page: 1]") and "Conversation history:\nUser: rooms" in prompts["x"]
+
+
+def test_fuzzy_candidates_lose_nothing(spark):
+    """The bound is above the ratio: what it leaves out has no match."""
+    keys = [k for k, _ in lexicons.EXPANSIONS]
+    letters = "abcdefghijklmnoprstu "
+    rng = random.Random(5)
+    words = {"".join(rng.choice(letters) for _ in range(rng.randint(1, 14))) for _ in range(500)}
+    for k in keys:
+        for _ in range(20):
+            w = list(k)
+            for _ in range(rng.randint(0, 3)):
+                w[rng.randrange(len(w))] = rng.choice(letters)
+            words.add("".join(w))
+    t = spark.createDataFrame([(w,) for w in sorted(words)], "text string")
+    may = {r.text for r in understand.candidates(t, keys).collect()}
+    want = {w: m[0] for w in words if (m := get_close_matches(w, keys, 1, understand.CUTOFF))}
+    assert want.keys() <= may and len(may) < len(words) / 2
+    assert {r.text: r.match for r in understand.fuzzy(t, keys).collect()} == want
+
+
+def test_questions_in_rounds(spark, monkeypatch):
+    """Questions beyond the bound travel in rounds, with the same results."""
+    rng = random.Random(3)
+    words = [f"w{i}" for i in range(40)]
+    text = lambda: " ".join(rng.choice(words) for _ in range(12))
+    c = spark.createDataFrame([(f"c{i:03}", text(), [rng.random() for _ in range(4)], False, "official", "admin", "general") for i in range(200)], "chunk_id string, text string, embedding array<double>, deleted boolean, scope string, user_id string, department string").repartition(3)
+    q = spark.createDataFrame([(i, text(), [rng.random() for _ in range(4)], False, None) for i in range(30)], "query_id int, text string, query_embedding array<double>, use_personal boolean, user_id string")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "rank", "chunk_id", F.round("distance", 9)).collect()))
+    want = rows(retrieve.sparse_nearest(q, c)), rows(retrieve.nearest(q, c))
+    monkeypatch.setattr(blocks, "BROADCAST_BYTES", 1000)
+    monkeypatch.setattr(blocks, "ROWS", 7)
+    assert (rows(retrieve.sparse_nearest(q, c)), rows(retrieve.nearest(q, c))) == want
+    plan = retrieve.sparse_nearest(q, c)._jdf.queryExecution().executedPlan().toString()
+    assert "Cartesian" not in plan and "NestedLoop" not in plan
 
 
 def test_fuzzy_ties_take_the_greater_key(spark):
@@ -212,7 +280,7 @@ def test_invites(spark):
     asked = [("A@X ", "admin", "already_admin"), ("s@x", "admin", "already_super_admin"), ("t@x", None, "promote"), ("p@x", "admin", "duplicate_pending"), ("q@x", "admin", "invite"), (" ", "admin", "rejected"), ("z@x", "student", "rejected"), ("y@x", " Admin ", "invite"), ("x@x", "", "invite"), ("w@x", " ", "rejected")]
     got = accounts.resolve_invites(spark.createDataFrame([(n, e, r) for n, (e, r, _) in enumerate(asked)], "n int, email string, role string"), p, i)
     assert column(got, "action", "n") == [a for *_, a in asked]
-    assert accounts.activity(got, F.lit("me"), F.current_timestamp()).count() == 2
+    assert accounts.activity(got, F.lit("me"), F.current_timestamp()).count() == 4
 
 
 def test_profiles(spark):
