@@ -87,6 +87,9 @@ EXTENSIONS = [".pdf", ".docx", ".txt", ".html", ".htm", ".csv", ".md", ".markdow
 #: Between the messages of an exported conversation.
 RULE = "----------------------"
 
+#: How an assistant's message begins that stands for a failed request.
+ERRORS = ["\u26a0"]
+
 #: Cells of a table file that count as missing.
 MISSING = ["", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN", "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null"]
 

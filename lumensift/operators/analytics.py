@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from lumensift.functions import lexicons
 from lumensift.functions import text as T
 
+from .conversations import no_answer
+
 LOG = "id long, user_id string, user_email string, question string, answer string, conversation_id string, category string, is_answered boolean, response_time_ms double, created_at timestamp"
 
 
@@ -23,9 +25,10 @@ def has_answer() -> Column:
     return F.trim(F.coalesce("answer", F.lit(""))) != ""
 
 
-def answered() -> Column:
-    """As saved, else whether there is an answer."""
-    return F.coalesce("is_answered", has_answer())
+def answered(not_found: str | None = None) -> Column:
+    """As saved, else whether there is an answer. With not_found, an answer that says so is none, whatever is saved."""
+    saved = F.coalesce("is_answered", has_answer())
+    return saved if not_found is None else saved & ~F.coalesce(no_answer(F.col("answer"), not_found), F.lit(False))
 
 
 def not_unanswered() -> Column:
@@ -41,9 +44,9 @@ def newest(logs: DataFrame, n: int | None) -> DataFrame:
     return logs if n is None else logs.orderBy(F.desc_nulls_last("created_at"), "id").limit(n)
 
 
-def figures(logs: DataFrame) -> DataFrame:
-    """total, answered, unanswered, active_users, mean_response_ms (half up, 0 without numbers)."""
-    a = answered()
+def figures(logs: DataFrame, not_found: str | None = None) -> DataFrame:
+    """total, answered, unanswered, active_users, mean_response_ms (half up, 0 without numbers); not_found as in `answered`."""
+    a = answered(not_found)
     mean = F.coalesce(T.rounded(F.avg("response_time_ms")), F.lit(0)).cast("long")
     return logs.agg(F.count(F.lit(1)).alias("total"), F.count_if(a).alias("answered"), F.count_if(~a).alias("unanswered"), F.countDistinct(actor()).alias("active_users"), mean.alias("mean_response_ms"))
 

@@ -24,6 +24,19 @@ def pairs(messages: DataFrame) -> DataFrame:
     return m.filter("role = 'user' and _next = 'assistant'").select("conv_id", "turn", F.col("content").alias("question"), "answer")
 
 
+def paired(messages: DataFrame) -> DataFrame:
+    """messages with `paired`: whether an assistant message follows directly."""
+    return messages.withColumn("paired", F.coalesce(F.lead("role").over(by_turn()) == "assistant", F.lit(False)))
+
+
+def without_errors(messages: DataFrame, marks: list[str] = lexicons.ERRORS) -> DataFrame:
+    """messages less the assistant's that begin with the mark of a failed request."""
+    text, failed = F.ltrim(F.coalesce("content", F.lit(""))), F.lit(False)
+    for mark in marks:
+        failed = failed | text.startswith(mark)
+    return messages.filter(~((F.col("role") == "assistant") & failed))
+
+
 def joined(rows: DataFrame, line: Column, sep: str = "\n") -> DataFrame:
     """(conv_id, text): the lines of a conversation in order of turn."""
     own = F.sort_array(F.collect_list(F.struct("turn", line.alias("line"))))

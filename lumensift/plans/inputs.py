@@ -30,6 +30,39 @@ def files(rows: DataFrame, path: Column, content: Column) -> DataFrame:
     return sources.typed(rows.select(path.alias("path"), content.alias("content")))
 
 
+def _several(rows: DataFrame, root: str, key: str, files: int = 6) -> str:
+    """rows as a folder of several files, for streams of more than one batch."""
+    rows.repartition(files, key).write.parquet(f"{root}/in")
+    return f"{root}/in"
+
+
+def _arriving(spark: SparkSession, path: str, schema, at_once: int = 2) -> DataFrame:
+    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
+
+
+def _run(writer: DataStreamWriter, state: str) -> None:
+    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
+
+
+def _again(spark: SparkSession, state: str) -> None:
+    """Takes the mark off the last batch of a stream that has ended, as if its process had died before it could set it: the batch comes again."""
+    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
+    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
+    last = max((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
+    fs.delete(last, False)
+
+
+def stream_query(name: str, sql: str):
+    """Registers a function of (spark, sf_dir, root) that runs streams below root until nothing is left and gives their result."""
+
+    def add(f):
+        registry.QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
+        registry.SQL[name] = registry.with_views(sql)
+        return f
+
+    return add
+
+
 # --- files ---
 
 
@@ -41,6 +74,46 @@ def _(p):
     return files(p, path, F.encode(F.coalesce("html", F.lit("")), "UTF-8")).select("path", "filename", "file_type", "supported")
 
 
+@stream_query("s1_scan", f"""
+SELECT 'text' AS kind, CAST(page_id // 50 AS INTEGER) AS part, 'txt' AS file_type, {CLEAN.format("string_agg(regexp_replace(coalesce(html, ''), '\\r\\n?', chr(10), 'g'), chr(10) ORDER BY page_id)")} AS text, NULL AS error FROM pages GROUP BY 2
+UNION ALL SELECT 'one', CAST(page_id // 50 AS INTEGER), 'json', '{{' || chr(10) || ' "page_id": ' || page_id || ',' || chr(10) || ' "kind": "page"' || chr(10) || '}}', NULL FROM pages WHERE page_id % 50 = 7
+UNION ALL SELECT 'many', CAST(page_id // 50 AS INTEGER), 'json', NULL, 'unreadable' FROM pages WHERE page_id % 50 IN (8, 9) GROUP BY 2 HAVING count(*) > 1
+UNION ALL SELECT DISTINCT 'other', NULL::INTEGER, 'parquet', NULL, 'unsupported' FROM pages""")
+def _(spark, sf_dir, root):
+    # files as tasks write them, in folders of folders: pages as text, objects of JSON, lines of JSON that are no object, and a kind that isn't supported
+    p = view(spark, sf_dir, "pages").withColumn("part", F.floor(F.col("page_id") / 50).cast("int"))
+    p.select("part", "page_id", F.coalesce("html", F.lit("")).alias("value")).repartition("part").sortWithinPartitions("part", "page_id").drop("page_id").write.partitionBy("part").text(f"{root}/text")
+    p.filter("page_id % 50 = 7").select("part", "page_id", F.lit("page").alias("kind")).repartition("part").write.partitionBy("part").json(f"{root}/one")
+    p.filter("page_id % 50 in (8, 9)").select("part", "page_id").repartition("part").write.partitionBy("part").json(f"{root}/many")
+    p.select("page_id").write.parquet(f"{root}/other")
+    found = sources.pages_text(sources.folder(spark, root))
+    kind, part = F.regexp_extract("source", "/(text|one|many|other)/(part=([0-9]+)/)?[^/]*$", 1), F.regexp_extract("source", "/part=([0-9]+)/", 1)
+    return found.select(kind.alias("kind"), F.nullif(part, F.lit("")).cast("int").alias("part"), "file_type", "text", "error").distinct()
+
+
+@query("p8_tables", """
+SELECT 'parts.xlsx' AS filename, CAST(p_size AS INTEGER) AS page, CAST(max(p_size) OVER () AS INTEGER) AS total_pages, 'xlsx' AS file_type, 'size ' || p_size AS sheet_name, CAST((p_partkey - 1) // 200 AS INTEGER) AS part, text
+FROM (SELECT p_size, p_partkey - (p_partkey - 1) % 200 AS p_partkey, string_agg('Row ' || p_partkey || ': ' || concat_ws(' | ', 'p_name: ' || p_name, CASE WHEN p_partkey % 7 > 0 THEN 'p_type: ' || p_type END), chr(10) ORDER BY p_partkey) FILTER (p_partkey % 11 > 0) AS text
+  FROM part GROUP BY p_size, p_partkey - (p_partkey - 1) % 200)
+WHERE text IS NOT NULL""", "part")
+def _(p):
+    i = F.col("p_partkey")
+    cells = {"p_name": F.when(i % 11 > 0, F.col("p_name")), "p_type": F.when(i % 11 == 0, " ").when(i % 7 > 0, F.col("p_type"))}
+    rows = p.select(F.lit("parts.xlsx").alias("filename"), F.col("p_size").alias("sheet"), F.concat(F.lit("size "), F.col("p_size").cast("string")).alias("sheet_name"), i.alias("row_no"), *[c.alias(n) for n, c in cells.items()])
+    return sources.sheet_pages(rows, list(cells), 200).select("filename", "page", "total_pages", "file_type", "sheet_name", "part", "text")
+
+
+@stream_query("s12_projection", "SELECT chunk_id, filename, page, chunk_index, scope, department, deleted FROM chunks_v")
+def _(spark, sf_dir, root):
+    # two loads, the second of which takes the place of half of the first; then a scan of all columns but the text
+    table, made = Snapshots(spark, f"{root}/chunks"), chunking.chunks(view(spark, sf_dir, "files_v"))
+    table.commit("load", 0, made, lambda old: made.withColumn("department", F.lit("old")))
+    later = made.filter("chunk_index % 2 = 0")
+    table.commit("load", 1, made, lambda old: store.upsert(old.withColumn("department", F.lit(None).cast("string")), made))
+    table.commit("load", 2, later, lambda old: store.upsert(old, later))
+    return table.load().select("chunk_id", "filename", "page", F.col("chunk_index").cast("long").alias("chunk_index"), "scope", "department", "deleted")
+
+
 @query("s3_routing", f"""
 SELECT filename, CASE doc_id % 5 WHEN 0 THEN 'pdf' WHEN 1 THEN 'txt' WHEN 2 THEN 'exe' WHEN 3 THEN 'db_dump' ELSE 'markdown' END AS file_type,
   CASE WHEN doc_id % 5 IN (1, 3) OR doc_id % 5 = 4 AND doc_id % 2 = 0 THEN {CLEAN.format("text")} END AS text,
@@ -130,14 +203,14 @@ def _(p):
     return accounts.pending(invites).select("email")
 
 
-@query("t5_recent", "SELECT id FROM logs_v ORDER BY created_at DESC NULLS LAST, id LIMIT 10", "logs_v")
+@query("t5_recent", "SELECT id, row_number() OVER (ORDER BY created_at DESC NULLS LAST, id) AS place FROM logs_v ORDER BY 2 LIMIT 10", "logs_v")
 def _(logs):
-    return accounts.recent_activity(logs).select("id")
+    return registry.in_order(accounts.recent_activity(logs)).select("id", "place")
 
 
-@query("t4_first_profiles", "SELECT id, email FROM profiles_v ORDER BY id LIMIT 6", "profiles_v")
+@query("t4_first_profiles", "SELECT id, email, row_number() OVER (ORDER BY id) AS place FROM profiles_v ORDER BY id LIMIT 6", "profiles_v")
 def _(p):
-    return accounts.first_profiles(p).select("id", "email")
+    return registry.in_order(accounts.first_profiles(p)).select("id", "email", "place")
 
 
 @query("t4_first_documents", "SELECT filename FROM files_v WHERE NOT deleted ORDER BY filename LIMIT 4", "files_v")
@@ -210,39 +283,6 @@ def _stream_logs(events: DataFrame) -> DataFrame:
     return events.select(F.col("event_id").alias("id"), question.alias("question"), F.when(F.col("event_id") % 7 > 0, F.lit("yes")).alias("answer"), F.lit(None).cast("string").alias("category"), F.lit(None).cast("boolean").alias("is_answered"), F.col("value").alias("response_time_ms"), F.col("ts").cast("timestamp").alias("created_at"))
 
 
-def _several(rows: DataFrame, root: str, key: str, files: int = 6) -> str:
-    """rows as a folder of several files, for streams of more than one batch."""
-    rows.repartition(files, key).write.parquet(f"{root}/in")
-    return f"{root}/in"
-
-
-def _arriving(spark: SparkSession, path: str, schema, at_once: int = 2) -> DataFrame:
-    return spark.readStream.schema(schema).option("maxFilesPerTrigger", at_once).parquet(path)
-
-
-def _run(writer: DataStreamWriter, state: str) -> None:
-    writer.option("checkpointLocation", state).trigger(availableNow=True).start().awaitTermination()
-
-
-def _again(spark: SparkSession, state: str) -> None:
-    """Takes the mark off the last batch of a stream that has ended, as if its process had died before it could set it: the batch comes again."""
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{state}/commits")
-    fs = folder.getFileSystem(spark._jsc.hadoopConfiguration())
-    last = max((s.getPath() for s in fs.listStatus(folder) if s.getPath().getName().isdigit()), key=lambda p: int(p.getName()))
-    fs.delete(last, False)
-
-
-def stream_query(name: str, sql: str):
-    """Registers a function of (spark, sf_dir, root) that runs streams below root until nothing is left and gives their result."""
-
-    def add(f):
-        registry.QUERIES[name] = lambda spark, sf_dir: f(spark, sf_dir, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}")
-        registry.SQL[name] = registry.with_views(sql)
-        return f
-
-    return add
-
-
 @stream_query("r1_live_days", "SELECT CAST(ts AS DATE) AS day, count(*) AS queries, count_if(event_id % 7 = 0) AS unanswered FROM events WHERE ts IS NOT NULL GROUP BY 1")
 def _(spark, sf_dir, root):
     events = spark.read.parquet(f"{sf_dir}/events.parquet")

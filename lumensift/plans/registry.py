@@ -5,7 +5,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lumensift.functions import lexicons
@@ -32,6 +32,11 @@ def query(name: str, sql: str | None, *tables: str):
     return add
 
 
+def in_order(rows: DataFrame) -> DataFrame:
+    """A short sorted list with each row's place, so that its order is held against SQL too."""
+    return rows.withColumn("place", F.row_number().over(Window.orderBy(F.monotonically_increasing_id())))
+
+
 W = r"[^\p{L}\p{N}_\s]"  # neither of a word nor white space, in both dialects
 NORMAL = rf"trim(regexp_replace(regexp_replace(lower(trim(content)), '{W}', '', 'g'), '\s+', ' ', 'g'))"
 
@@ -53,6 +58,23 @@ def _(f):
     return chunking.chunks(f).select("chunk_id", "filename", "page", F.col("chunk_index").cast("long"), "scope", "user_id", "session_id", "uploaded_by", "department", "document_type", "year", "deleted", "text")
 
 
+#: Pages of books, a third of all pages in one; some come again, some are empty.
+BOOKS = "SELECT CASE WHEN doc_id % 3 = 0 THEN 'book_0.pdf' ELSE 'book_' || CAST(CAST(floor(doc_id / 7) AS BIGINT) AS VARCHAR(20)) || '.pdf' END AS filename, CAST(doc_id + 1 AS INT) AS page, CASE WHEN doc_id % 11 = 4 THEN '' ELSE text END AS text, doc_id FROM {documents}"
+
+
+@query("p4_numbering", f"""
+WITH b AS ({BOOKS.format(documents="documents")}), w AS (SELECT *, string_split_regex(trim(text), '\\s+') AS w FROM b WHERE trim(coalesce(text, '')) <> ''),
+n AS (SELECT *, CASE WHEN len(w) <= 450 THEN 0 ELSE CAST(ceil((len(w) - 450) / 370.0) AS BIGINT) END AS last FROM w WHERE len(w) >= 8),
+c AS (SELECT filename, page, w, unnest(range(last + 1)) AS i FROM n),
+r AS (SELECT filename, page, array_to_string(w[i * 370 + 1 : i * 370 + 450], ' ') AS text, row_number() OVER (PARTITION BY filename ORDER BY page, i) - 1 AS chunk_index FROM c WHERE len(w[i * 370 + 1 : i * 370 + 450]) >= 8)
+SELECT 'official_' || filename || '_chunk_' || chunk_index AS chunk_id, filename, page, chunk_index, text FROM r""", "documents")
+def _(d):
+    books = d.sparkSession.sql(BOOKS, documents=d).drop("doc_id")
+    again = books.filter("page % 13 = 5")
+    made = chunking.chunks(books.unionByName(again)).select("chunk_id", "filename", "page", F.col("chunk_index").cast("long").alias("chunk_index"), "text")
+    return made.dropDuplicates(["chunk_id"])
+
+
 @query("p5_safe_id", r"SELECT doc_id, regexp_replace(replace(text, ' ', '_'), '[^A-Za-z0-9_.-]', '_', 'g') AS safe FROM documents WHERE text <> ''", "documents")
 def _(d):
     return d.filter("text <> ''").select("doc_id", T.safe_id(F.col("text")).alias("safe"))
@@ -117,9 +139,9 @@ def _(p):
     return p.select("id", T.email(F.col("email")).alias("email"), T.person_name(F.col("full_name")).alias("name"))
 
 
-@query("p24_labels", "SELECT id, CASE WHEN coalesce(category, '') = '' THEN 'General' ELSE category END AS category FROM logs_v", "logs_v")
+@query("p24_labels", "SELECT id, CASE WHEN coalesce(category, '') = '' THEN 'General' ELSE category END AS category, CASE WHEN id % 5 = 0 THEN '0' ELSE format('{:,}', id * 1000) END AS number FROM logs_v", "logs_v")
 def _(logs):
-    return logs.select("id", T.category_label(F.col("category")).alias("category"))
+    return logs.select("id", T.category_label(F.col("category")).alias("category"), T.number_label(F.when(F.col("id") % 5 > 0, F.col("id") * 1000)).alias("number"))
 
 
 HTML = "coalesce(html, '')"
@@ -185,6 +207,11 @@ def _(f):
     return store.statistics(chunking.chunks(f))
 
 
+@query("a2_files", "SELECT DISTINCT filename FROM chunks_v", "files_v")
+def _(f):
+    return store.files(chunking.chunks(f))
+
+
 @query("a3_files", "SELECT DISTINCT filename FROM files_v WHERE NOT deleted", "files_v")
 def _(f):
     return store.files(f, only_active=True)
@@ -201,7 +228,7 @@ c AS (SELECT filename, count(*) AS chunks FROM chunks_v GROUP BY 1)
 SELECT p.filename, CAST(pages_processed AS BIGINT) AS pages_processed, CAST(chars AS BIGINT) AS text_extracted_chars, coalesce(chunks, 0) AS chunks, upper(split_part(p.filename, '.', -1)) AS file_type, CASE WHEN chunks > 0 THEN 'Success' ELSE 'Failed' END AS status
 FROM p LEFT JOIN c ON p.filename = c.filename""", "files_v")
 def _(f):
-    return chunking.ingest_report(f, chunking.chunks(f))
+    return chunking.ingest_report(f)
 
 
 # --- retrieval ---
@@ -418,6 +445,16 @@ def _(logs):
     return analytics.figures(logs)
 
 
+@query("a4_figures_not_found", "SELECT count(*) AS total, count_if(a) AS answered, count_if(NOT a) AS unanswered FROM (SELECT coalesce(is_answered, trim(coalesce(answer, '')) <> '') AND NOT contains(lower(coalesce(answer, '')), 'answer 1') AS a FROM logs_v)", "logs_v")
+def _(logs):
+    return analytics.figures(logs, "ANSWER 1").select("total", "answered", "unanswered")
+
+
+@query("t1_figures", f"SELECT count(*) AS total, count_if({ANSWERED}) AS answered, count(DISTINCT {ACTOR}) AS active_users FROM (SELECT * FROM logs_v ORDER BY created_at DESC NULLS LAST, id LIMIT 500)", "logs_v")
+def _(logs):
+    return analytics.figures(analytics.newest(logs, 500)).select("total", "answered", "active_users")
+
+
 @query("a5_dashboard", f"SELECT (SELECT count(DISTINCT filename) FROM files_v) AS documents, count(*) AS queries, count_if(trim(coalesce(answer, '')) = '') AS unanswered, count(DISTINCT {ACTOR}) AS active_users, (SELECT count(*) FROM profiles_v) AS registered_users FROM logs_v", "logs_v", "files_v", "profiles_v")
 def _(logs, f, p):
     return analytics.dashboard(logs, f, p)
@@ -443,9 +480,9 @@ def _(logs):
     return analytics.categories(logs)
 
 
-@query("a9_categories_dashboard", f"SELECT CASE {SHORT_CASES} ELSE 'Others' END AS category, count(*) AS n FROM logs_v GROUP BY 1", "logs_v")
+@query("a9_categories_dashboard", f"SELECT category, n, row_number() OVER (ORDER BY n DESC, f) AS place FROM (SELECT CASE {SHORT_CASES} ELSE 'Others' END AS category, count(*) AS n, min((coalesce(-epoch_us(created_at), 4611686018427387904), id)) AS f FROM logs_v GROUP BY 1)", "logs_v")
 def _(logs):
-    return analytics.categories(logs, lexicons.CATEGORIES[:4], use_saved=False)
+    return in_order(analytics.categories(logs, lexicons.CATEGORIES[:4], use_saved=False))
 
 
 @query("a10_shares", f"SELECT category, n, round(n / sum(n) OVER () * 100, 1) AS percent, n / sum(n) OVER () * 360 AS degrees FROM (SELECT CASE {SHORT_CASES} ELSE 'Others' END AS category, count(*) AS n FROM logs_v GROUP BY 1)", "logs_v")
@@ -458,9 +495,9 @@ def _(logs):
     return analytics.newest(logs, 500).select("id", "created_at")
 
 
-@query("t2_topics", f"SELECT topic, n FROM (SELECT CASE WHEN trim(coalesce(category, '')) <> '' THEN category {CASES} ELSE 'Others' END AS topic, count(*) AS n, min((coalesce(-epoch_us(created_at), 4611686018427387904), id)) AS f FROM logs_v GROUP BY 1) ORDER BY n DESC, f LIMIT 6", "logs_v")
+@query("t2_topics", f"SELECT topic, n, row_number() OVER (ORDER BY n DESC, f) AS place FROM (SELECT CASE WHEN trim(coalesce(category, '')) <> '' THEN category {CASES} ELSE 'Others' END AS topic, count(*) AS n, min((coalesce(-epoch_us(created_at), 4611686018427387904), id)) AS f FROM logs_v GROUP BY 1) ORDER BY n DESC, f LIMIT 6", "logs_v")
 def _(logs):
-    return analytics.topics(logs)
+    return in_order(analytics.topics(logs))
 
 
 @query("t3_unanswered", f"SELECT id FROM logs_v WHERE NOT {ANSWERED} ORDER BY created_at DESC NULLS LAST, id LIMIT 8", "logs_v")
@@ -601,9 +638,10 @@ def _(logs):
     return logs.select("id", T.three(F.array("question", F.coalesce("answer", F.lit("")), F.coalesce("user_email", F.lit("")), F.lit(" last "))).alias("three"))
 
 
-@query("u6_parsed", "SELECT id, [question, CAST(id AS VARCHAR)] AS found FROM logs_v", "logs_v")
+@query("u6_parsed", "SELECT id, CASE WHEN id % 6 = 0 THEN [{}] ELSE [question, CAST(id AS VARCHAR)] END AS found FROM logs_v".format(", ".join(map(_quoted, lexicons.DEFAULT_SUGGESTIONS))), "logs_v")
 def _(logs):
     reply = F.concat(F.lit('```json\n["'), "question", F.lit('", " '), F.col("id").cast("string"), F.lit('", ""]\n```'))
+    reply = F.when(F.col("id") % 6 > 0, reply).otherwise("Sorry, no list.")
     return logs.select("id", T.parsed_suggestions(reply).alias("found"))
 
 

@@ -130,6 +130,21 @@ def row_text(columns: list[str], number: Column) -> Column:
     return F.when(body != "", F.concat(F.lit("Row "), number.cast("string"), F.lit(": "), body))
 
 
+def sheet_pages(rows: DataFrame, columns: list[str], rows_in_part: int = 500) -> DataFrame:
+    """Rows of decoded tables (filename, sheet, sheet_name, row_no, columns) as page rows: a sheet is a page, `sheet` its number in the file.
+
+    The sheet's rows with something in them are its lines, in order of row_no, which may have gaps. A page is cut into parts of
+    rows_in_part row numbers, so a sheet of any length is made on many tasks and never one row; `part` counts from 0 and chunks are numbered over it.
+    """
+    part = F.floor((F.col("row_no") - 1) / rows_in_part).cast("int")
+    lines = rows.select("filename", "sheet", "sheet_name", part.alias("part"), "row_no", row_text(columns, F.col("row_no")).alias("line"))
+    sheets = rows.groupBy("filename").agg(F.max("sheet").cast("int").alias("total_pages"))
+    own = F.transform(F.sort_array(F.collect_list(F.struct("row_no", "line"))), lambda x: x["line"])
+    text = lines.filter("line is not null").groupBy("filename", "sheet", "sheet_name", "part").agg(own.alias("lines"))
+    text = text.join(sheets, "filename").withColumn("text", T.clean_loaded(F.array_join("lines", "\n"))).filter("text <> ''")
+    return text.select("filename", F.col("sheet").cast("int").alias("page"), "total_pages", kind_of(T.extension(F.col("filename"))).alias("file_type"), "sheet_name", "part", F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("string").alias("error"))
+
+
 def table_text(table: Column) -> Column:
     """Rows of cells as text: the first row is the header; rows of its width become `header: value` pairs, others their values."""
     trimmed = F.filter(F.transform(table, lambda r: F.transform(r, lambda c: T.strip(F.coalesce(c, F.lit(""))))), lambda r: F.exists(r, lambda c: c != ""))
@@ -147,10 +162,10 @@ def page_text(text: Column, tables: Column) -> Column:
 
 
 def extracted(pages: DataFrame) -> DataFrame:
-    """Extracted pages (filename, page, text, tables) as page rows; empty pages are dropped but count in total_pages."""
+    """Extracted pages (filename, page, text, tables, sheet_name where there is one) as page rows; empty pages are dropped but count in total_pages."""
     total = Window.partitionBy("filename")
     p = pages.withColumn("total_pages", F.max("page").over(total).cast("int")).withColumn("text", page_text(F.col("text"), F.col("tables")))
-    return p.filter("text <> ''").select("filename", "page", "total_pages", kind_of(T.extension(F.col("filename"))).alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("string").alias("error"))
+    return p.filter("text <> ''").select("filename", "page", "total_pages", kind_of(T.extension(F.col("filename"))).alias("file_type"), (F.col("sheet_name") if "sheet_name" in pages.columns else F.lit(None).cast("string")).alias("sheet_name"), F.lit(None).cast("string").alias("source"), "text", F.lit(None).cast("string").alias("error"))
 
 
 def pages_text(files: DataFrame) -> DataFrame:

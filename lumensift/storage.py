@@ -8,6 +8,10 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 
+#: A table of texts up to so many bytes of files may be dealt out when it is read.
+DEALT_BYTES = 1 << 30
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors see, without a slash at its end: spark.checkpoint.dir of the session.
 
@@ -33,6 +37,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 def texts(spark: SparkSession, path: str) -> DataFrame:
     """A Parquet table of texts. If its files give fewer partitions than there are cores, as a single small file does, its rows are dealt
-    out, so that the work on them isn't one task's; a larger table is read as it lies."""
+    out, so that the work on them isn't one task's; a table of more than DEALT_BYTES, whatever the number of cores, is read as it lies."""
     df, cores = spark.read.parquet(path), spark.sparkContext.defaultParallelism
-    return df if df.rdd.getNumPartitions() >= cores else df.repartition(cores)
+    if df.rdd.getNumPartitions() >= cores or int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) > DEALT_BYTES:
+        return df
+    return df.repartition(cores)

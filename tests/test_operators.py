@@ -292,3 +292,17 @@ def test_profiles(spark):
     assert sorted(map(tuple, accounts.upsert_profiles(old, new).collect())) == [(1, "m", "r"), (2, "k", None)]
     names = spark.createDataFrame([(" ", None, "me@x"), (None, None, None)], "a string, b string, c string")
     assert [r[0] for r in names.select(accounts.display_name(F.col("a"), F.col("b"), F.col("c"))).collect()] == ["me", "Guest"]
+
+
+def test_options_of_histories_and_answers(spark):
+    said = [(1, 0, "user", "where is the library"), (1, 1, "assistant", "there"), (1, 2, "user", "who teaches law"), (1, 3, "assistant", lexicons.ERRORS[0] + " Network Error"), (1, 4, "user", "when are the exams"), (1, 5, "user", "make it short"), (1, 6, "assistant", "ok")]
+    m = spark.createDataFrame(said, "conv_id int, turn int, role string, content string")
+    last = lambda rows, **options: {r.query_id: r.retrieval_query for r in answering.of_conversations(rows, **options).collect()}["1-5"]
+    assert last(m) == "when are the exams"
+    assert last(m, paired_only=True) == "who teaches law"
+    assert last(conversations.without_errors(m), paired_only=True) == "where is the library"
+    assert conversations.without_errors(m).count() == 6
+    rows = [(1, "u", None, "q", lexicons.NOT_FOUND, None, None, True, 1.0, None), (2, "u", None, "q", "yes", None, None, None, 2.0, None), (3, "u", None, "q", None, None, None, True, 2.0, None)]
+    logs = spark.createDataFrame(rows, analytics.LOG)
+    assert analytics.figures(logs).first()["answered"] == 3
+    assert analytics.figures(logs, lexicons.NOT_FOUND).first()["answered"] == 2

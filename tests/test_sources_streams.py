@@ -6,7 +6,7 @@ import json
 import pytest
 from pyspark.sql import functions as F
 
-from lumensift.operators import analytics, answering, retrieve, store
+from lumensift.operators import analytics, answering, chunking, retrieve, store
 from lumensift.operators.snapshots import Snapshots
 from lumensift.sources import files
 from lumensift.streaming import jobs
@@ -37,6 +37,15 @@ def test_rows_of_csv(spark):
     assert [r.t for r in got.collect()] == ["Row 1: a: 1 | b: 2\nRow 2: a: 3", "Row 1: Unnamed: 1: x | a.1: y", "Row 2: h: v", ""]
 
 
+def test_sheets_of_tables(spark):
+    rows = [("t.XLS", 1, "one", i, "x" if i != 3 else " ", None if i % 2 else str(i)) for i in (1, 2, 3, 9, 12)] + [("t.XLS", 2, "two", 1, None, " "), ("t.XLS", 3, "three", 1, "y", "z")]
+    df = spark.createDataFrame(rows, "filename string, sheet int, sheet_name string, row_no long, a string, b string").repartition(3)
+    got = [(r.page, r.total_pages, r.file_type, r.sheet_name, r.part, r.text) for r in files.sheet_pages(df, ["a", "b"], 5).orderBy("page", "part").collect()]
+    assert got == [(1, 3, "xlsx", "one", 0, "Row 1: a: x\nRow 2: a: x | b: 2"), (1, 3, "xlsx", "one", 1, "Row 9: a: x"), (1, 3, "xlsx", "one", 2, "Row 12: a: x | b: 12"), (3, 3, "xlsx", "three", 0, "Row 1: a: y | b: z")]
+    cut = chunking.chunks(files.sheet_pages(df.withColumn("a", F.lit("one two three four five six seven eight")), ["a"], 5))
+    assert sorted((r.chunk_index, r.page, r.part, r.sheet_name) for r in cut.collect()) == [(0, 1, 0, "one"), (1, 1, 1, "one"), (2, 1, 2, "one"), (3, 2, 0, "two"), (4, 3, 0, "three")]
+
+
 def test_tables_and_pages(spark):
     rows = [("f.pdf", 1, "prose", [[["h", ""], ["1", "2"], ["x"], [None, " "]]]), ("f.pdf", 2, " ", None), ("f.pdf", 3, "end", [])]
     df = spark.createDataFrame(rows, "filename string, page int, text string, tables array<array<array<string>>>")

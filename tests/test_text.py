@@ -61,7 +61,9 @@ def test_windows(spark, n):
 @given(n=st.integers(0, 120), size=st.integers(1, 40), overlap=st.integers(0, 45))
 def test_windows_property(spark, n, size, overlap):
     words = [f"w{i}" for i in range(n)]
-    assert one(spark, chunking.windows(T.words(F.col("t")), size, overlap), t=" ".join(words)) == reference_chunks(words, size, overlap)
+    want = reference_chunks(words, size, overlap)
+    assert one(spark, chunking.windows(T.words(F.col("t")), size, overlap), t=" ".join(words)) == want
+    assert one(spark, chunking.window_count(F.size(T.words(F.col("t"))), size, overlap), t=" ".join(words)) == len(want)
 
 
 def test_chunk_numbers_run_over_pages(spark):
@@ -71,6 +73,41 @@ def test_chunk_numbers_run_over_pages(spark):
     assert got == [("official_a_b.pdf_chunk_0", 1), ("official_a_b.pdf_chunk_1", 3), ("official_unknown_chunk_0", 1)]
 
 
+def test_chunk_numbers_of_many_pages(spark, monkeypatch):
+    """Blocks of a prefix sum, repeated pages, empty ones, parts, and a file without a name."""
+    monkeypatch.setattr(chunking, "PAGES", 3)
+    text = lambda i, n: " ".join(f"w{i}x{j}" for j in range(n))
+    rows = [("a", p, 0, text(p, 900 if p % 4 == 0 else 0 if p % 4 == 1 else 20)) for p in range(1, 20)] + [("a", 4, 0, text(4, 900)), ("b", 1, 1, text(1, 10)), ("b", 1, 0, text(2, 10)), (None, 1, 0, text(3, 10))]
+    pages = spark.createDataFrame(rows, "filename string, page int, part int, text string").repartition(3)
+    got = chunking.chunks(pages)
+    assert "part" in got.columns and "part" not in chunking.chunks(pages.drop("part")).columns
+    want, at = [], 0
+    for name, p, _, t in rows[:19]:
+        for c in reference_chunks(t.split(), chunking.SIZE, chunking.OVERLAP):
+            want.append((f"official_a_chunk_{at}", p, c))
+            at += 1
+    found = [(r.chunk_id, r.page, r.text) for r in got.filter("filename = 'a'").collect()]
+    assert sorted(set(found)) == sorted(want) and len(found) == len(want) + 3
+    assert sorted((r.chunk_id, r.part) for r in got.filter("filename = 'b'").collect()) == [("official_b_chunk_0", 0), ("official_b_chunk_1", 1)]
+    assert got.filter("filename = ''").first()["chunk_id"] == "official_unknown_chunk_0"
+
+
+def test_no_text_is_put_in_order(spark):
+    pages = spark.createDataFrame([("a", p, "some text " * 30) for p in range(5)], "filename string, page int, text string")
+    plan = chunking.chunks(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert all("text" not in line.split("],")[-1] for line in plan.splitlines() if "Window" in line)
+    below, depth = [], None
+    for line in plan.splitlines():
+        at = len(line) - len(line.lstrip(" :+-"))
+        if "Window" in line and depth is None:
+            depth = at
+        elif depth is not None and at <= depth:
+            depth = None
+        if depth is not None and "Aggregate" in line:
+            below.append(line)
+    assert below and "Window" not in chunking.chunks(pages.filter("page = 1"))._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_owner_of_uploads(spark):
     page = " ".join(f"w{i}" for i in range(10))
     rows = spark.createDataFrame([("a.txt", page, "Personal", None, ""), ("b.txt", page, "personal", "u 1", "s"), ("c.txt", page, None, None, None)], "filename string, text string, scope string, user_id string, session_id string").withColumn("page", F.lit(1))
