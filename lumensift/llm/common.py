@@ -15,7 +15,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lumensift.storage import shared_dir
+from lumensift.storage import shared_dir, written  # noqa: F401
 
 SLICE_BYTES = 2 << 20
 M64 = np.uint64(0xFFFFFFFFFFFFFFFF)
@@ -23,13 +23,6 @@ BASE = 0x9E3779B97F4A7C15  # odd, so that its powers never vanish modulo 2**64
 INVERSE = pow(BASE, -1, 1 << 64)
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """df as a Parquet table in the shared folder: cuts lineage, survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     """The same, dealt into as many buckets by its keys as shuffles have partitions: joins on the keys don't move it again.
 
@@ -39,7 +32,9 @@ def bucketed(df: DataFrame, name: str, *keys: str) -> DataFrame:
     number = int(spark.conf.get("spark.sql.shuffle.partitions"))
     writer = df.write.option("compression", "zstd").option("path", f"{shared_dir(spark)}/{table}").format("parquet")
     writer.bucketBy(number, *keys).sortBy(*keys).saveAsTable(table)
-    return spark.table(table)
+    out = spark.table(table)
+    spark.sql(f"DROP TABLE {table}")  # its name only: the files have a place of their own, and out knows it
+    return out
 
 
 def held_out(doc_id: str, folds: int):

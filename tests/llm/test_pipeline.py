@@ -3,6 +3,8 @@
 import collections
 
 import numpy as np
+from pyspark.sql import functions as F
+from test_llm_operators import DOC, EDGES
 
 import corpus_pipeline
 from lumensift.llm import bpe, quality
@@ -82,3 +84,39 @@ def test_empty_documents(spark):
     docs = spark.read.parquet(f"{DIR}/documents.parquet").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs, DIR).count() == 0
+
+
+def test_stages_on_edges(spark, tmp_path):
+    """Nulls, empties, repeats, ties and clashing columns through every stage, each on what the one before has kept."""
+    rows = [tuple(r) for r in spark.read.parquet(f"{DIR}/documents.parquet").select("doc_id", "text", "lang", "source", "n_chars").collect()][:80]
+    docs = spark.createDataFrame(rows + rows[:5] + [(100_000 + i, r[1], None, None, None) for i, r in enumerate(rows[5:10])] + EDGES, DOC).repartition(3)
+    names = ("score", "size", "cls", "label", "th", "words", "mix_size", "own_mix_size", "neardup_kept", "held_out", "kept", "component_id")
+    before = docs.select("*", *[F.lit(f"own {c}").alias(c) for c in names])
+    before.write.parquet(str(tmp_path / "docs"))
+    before = spark.read.parquet(str(tmp_path / "docs"))
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, before, DIR).write.parquet(str(tmp_path / name))
+        after = spark.read.parquet(str(tmp_path / name))
+        old, new = (collections.Counter(map(tuple, df.collect())) for df in (before, after))
+        assert new
+        if name != "bpe":
+            assert after.columns == before.columns
+        if name == "quality":
+            assert all(new[r] in (0, n) for r, n in old.items()) and new <= old
+            of_text = collections.defaultdict(set)
+            for r in old:
+                of_text[r[1]].add(r in new)
+            assert all(len(x) == 1 for k, x in of_text.items() if k)
+        if name == "neardup":
+            assert set(new) <= set(old) and max(new.values()) == 1
+            assert all(new[r] for r in old if not words(r[1]))
+        if name == "substring":
+            assert new.total() == old.total()
+            assert all(new[r] == n for r, n in old.items() if r[0] is None or r[1] is None)
+        if name == "mixing":
+            assert set(new) <= set(old) and all(n <= 3 * old[r] for r, n in new.items())
+            again = stage(spark, before, DIR)
+            assert collections.Counter(map(tuple, again.collect())) == new
+        if name == "bpe":
+            assert new.total() == old.total() and {"lang", "source", *names} <= set(after.columns)
+        before = after
