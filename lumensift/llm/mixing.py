@@ -57,8 +57,13 @@ def mix(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2, 3)
     of them is repeated makes no difference. An empty table gives an empty result. Extra columns stay; those whose
     names start with mix_ are left out.
     """
+    return placed(docs.withColumn("mix_size", word_count(F.col("text"))), seed, weights, cap)
+
+
+def placed(docs: DataFrame, seed: str, weights: tuple[int, ...], cap: float) -> DataFrame:
+    """mix() of rows (doc_id, source, ...) that have their mix_size already."""
     key = F.md5(F.concat_ws("|", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    d = docs.withColumn("mix_size", word_count(F.col("text"))).withColumn("mix_key", key)
+    d = docs.withColumn("mix_key", key)
     d = d.withColumn("mix_class", F.floor(F.lit(float(CLASSES_PER_DOUBLING)) * F.log2(F.col("mix_size") + F.lit(1.0))).cast("int"))
     d = d.withColumn("mix_bucket", F.conv(F.substring("mix_key", 1, 8), 16, 10).cast("long") % BUCKETS)
     cells = d.groupBy(F.col("source").alias("mix_source"), "mix_class", "mix_bucket").agg(F.count(F.lit(1)).alias("mix_n"), F.sum("mix_size").alias("mix_words"))
@@ -96,7 +101,9 @@ def sampled(docs: DataFrame, seed: str = "mix", weights: tuple[int, ...] = (1, 2
 
 def digest(docs: DataFrame) -> DataFrame:
     """doc_id, size, source_size, target, taken."""
-    m = mix(docs.select("doc_id", "text", "source"))
+    # texts are read once: sizes are all that cells, targets and places need
+    sizes = common.written(docs.select("doc_id", "source", word_count(F.col("text")).alias("mix_size")), "sizes")
+    m = placed(sizes, "mix", (1, 2, 3), 3.0)
     return m.select("doc_id", F.col("mix_size").alias("size"), F.col("mix_source_size").alias("source_size"), F.col("mix_target").alias("target"), (F.col("mix_copies") * F.col("mix_size")).alias("taken"))
 
 
