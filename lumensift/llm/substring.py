@@ -553,7 +553,7 @@ def passages(docs: DataFrame, min_words: int = MIN_WORDS, identity: float = IDEN
 
     start and end count words; equal: words alike. A passage has min_words (at least 2 * SIDE) in both documents at least, and equal words of at
     least `identity` times the longer side. Runs that are equal word for word are all found; of passages with changed words, at least nine tenths of
-    those of identity 0.85 and more are, and fewer between that and `identity` (figures in the README). Earlier: by doc_id, then by th. th is 0; only in a table in which an id has several rows is it a
+    those of identity 0.88 and more are, and fewer between that and `identity` (figures in the README). Earlier: by doc_id, then by th. th is 0; only in a table in which an id has several rows is it a
     hash of the text. Rows whose doc_id or text is null take no part; empty texts have no words. Equal rows are one document and no repeat
     of each other; rows with one doc_id and different texts are different documents. Repeats within one document don't count. Long texts are
     read whole; an empty table gives an empty one. Other columns are not used.

@@ -112,7 +112,8 @@ def test_stages_on_edges(spark, tmp_path):
             assert all(new[r] for r in old if not words(r[1]))
         if name == "substring":
             assert new.total() == old.total()
-            assert all(new[r] == n for r, n in old.items() if r[0] is None or r[1] is None)
+            own = lambda rows: collections.Counter(r[:4] + r[5:] for r, n in rows.items() for _ in range(n) if r[0] is None or r[1] is None)
+            assert own(new) == own(old)  # but for n_chars, which is counted anew wherever there is a text
         if name == "mixing":
             assert set(new) <= set(old) and all(n <= 3 * old[r] for r, n in new.items())
             again = stage(spark, before, DIR)
