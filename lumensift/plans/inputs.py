@@ -105,12 +105,12 @@ def _(p):
 
 @stream_query("s12_projection", "SELECT chunk_id, filename, page, chunk_index, scope, department, deleted FROM chunks_v")
 def _(spark, sf_dir, root):
-    # two loads, the second of which takes the place of half of the first; then a scan of all columns but the text
+    # a load of half of the chunks, then one of all, which take their place; then a scan of all columns but the text
     table, made = Snapshots(spark, f"{root}/chunks"), chunking.chunks(view(spark, sf_dir, "files_v"))
-    table.commit("load", 0, made, lambda old: made.withColumn("department", F.lit("old")))
-    later = made.filter("chunk_index % 2 = 0")
-    table.commit("load", 1, made, lambda old: store.upsert(old.withColumn("department", F.lit(None).cast("string")), made))
-    table.commit("load", 2, later, lambda old: store.upsert(old, later))
+    first = made.filter("chunk_index % 2 = 0").withColumn("department", F.lit("old"))
+    table.commit("load", 0, first, lambda old: first)
+    table.commit("load", 1, made, lambda old: store.upsert(old, made))
+    table.vacuum(1)
     return table.load().select("chunk_id", "filename", "page", F.col("chunk_index").cast("long").alias("chunk_index"), "scope", "department", "deleted")
 
 
