@@ -5,8 +5,10 @@ from __future__ import annotations
 import collections
 import csv
 import html
+import html.entities
 import io
 import json
+import re
 from collections.abc import Iterator
 
 import pandas as pd
@@ -111,10 +113,23 @@ def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
         yield pd.Series([None if x is None else html.unescape(x) for x in batch], dtype=object)
 
 
-def html_page(text: Column) -> Column:
-    """The visible text of a page, with comments dropped and every named or numeric entity decoded."""
+#: An entity with the semicolon at its end.
+ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
+
+
+@F.pandas_udf(StringType())
+def _unescaped_whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    # of a name that isn't known, html.unescape would decode a known beginning
+    one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
+    for batch in batches:
+        yield pd.Series([None if x is None else ENTITY.sub(one, x) for x in batch], dtype=object)
+
+
+def html_page(text: Column, whole_only: bool = False) -> Column:
+    """The visible text of a page, with comments dropped and every named or numeric entity decoded; as in a browser also those of old names that
+    lack their semicolon, as where a text was cut inside one, unless whole_only."""
     seen = T.visible(F.regexp_replace(text, r"(?s)<!--.*?-->", ""))
-    return _unescaped(seen)
+    return _unescaped_whole(seen) if whole_only else _unescaped(seen)
 
 
 def csv_text(text: Column) -> Column:

@@ -29,6 +29,14 @@ def test_html_page(spark):
     assert spark.createDataFrame([(html,)], "h string").select(files.html_page(F.col("h")).alias("t")).first()["t"] == "\na é é é &lt;  b\n "
 
 
+def test_entity_that_was_cut(spark, tmp_path):
+    from lumensift.plans import registry
+
+    spark.createDataFrame([(1, "<p>R&D&amp</p>&amp;lt; &notin; &notit; &#39;")], "page_id long, html string").write.parquet(f"{tmp_path}/pages.parquet")
+    assert registry.QUERIES["s6_page"](spark, str(tmp_path)).first()["text"] == "\nR&D&amp\n&lt; ∉ &notit; '"
+    assert spark.createDataFrame([("R&D&amp",)], "h string").select(files.html_page(F.col("h")).alias("t")).first()["t"] == "R&D&"
+
+
 def test_logs_keep_columns_of_their_own(spark):
     got = analytics.complete(spark.createDataFrame([(1, "u", "x")], "id long, user_id string, own string"))
     assert set(got.columns) == {c.split()[0] for c in analytics.LOG.split(", ")} | {"own"}
