@@ -36,6 +36,19 @@ def test_clean_loaded(spark, raw, clean):
     assert one(spark, T.clean_loaded(F.col("t")), t=raw) == clean
 
 
+def test_cleaning_goes_over_a_text_once(spark):
+    # the number of words is computed once for the count of chunks, and no step of cleaning takes a text apart by characters
+    pages = spark.createDataFrame([("f", 1, "a b")], "filename string, total_pages int, text string")
+    plan = chunking.ingest_report(pages)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
+    assert "translate(" not in plan
+
+
+@pytest.mark.parametrize("text", ["", "a", "a b c d e", "a b c d e f", "a\u2003b\u3000c\x85d\x1fe\nf g", "a\u200bb c d e f"])
+def test_has_words(spark, text):
+    assert one(spark, T.has_words(F.col("t"), 6).cast("string"), t=text) == str(len(text.split()) >= 6).lower()
+
+
 def reference_chunks(words, size, overlap, least=8):
     out, start = [], 0
     if len(words) < least:
