@@ -1,9 +1,11 @@
 """Store, retrieval, questions, conversations, accounts: literal cases."""
 
 import datetime as dt
+import hashlib
 import random
 from difflib import get_close_matches
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -306,3 +308,36 @@ def test_options_of_histories_and_answers(spark):
     logs = spark.createDataFrame(rows, analytics.LOG)
     assert analytics.figures(logs).first()["answered"] == 3
     assert analytics.figures(logs, lexicons.NOT_FOUND).first()["answered"] == 2
+
+
+def test_blocks_after_the_first_lose_nothing(spark):
+    # one partition of three blocks, the nearest chunks in the last one, copies that tie, personal and deleted ones
+    rng = np.random.default_rng(3)
+    words = [f"w{i}" for i in range(300)]
+    say = lambda n: " ".join(rng.choice(words, n))
+    made = [(f"c{i:04}", say(int(rng.integers(1, 60))), "personal" if i % 3 == 0 else "official", f"u{i % 2}", i % 7 == 0) for i in range(2500)]
+    asked = [(i, say(8), i % 2 == 0, "u1" if i % 4 else "") for i in range(40)]
+    made += [(f"z{i:04}{j}", asked[i][1] + " " + say(2), ("official", "personal")[i % 2 == 0], "u1", False) for i in range(40) for j in range(3)]
+    c = spark.createDataFrame(made, "chunk_id string, text string, scope string, user_id string, deleted boolean").coalesce(1)
+    q = spark.createDataFrame(asked, "query_id int, text string, use_personal boolean, user_id string")
+    vector = lambda t: np.bincount([int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 1024 for w in t.split()], minlength=1024)
+    x, y = (np.array([vector(r[1]) / np.linalg.norm(vector(r[1])) for r in t]) for t in (made, asked))
+    far = np.round(np.maximum(0, 1 - y @ x.T), 9)
+    want = set()
+    for i, (name, _, own, user) in enumerate(asked):
+        fits = [j for j, m in enumerate(made) if not m[4] and (m[2] == "personal" and m[3] == user if own and user else m[2] == "official") and x[j] @ y[i] > 0]
+        want |= {(name, made[j][0]) for j in sorted(fits, key=lambda j: (far[i, j], made[j][0]))[:5]}
+    for rows in (c, embed.with_counts(c)):
+        assert {(r.query_id, r.chunk_id) for r in retrieve.sparse_nearest(q, rows, fallback="none").collect()} == want
+
+
+def test_counting_is_bounded_by_words():
+    import pyarrow as pa
+
+    lists = pa.array([["a"] * 700_000, ["b"] * 700_000, None, ["c"], ["d"] * 2_000_000, []] + [["e"]] * 2000)
+    cut = [p.num_rows for p in embed.parts(pa.RecordBatch.from_arrays([lists], names=["t"]), lists)]
+    assert cut == [1, 3, 1, 1024, 977]
+    known = {}
+    embed.buckets(pa.array([str(i) for i in range(embed.KNOWN_WORDS + 10)]), 1024, known)
+    embed.buckets(pa.array([f"x{i}" for i in range(1000)]), 1024, known)
+    assert len(known) == embed.KNOWN_WORDS <= 1 << 17
