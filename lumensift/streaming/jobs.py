@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import DataStreamWriter
 
+from lumensift import storage
 from lumensift.functions import text as T
 from lumensift.operators import analytics, answering, chunking, store
 from lumensift.operators.snapshots import Snapshots
@@ -83,6 +84,8 @@ def ingest_batch(files: DataFrame, old: DataFrame) -> DataFrame:
     can't be read change nothing. Ids don't depend on the run."""
     f = sources.last_of_name(sources.typed(files))
     pages = sources.pages_text(f).filter("error is null or error = 'no text'").withColumn("scope", F.lit("official"))
+    # written down, as three steps begin with it, and the filter alone would clean every text anew in each
+    pages = storage.written(pages, "pages")
     new = chunking.chunks(pages.drop("error"))
     return store.replace_official(old, new.select(*[c for c in new.columns if c in old.columns]), pages) if old.columns else new
 
