@@ -341,3 +341,21 @@ def test_counting_is_bounded_by_words():
     embed.buckets(pa.array([str(i) for i in range(embed.KNOWN_WORDS + 10)]), 1024, known)
     embed.buckets(pa.array([f"x{i}" for i in range(1000)]), 1024, known)
     assert len(known) == embed.KNOWN_WORDS <= 1 << 17
+
+
+def test_equal_questions_are_searched_once(spark, monkeypatch):
+    made = [(f"c{i}", f"w{i} w{i % 3} common", "personal" if i % 4 == 0 else "official", f"u{i % 2}", i % 7 == 6) for i in range(40)]
+    c = spark.createDataFrame(made, "chunk_id string, text string, scope string, user_id string, deleted boolean")
+    asked = [(i, ("w1 common", "w2", None, "w4")[i % 4], (True, None)[i % 8 // 4], "u0" if i % 8 < 4 else None) for i in range(32)]
+    asked += [(100 + i, "w5", True, f"u{i % 2 + 8}") for i in range(6)]  # without chunks of their own
+    q = spark.createDataFrame(asked, "query_id int, text string, use_personal boolean, user_id string")
+    seen, real = [], retrieve.sparse_hits
+    monkeypatch.setattr(retrieve, "sparse_hits", lambda q, c, *a: seen.append((q.count(), c.columns)) or real(q, c, *a))
+    got = retrieve.sparse_nearest(q, c, fallback="unfiltered").collect()
+    assert seen[0][0] == 10 and seen[1][0] < 10
+    assert all("buckets" in columns for _, columns in seen)  # both searches read what was counted once
+    monkeypatch.undo()
+    rows = lambda found: {(r.chunk_id, r.distance, r["rank"], r.used_fallback) for r in found}
+    for i in (0, 1, 2, 3, 5, 7, 29, 101, 104):
+        alone = retrieve.sparse_nearest(q.filter(F.col("query_id") == i), c, fallback="unfiltered").collect()
+        assert rows(r for r in got if r.query_id == i) == rows(alone) and len(alone) == sum(r.query_id == i for r in got)
