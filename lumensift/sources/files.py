@@ -9,7 +9,6 @@ import html.entities
 import io
 import json
 import re
-from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -50,25 +49,27 @@ def last_of_name(files: DataFrame) -> DataFrame:
 
 def strict_text(content: Column) -> Column:
     """UTF-8 with line ends made one newline; null where the bytes aren't UTF-8."""
-    t = F.when(F.is_valid_utf8(content.cast("string")), F.decode(content, "UTF-8"))
-    return F.regexp_replace(t, r"\r\n?", "\n")
+    return _one_newline(F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")))
 
 
 def lenient_text(content: Column) -> Column:
     """UTF-8 without the bytes that aren't."""
-    return F.regexp_replace(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""), r"\r\n?", "\n")
+    return _one_newline(F.regexp_replace(F.make_valid_utf8(content.cast("string")), "�", ""))
+
+
+def _one_newline(text: Column) -> Column:
+    return T.where(text, ["\r"], lambda t: F.regexp_replace(t, r"\r\n?", "\n"))
 
 
 @F.pandas_udf(StringType())
-def _printed_json(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        out = []
-        for text in batch:
-            try:
-                out.append(None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False))
-            except (ValueError, RecursionError):  # not JSON, or nested too deeply to be printed
-                out.append(None)
-        yield pd.Series(out, dtype=object)
+def _printed_json(batch: pd.Series) -> pd.Series:
+    out = []
+    for text in batch:
+        try:
+            out.append(None if text is None else json.dumps(json.loads(text), indent=2, ensure_ascii=False))
+        except (ValueError, RecursionError):  # not JSON, or nested too deeply to be printed
+            out.append(None)
+    return pd.Series(out, dtype=object)
 
 
 def json_text(text: Column) -> Column:
@@ -81,36 +82,33 @@ def _cleaned(text: Column) -> Column:
 
 
 @F.pandas_udf(StringType())
-def _csv_rows(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _csv_rows(batch: pd.Series) -> pd.Series:
     csv.field_size_limit(2**31 - 1)  # a text is no longer than that
-    missing = set(lexicons.MISSING)
-    for batch in batches:
-        out = []
-        for text in batch:
-            try:
-                head, *rows = (None,) if text is None else [r for r in csv.reader(io.StringIO(text)) if r] or [[]]
-            except csv.Error:
-                head, rows = None, []
-            if head is None:
-                out.append(None)
-                continue
-            lines, seen = [], collections.Counter()
-            for i, name in enumerate(head):
-                name = name or f"Unnamed: {i}"
-                head[i] = f"{name}.{seen[name]}" if seen[name] else name
-                seen[name] += 1
-            for i, row in enumerate(rows):
-                parts = [f"{h}: {v}" for h, v in zip(head, row, strict=False) if v not in missing and v.strip()]
-                if parts:
-                    lines.append(f"Row {i + 1}: " + " | ".join(parts))
-            out.append("\n".join(lines))
-        yield pd.Series(out, dtype=object)
+    missing, out = set(lexicons.MISSING), []
+    for text in batch:
+        try:
+            head, *rows = (None,) if text is None else [r for r in csv.reader(io.StringIO(text)) if r] or [[]]
+        except csv.Error:
+            head, rows = None, []
+        if head is None:
+            out.append(None)
+            continue
+        lines, seen = [], collections.Counter()
+        for i, name in enumerate(head):
+            name = name or f"Unnamed: {i}"
+            head[i] = f"{name}.{seen[name]}" if seen[name] else name
+            seen[name] += 1
+        for i, row in enumerate(rows):
+            parts = [f"{h}: {v}" for h, v in zip(head, row, strict=False) if v not in missing and v.strip()]
+            if parts:
+                lines.append(f"Row {i + 1}: " + " | ".join(parts))
+        out.append("\n".join(lines))
+    return pd.Series(out, dtype=object)
 
 
 @F.pandas_udf(StringType())
-def _unescaped(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for batch in batches:
-        yield pd.Series([None if x is None else html.unescape(x) for x in batch], dtype=object)
+def _unescaped(batch: pd.Series) -> pd.Series:
+    return pd.Series([None if x is None else html.unescape(x) for x in batch], dtype=object)
 
 
 #: An entity with the semicolon at its end.
@@ -118,11 +116,10 @@ ENTITY = re.compile(r"&(?:#[0-9]+|#[xX][0-9a-fA-F]+|[A-Za-z][A-Za-z0-9]*);")
 
 
 @F.pandas_udf(StringType())
-def _unescaped_whole(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
+def _unescaped_whole(batch: pd.Series) -> pd.Series:
     # of a name that isn't known, html.unescape would decode a known beginning
     one = lambda m: html.unescape(m[0]) if m[0][1] == "#" or m[0][1:] in html.entities.html5 else m[0]
-    for batch in batches:
-        yield pd.Series([None if x is None else ENTITY.sub(one, x) for x in batch], dtype=object)
+    return pd.Series([None if x is None else ENTITY.sub(one, x) for x in batch], dtype=object)
 
 
 def html_page(text: Column, whole_only: bool = False) -> Column:
@@ -184,21 +181,20 @@ def extracted(pages: DataFrame) -> DataFrame:
 
 
 def pages_text(files: DataFrame) -> DataFrame:
-    """Files (path, filename, file_type, supported, content) to page rows, one branch for each kind of file.
+    """Files (path, filename, file_type, supported, content) to page rows. One pass: a file is read once, whatever its kind.
 
     Kinds that need a decoder (PDF, office files, images) come in by `extracted`; here they are rows with an error.
     """
     ext = F.col("file_type")
-    text = (
-        F.when(ext.isin(".txt", ".md", ".markdown"), strict_text(F.col("content"))).when(ext.isin(".html", ".htm"), strict_text(F.col("content")))
-        .when(ext.isin(".sql", ".dump"), lenient_text(F.col("content"))).when(ext.isin(".csv", ".json"), strict_text(F.col("content")))
-    )
-    f = files.withColumn("_t", text)
-    plain = f.filter(~ext.isin(".csv", ".json", ".html", ".htm")).withColumn("text", F.when(F.col("supported"), _cleaned(F.col("_t"))))
-    marked = f.filter(ext.isin(".html", ".htm")).withColumn("text", _cleaned(html_page(F.col("_t"))))
-    tables = f.filter(ext == ".csv").withColumn("text", csv_text(F.col("_t")))
-    trees = f.filter(ext == ".json").withColumn("text", json_text(F.col("_t")))
-    rows = plain.unionByName(marked).unionByName(tables).unionByName(trees)
+    lenient, table, tree, marked = ext.isin(".sql", ".dump"), ext == ".csv", ext == ".json", ext.isin(".html", ".htm")
+    plain = ext.isin(".txt", ".md", ".markdown")
+    text = F.when(lenient, lenient_text(F.col("content"))).when(plain | table | tree | marked, strict_text(F.col("content")))
+    f = files.filter(ext.isNotNull()).select("path", "filename", "file_type", "supported", text.alias("_t"))
+    # a reader of another kind gets a null, and all of them share one Python process
+    only = lambda kind: F.when(kind, F.col("_t"))
+    f = f.withColumns({"_page": html_page(only(marked)), "_table": _csv_rows(only(table)), "_tree": _printed_json(only(tree))})
+    raw = F.when(marked, F.col("_page")).when(table, F.col("_table")).when(tree, F.col("_tree")).when(F.col("supported"), F.col("_t"))
+    rows = f.withColumn("_raw", raw).withColumn("text", _cleaned(F.col("_raw")))
     error = F.when(~F.col("supported"), "unsupported").when(F.col("text").isNull(), "unreadable").when(F.col("text") == "", "no text")
     return rows.select("filename", F.lit(1).alias("page"), F.lit(1).alias("total_pages"), kind_of(F.col("file_type")).alias("file_type"), F.lit(None).cast("string").alias("sheet_name"), F.col("path").alias("source"), "text", error.alias("error"))
 

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from lumensift.operators import analytics, answering, chunking, retrieve, store
 from lumensift.operators.snapshots import Snapshots
+from lumensift.plans import inputs, registry
 from lumensift.sources import files
 from lumensift.streaming import jobs
 
@@ -31,6 +32,22 @@ def test_folder(spark, tmp_path):
     assert files.last_of_name(found).filter("filename = 'a.TXT'").first()["path"].endswith("sub/a.TXT")
 
 
+def test_files_are_read_once(spark, tmp_path):
+    for name in ("a.txt", "b.html", "c.csv", "d.json", "e.sql"):
+        (tmp_path / name).write_text("x")
+    plan = files.pages_text(files.folder(spark, str(tmp_path)))._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("FileScan binaryFile") == 1 and plan.count("ArrowEvalPython") == 1 and "Union" not in plan
+
+
+def test_small_files_of_scan_are_written_by_several_tasks(spark, monkeypatch):
+    roots, real = [], inputs.sources.folder
+    monkeypatch.setattr(inputs.sources, "folder", lambda s, root: roots.append(root) or real(s, root))
+    registry.QUERIES["s1_scan"](spark, "/root/testdata/sf0.01")
+    for kind in ("one", "many"):
+        written = spark.read.format("binaryFile").load(f"{roots[0]}/{kind}").select(F.regexp_extract("path", "/part-([0-9]+)", 1)).distinct()
+        assert written.count() > 1
+
+
 def test_rows_of_csv(spark):
     rows = [("a,b\n1,2\n\n3,NA\n",), ("a,,a\nnull,x,y\n",), ("\n\nh\n \nv\n",), ("",)]
     got = spark.createDataFrame(rows, "t string").select(files.csv_text(F.col("t")).alias("t"))
