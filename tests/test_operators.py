@@ -348,6 +348,7 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
     c = spark.createDataFrame(made, "chunk_id string, text string, scope string, user_id string, deleted boolean")
     asked = [(i, ("w1 common", "w2", None, "w4")[i % 4], (True, None)[i % 8 // 4], "u0" if i % 8 < 4 else None) for i in range(32)]
     asked += [(100 + i, "w5", True, f"u{i % 2 + 8}") for i in range(6)]  # without chunks of their own
+    asked.append(asked[1])  # a row that comes again
     q = spark.createDataFrame(asked, "query_id int, text string, use_personal boolean, user_id string")
     seen, real = [], retrieve.sparse_hits
     monkeypatch.setattr(retrieve, "sparse_hits", lambda q, c, *a: seen.append((q.count(), c.columns)) or real(q, c, *a))
@@ -358,4 +359,4 @@ def test_equal_questions_are_searched_once(spark, monkeypatch):
     rows = lambda found: {(r.chunk_id, r.distance, r["rank"], r.used_fallback) for r in found}
     for i in (0, 1, 2, 3, 5, 7, 29, 101, 104):
         alone = retrieve.sparse_nearest(q.filter(F.col("query_id") == i), c, fallback="unfiltered").collect()
-        assert rows(r for r in got if r.query_id == i) == rows(alone) and len(alone) == sum(r.query_id == i for r in got)
+        assert rows(r for r in got if r.query_id == i) == rows(alone) and len(alone) == len(rows(alone)) == sum(r.query_id == i for r in got)
