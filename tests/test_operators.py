@@ -343,6 +343,31 @@ def test_counting_is_bounded_by_words():
     assert len(known) == embed.KNOWN_WORDS <= 1 << 17
 
 
+def test_a_long_text_is_counted_in_slices(monkeypatch):
+    import tracemalloc
+    from collections import Counter
+
+    import pyarrow as pa
+
+    def hashed(w):
+        return int(hashlib.md5(w.encode()).hexdigest()[:8], 16) % 64
+
+    texts = [["a", "b"], [], [f"w{i % 13}" for i in range(50)], ["b"], [f"w{i}" for i in range(7)], []]
+    monkeypatch.setattr(embed, "HASHED", 4)
+    got = list(zip(*(x.tolist() for x in embed.counted(pa.array(texts), 64, {})), strict=True))
+    assert got == [(i, b, n) for i, words in enumerate(texts) for b, n in sorted(Counter(map(hashed, words)).items())]
+    assert [len(x) for x in embed.counted(pa.array([[], []], pa.list_(pa.string())), 64, {})] == [0, 0, 0]
+    monkeypatch.undo()
+
+    words = 3_000_000  # of one text
+    lists = pa.ListArray.from_arrays(pa.array([0, words], pa.int32()), pa.array([f"w{i}" for i in range(1000)]).take(pa.array(np.arange(words) % 1000)))
+    tracemalloc.start()
+    _, _, n = embed.counted(lists, 1024, {})
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert n.sum() == words and peak < 32 << 20
+
+
 def test_equal_questions_are_searched_once(spark, monkeypatch):
     made = [(f"c{i}", f"w{i} w{i % 3} common", "personal" if i % 4 == 0 else "official", f"u{i % 2}", i % 7 == 6) for i in range(40)]
     c = spark.createDataFrame(made, "chunk_id string, text string, scope string, user_id string, deleted boolean")
